@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import common, substring
+from corvane.llm import common, quality, substring
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality", *[f"v_{r}" for r in quality.RULES])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +17,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
