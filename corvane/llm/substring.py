@@ -25,7 +25,6 @@ WINDOW = 50
 #: Windows in a bucket, about; and bytes of text that a task takes at once.
 BUCKET, FLUSH = 2_000_000, 12_000_000
 HASH_BASE, BUCKET_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
-LOW_56 = np.uint64(2**56 - 1)
 
 
 def buckets_for(items: int, size: int = BUCKET) -> int:
