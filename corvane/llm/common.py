@@ -78,7 +78,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Hashes of words that agree in all processes; keeps those of frequent words at hand."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

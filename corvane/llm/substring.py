@@ -23,7 +23,7 @@ from corvane.llm import common
 
 WINDOW = 50
 #: Windows in a bucket, about; and bytes of text that a task takes at once.
-BUCKET, FLUSH = 2_000_000, 12_000_000
+BUCKET, FLUSH = 2_000_000, 5_000_000
 HASH_BASE, BUCKET_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
@@ -59,35 +59,76 @@ def unpacked(payloads: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def mark_rows(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, list]:
-    """Merged intervals as rows (id, tag, [start, end, start, end, ...]), one for each document."""
+def mark_blocks(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+    """Intervals to mark, merged by document and packed by the document's bucket."""
+    if not len(ids):
+        return []
     order = np.lexsort((start, tags, ids))
-    ids, tags, start, end = ids[order], tags[order], start[order], end[order]
-    cuts = np.flatnonzero(common.in_order(ids) | common.in_order(tags))
-    out: dict[str, list] = {"id": [], "tag": [], "spans": []}
-    for a, b in zip(cuts, [*cuts[1:], len(ids)]):
-        out["id"].append(int(ids[a]))
-        out["tag"].append(int(tags[a]))
-        out["spans"].append(np.column_stack(common.merged(start[a:b], end[a:b])).ravel().astype(np.int32))
+    ids, tags, start, end = ids[order], tags[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    doc = np.cumsum(common.in_order(ids) | common.in_order(tags)) - 1
+    shift = doc * 2**40  # documents are laid far apart, so one pass merges all of them
+    start, end = common.merged(start + shift, end + shift)
+    first = np.flatnonzero(common.in_order(doc))
+    doc, ids, tags = start >> 40, ids[first], tags[first].astype(np.uint16)
+    start, end = start & (2**40 - 1), end & (2**40 - 1)
+    bucket = bucket_of(common.mixed(ids.view(np.uint64)), n)[doc]
+    order = np.argsort(bucket, kind="stable")
+    out = []
+    cuts = np.flatnonzero(common.in_order(bucket[order]))
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        i = order[a:b]
+        new = np.flatnonzero(common.in_order(doc[i]))
+        rows = doc[i][new]
+        out.append((int(bucket[i[0]]), common.pack(np.diff(ids[rows], prepend=0), tags[rows], np.diff(np.r_[new, len(i)]).astype(np.uint32), np.diff(start[i], prepend=0).astype(np.int64), (end - start)[i].astype(np.int32))))
     return out
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("id", pa.int64()), ("tag", pa.int32()), ("spans", pa.list_(pa.int32()))])
-MARKS = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("spans", pa.list_(pa.int32()))])
-SENT_DDL, MARKS_DDL = "bucket int, payload binary, id long, tag int, spans array<int>", "id long, tag int, spans array<int>"
+def merge_marks(group: pa.Table) -> pa.Table:
+    """All marks of a bucket of documents, one row for each document."""
+    parts = []
+    for payload in group["marks"].to_pylist():
+        ids, tags, counts, start, length = common.unpack(payload)
+        start = np.cumsum(start)
+        parts.append((np.repeat(np.cumsum(ids), counts), np.repeat(tags, counts), start, start + length))
+    ids, tags, start, end = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((start, tags, ids))
+    ids, tags, start, end = ids[order], tags[order], start[order], end[order]
+    first = np.flatnonzero(common.in_order(ids) | common.in_order(tags))
+    shift = (np.cumsum(common.in_order(ids) | common.in_order(tags)) - 1) * 2**40
+    start, end = common.merged(start + shift, end + shift)
+    counts = np.bincount(start >> 40, minlength=len(first))
+    spans = np.column_stack([start & (2**40 - 1), end & (2**40 - 1)]).astype(np.int32)
+    offsets = pa.array(np.r_[0, 2 * np.cumsum(counts)].astype(np.int32))
+    covered = np.add.reduceat(end - start, np.r_[0, np.cumsum(counts)[:-1]])
+    return pa.table([pa.array(ids[first]), pa.array(tags[first].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(spans.ravel())), pa.array(covered)], schema=MARKS)
+
 
+SENT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("doc_bucket", pa.int32()), ("marks", pa.binary())])
+PACKED = pa.schema([("doc_bucket", pa.int32()), ("marks", pa.binary())])
+MARKS = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("spans", pa.list_(pa.int32())), ("covered", pa.int64())])
+SENT_DDL, PACKED_DDL = "bucket int, payload binary, doc_bucket int, marks binary", "doc_bucket int, marks binary"
+MARKS_DDL = "id long, tag int, spans array<int>, covered long"
 
-def sent(blocks: list[tuple[int, bytes]], marks: dict[str, list], n: int) -> pa.RecordBatch:
+
+def sent(blocks: list[tuple[int, bytes]], marks: list[tuple[int, bytes]]) -> pa.RecordBatch:
     """Blocks for buckets, and marks that need no more work, which travel with them."""
-    b, m = len(blocks), len(marks["id"])
-    columns = [[x[0] for x in blocks] + [i % n for i in marks["id"]], [x[1] for x in blocks] + [None] * m, [None] * b + marks["id"], [None] * b + marks["tag"], [None] * b + marks["spans"]]
+    b, m = [None] * len(blocks), [None] * len(marks)
+    columns = [[x[0] for x in blocks + marks], [x[1] for x in blocks] + m, b + [x[0] for x in marks], b + [x[1] for x in marks]]
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, SENT)], schema=SENT)
 
 
 def split(group: pa.Table) -> tuple[list[bytes], pa.Table]:
     """The blocks of a bucket, and the marks that came with them."""
     block = pa.compute.is_valid(group["payload"])
-    return group.filter(block)["payload"].to_pylist(), group.filter(pa.compute.invert(block)).select(MARKS.names)
+    return group.filter(block)["payload"].to_pylist(), group.filter(pa.compute.invert(block)).select(PACKED.names).cast(PACKED)
+
+
+def packed(marks: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([x[k] for x in marks], f.type) for k, f in enumerate(PACKED)], schema=PACKED)
+
+
+def by_document(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("doc_bucket").applyInArrow(merge_marks, MARKS_DDL)
 
 
 def mapper(window: int, n: int):
@@ -111,18 +152,18 @@ def mapper(window: int, n: int):
             own[order] = ids[row[order]] == least
             pos = (i - (ends - lengths)[row]).astype(np.int32)
             late = ~own
-            marks = mark_rows(ids[row[late]], tags[row[late]], pos[late], pos[late] + window)
+            marks = mark_blocks(ids[row[late]], tags[row[late]], pos[late], pos[late] + window, n)
             b = bucket_of(second.windows(second.prefix(v), window)[i[own]], n)
-            yield sent(list(packed_by_bucket(b, h[own], row[own], pos[own], ids, tags)), marks, n)
+            yield sent(list(packed_by_bucket(b, h[own], row[own], pos[own], ids, tags)), marks)
 
     return run
 
 
-def reducer(window: int):
+def reducer(window: int, n: int):
     def run(group: pa.Table) -> pa.Table:
         blocks, done = split(group)
         if not blocks:
-            return done.cast(MARKS)
+            return done
         h, ids, tags, pos = unpacked(blocks)
         order = np.argsort(h, kind="stable")
         new = common.in_order(h[order])
@@ -131,8 +172,7 @@ def reducer(window: int):
         new = common.in_order(h[some])
         if len(some):
             some = some[ids[some] > ids[some[np.flatnonzero(new)]][np.cumsum(new) - 1]]
-        found = mark_rows(ids[some], tags[some], pos[some], pos[some] + window)
-        return pa.concat_tables([done.cast(MARKS), pa.table([pa.array(found[f.name], f.type) for f in MARKS], schema=MARKS)])
+        return pa.concat_tables([done, packed(mark_blocks(ids[some], tags[some], pos[some], pos[some] + window, n))])
 
     return run
 
@@ -143,8 +183,8 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def attach(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The documents with all their marks as ``removed``: array<int> of starts and ends, not merged yet; null if none."""
-    by_doc = marks.groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("removed")).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "removed")
+    """The documents with all their marks as ``removed``: array<int> of starts and ends, merged and in order; null if none."""
+    by_doc = by_document(marks).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("removed"))
     keys = keyed(docs, F.struct(*docs.columns).alias("doc"))
     return keys.join(by_doc, (keys.id == F.col("_id")) & (keys.tag == F.col("_tag")), "left").select("doc.*", "removed")
 
@@ -158,12 +198,12 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets_for(size // 6)
     hashed = keyed(docs, "text").mapInArrow(mapper(window, n), SENT_DDL)
-    return attach(docs, hashed.groupBy("bucket").applyInArrow(reducer(window), MARKS_DDL))
+    return attach(docs, hashed.groupBy("bucket").applyInArrow(reducer(window, n), PACKED_DDL))
 
 
 def intervals(removed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.asarray(removed if removed is not None else [], np.int64).reshape(-1, 2)
-    return common.merged(pairs[:, 0], pairs[:, 1])
+    return pairs[:, 0], pairs[:, 1]
 
 
 def rows_of(column: pa.Array) -> Iterator[np.ndarray | None]:

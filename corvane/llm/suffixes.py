@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import common
-from corvane.llm.substring import BUCKET_BASE, HASH_BASE, MARKS, MARKS_DDL, SENT_DDL, attach, bucket_of, buckets_for, intervals, keyed, mark_rows, packed_by_bucket, rows_of, sent, split, unpacked
+from corvane.llm.substring import BUCKET_BASE, HASH_BASE, PACKED, PACKED_DDL, SENT_DDL, attach, bucket_of, buckets_for, by_document, intervals, keyed, mark_blocks, packed, packed_by_bucket, rows_of, sent, split, unpacked
 
 LENGTH, ANCHOR = 200, 100
 #: Bytes of text that a task takes at once; records in a bucket, about.
@@ -93,30 +93,29 @@ def first_digits(length: int, anchor: int, n: int):
             times = np.bincount(group)
             again = order[times[group] > 1]
             begin = d.begins[row]
-            marks = mark_rows(ids[row[again]], tags[row[again]], (a - begin)[again].astype(np.int32), (b - begin)[again].astype(np.int32) + length)
+            marks = mark_blocks(ids[row[again]], tags[row[again]], (a - begin)[again], (b - begin)[again] + length, n)
             lead = np.sort(lead)
             low = np.ascontiguousarray(stretch[lead]).view(np.uint8).reshape(-1, 8)[:, :7]
             extra = np.concatenate([low, (b - a)[lead].astype("<u2").view(np.uint8).reshape(-1, 2)], axis=1)
             bucket = bucket_of(second.spans(d.two, p[lead], p[lead] + anchor), n)
-            yield sent(list(packed_by_bucket(bucket, digit[lead], row[lead], (a - begin)[lead], ids, tags, extra.view("V9").ravel())), marks, n)
+            yield sent(list(packed_by_bucket(bucket, digit[lead], row[lead], (a - begin)[lead], ids, tags, extra.view("V9").ravel())), marks)
 
     return run
 
 
-RUNS_DDL = MARKS_DDL + ", final boolean"
-RUNS = MARKS.append(pa.field("final", pa.bool_()))
+RUNS_DDL = PACKED_DDL + ", final boolean"
+RUNS = PACKED.append(pa.field("final", pa.bool_()))
 
 
-def refine(length: int):
+def refine(length: int, n: int):
     """Groups by both digits: equal stretches are repeated; one run of each other stretch with that anchor goes on."""
 
-    def table(ids, tags, start, end, final: bool) -> pa.Table:
-        found = mark_rows(ids, tags, start, end) if final else {"id": ids, "tag": tags, "spans": list(np.column_stack([start, end]).astype(np.int32))}
-        return pa.table([*(pa.array(found[f.name], f.type) for f in MARKS), pa.array([final] * len(found["id"]), pa.bool_())], schema=RUNS)
+    def with_kind(marks: pa.Table, final: bool) -> pa.Table:
+        return marks.append_column(RUNS.field("final"), pa.array([final] * len(marks), pa.bool_()))
 
     def run(group: pa.Table) -> pa.Table:
         blocks, done = split(group)
-        out = [done.cast(MARKS).append_column("final", pa.array([True] * len(done), pa.bool_()))]
+        out = [with_kind(done, True)]
         if blocks:
             h, ids, tags, start, extra = unpacked(blocks)
             raw = extra.view(np.uint8).reshape(-1, 9)
@@ -127,18 +126,18 @@ def refine(length: int):
             order, new = merge_equal(h, stretch)
             part = np.cumsum(new) - 1
             again = order[np.bincount(part)[part] > 1]
-            out.append(table(ids[again], tags[again], start[again], start[again] + more[again] + length, True))
+            out.append(with_kind(packed(mark_blocks(ids[again], tags[again], start[again], start[again] + more[again] + length, n)), True))
             lead = order[np.flatnonzero(new)]
             anchors = common.in_order(h[lead])
             several = np.bincount(np.cumsum(anchors) - 1)[np.cumsum(anchors) - 1] > 1
             lead = lead[several]
-            out.append(table(ids[lead], tags[lead].astype(np.int32), start[lead], start[lead] + more[lead] + 1, False))
+            out.append(with_kind(packed(mark_blocks(ids[lead], tags[lead], start[lead], start[lead] + more[lead] + 1, n)), False))
         return pa.concat_tables(out)
 
     return run
 
 
-def last_digit(length: int, n: int):
+def last_digit(length: int, n: int, marks_n: int):
     """Third digit: the windows of the runs that go on, one record for each different window of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,25 +158,24 @@ def last_digit(length: int, n: int):
             times = np.bincount(np.cumsum(new) - 1)
             again = order[times[np.cumsum(new) - 1] > 1]
             pos = (at - d.begins[row]).astype(np.int32)
-            marks = mark_rows(ids[row[again]], tags[row[again]], pos[again], pos[again] + length)
+            marks = mark_blocks(ids[row[again]], tags[row[again]], pos[again], pos[again] + length, marks_n)
             lead = np.sort(order[np.flatnonzero(new)])
             bucket = bucket_of(second.spans(d.two, at[lead], at[lead] + length), n)
-            yield sent(list(packed_by_bucket(bucket, h[lead], row[lead], pos[lead], ids, tags)), marks, n)
+            yield sent(list(packed_by_bucket(bucket, h[lead], row[lead], pos[lead], ids, tags)), marks)
 
     return run
 
 
-def equal_windows(length: int):
+def equal_windows(length: int, marks_n: int):
     def run(group: pa.Table) -> pa.Table:
         blocks, done = split(group)
         if not blocks:
-            return done.cast(MARKS)
+            return done
         h, ids, tags, pos = unpacked(blocks)
         order, new = merge_equal(h)
         part = np.cumsum(new) - 1
         again = order[np.bincount(part)[part] > 1]
-        found = mark_rows(ids[again], tags[again], pos[again], pos[again] + length)
-        return pa.concat_tables([done.cast(MARKS), pa.table([pa.array(found[f.name], f.type) for f in MARKS], schema=MARKS)])
+        return pa.concat_tables([done, packed(mark_blocks(ids[again], tags[again], pos[again], pos[again] + length, marks_n))])
 
     return run
 
@@ -194,12 +192,12 @@ def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets_for(size // 50, BUCKET)
     records = keyed(docs, "text").mapInArrow(first_digits(length, anchor, n), SENT_DDL)
-    runs = common.stored(records.groupBy("bucket").applyInArrow(refine(length), RUNS_DDL))
-    going = runs.filter("not final").groupBy("id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    texts = keyed(docs, "text").join(going, ["id", "tag"]).dropDuplicates(["id", "tag"])
-    more = going.agg(F.sum(F.size("spans") * 25)).first()[0] or 0
-    windows = texts.mapInArrow(last_digit(length, buckets_for(more)), SENT_DDL)
-    marks = windows.groupBy("bucket").applyInArrow(equal_windows(length), MARKS_DDL)
+    runs = common.stored(records.groupBy("bucket").applyInArrow(refine(length, n), RUNS_DDL))
+    going = common.stored(by_document(runs.filter("not final").drop("final")))
+    texts = keyed(docs, "text").join(going, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "tag", "text", "spans")
+    windows = going.agg(F.sum("covered")).first()[0] or 0
+    sent_on = texts.mapInArrow(last_digit(length, buckets_for(windows), n), SENT_DDL)
+    marks = sent_on.groupBy("bucket").applyInArrow(equal_windows(length, n), PACKED_DDL)
     return attach(docs, runs.filter("final").drop("final").unionByName(marks))
 
 
