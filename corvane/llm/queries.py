@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import common, licenses, mixing, quality, simhash, sql, substring, suffixes
+from corvane.llm import common, language_model, licenses, mixing, quality, simhash, sql, substring, suffixes
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality", *[f"v_{r}" for r in quality.RULES])
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(common.table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_source_mixing": op7_source_mixing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
