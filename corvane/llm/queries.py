@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import common, language_model, licenses, mixing, quality, simhash, sql, substring, suffixes
+from corvane.llm import common, html, language_model, licenses, mixing, quality, simhash, sql, substring, suffixes
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +43,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_lm_scoring": op6_lm_scoring,
