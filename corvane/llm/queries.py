@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import common, html, language_model, licenses, mixing, neighbours, quality, simhash, sql, substring, suffixes
+from corvane.llm import common, html, language_model, licenses, mixing, neighbours, pieces, quality, simhash, sql, substring, suffixes
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality", *[f"v_{r}" for r in quality.RULES])
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load()
+    encoded = pieces.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    found = pieces.decode(encoded, vocabulary, into="decoded")
+    size = F.coalesce(F.size("pieces"), F.lit(0)).cast("long")
+    return found.select("doc_id", "pieces", size.alias("n_pieces"), "score", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(common.table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_source_mixing": op7_source_mixing,
     "op8_substring_dedup": op8_substring_dedup,
