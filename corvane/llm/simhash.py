@@ -12,6 +12,7 @@ blocks are compared in a task of their own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -19,7 +20,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import common
@@ -35,8 +36,9 @@ SHIFTS = np.arange(8, dtype=np.uint64)
 class Scheme:
     """How texts become fingerprints and which of them link.
 
-    width: words in a shingle. words: 64-bit words of a fingerprint. segments of bits: what is indexed. near: differing
-    bits allowed in the first word where a bucket compares; all_near: in the whole fingerprint, checked afterwards.
+    width: words in a shingle. words: 64-bit words of a fingerprint. segments of bits: what is indexed; with 0 bits, as
+    many as keep chance meetings in a signature equally rare at any number of fingerprints. near: differing bits allowed
+    in the first word where a bucket compares; all_near: in the whole fingerprint, checked afterwards.
     """
 
     width: int
@@ -49,6 +51,13 @@ class Scheme:
 
 #: 64 bits in two segments of 32: of at most 3 differing bits, one segment has at most one.
 EXACT = Scheme(width=3, words=1, segments=2, bits=32, near=3)
+#: For a similarity of 0.8 or more on five-word shingles: bits of such texts differ with a probability of at most 0.151,
+#: so 60 of 384 are near the expected 58; unrelated texts differ in about 192.
+SIMILAR = Scheme(width=5, words=6, segments=12, bits=0, near=16, all_near=60)
+
+
+def segment_bits(nodes: int) -> int:
+    return min(32, max(16, 6 + math.ceil(math.log2(max(nodes, 1)))))
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -81,14 +90,20 @@ def fingerprint(h: np.ndarray, words: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc_id, fp binary) for each row; a null or empty text has fingerprint zero."""
+    """(doc_id, text_hash, fp binary, node) for each row; a null or empty text has fingerprint zero. node is fp's first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(shingle_hashes(x, scheme.width), scheme.words) for x in common.binary(b["text"])]
-            yield pa.record_batch([b["doc_id"], pa.array(fp, pa.binary())], ["doc_id", "fp"])
+            node = np.frombuffer(b"".join(x[:8] for x in fp), ">u8").astype(np.uint64).view(np.int64)
+            yield pa.record_batch([b["doc_id"], b["text_hash"], pa.array(fp, pa.binary()), pa.array(node)], ["doc_id", "text_hash", "fp", "node"])
+
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    return keys.mapInArrow(run, "doc_id long, text_hash long, fp binary, node long")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary")
+
+def text_hash() -> Column:
+    return F.xxhash64("text")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -134,31 +149,32 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int32()),
 LINKS_DDL = "a long, b long, bucket int, payload binary"
 
 
-def signatures(scheme: Scheme, n: int):
-    """Sends (signature, left-out bit, node, first word) of every fingerprint to the signature's bucket."""
+def signatures(scheme: Scheme, bits: int, n: int):
+    """Sends (signature, side of the left-out bit, first word) of every fingerprint to the signature's bucket.
+
+    32 bits of a signature are enough there: where different ones meet, the comparison tells them apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 4000):
                 b = whole.slice(at, 4000)
-                node = b["node"].to_numpy().view(np.uint64)
                 fp = np.frombuffer(b"".join(b["fp"].to_pylist()), ">u8").reshape(len(b), scheme.words).astype(np.uint64)
-                parts = np.stack([(fp[:, s // 2] >> np.uint64(32 * (s % 2))) & np.uint64(2**scheme.bits - 1) for s in range(scheme.segments)], axis=1)
-                out = np.uint64(1) << np.arange(scheme.bits, dtype=np.uint64)
+                parts = np.stack([(fp[:, s // 2] >> np.uint64(32 * (s % 2))) & np.uint64(2**bits - 1) for s in range(scheme.segments)], axis=1)
+                out = np.uint64(1) << np.arange(bits, dtype=np.uint64)
                 value = parts[:, :, None] & ~out
-                name = (np.arange(scheme.segments, dtype=np.uint64)[:, None] * np.uint64(64) + np.arange(scheme.bits, dtype=np.uint64)) << np.uint64(40)
+                name = (np.arange(scheme.segments, dtype=np.uint64)[:, None] * np.uint64(64) + np.arange(bits, dtype=np.uint64)) << np.uint64(40)
                 key = common.mixed(value ^ name)
                 side = ((parts[:, :, None] & out) != 0).ravel()
-                first = np.broadcast_to(np.arange(scheme.bits) == 0, key.shape).ravel()
-                who = np.repeat(np.arange(len(b)), scheme.segments * scheme.bits)
+                first = np.broadcast_to(np.arange(bits) == 0, key.shape).ravel()
+                who = np.repeat(np.arange(len(b)), scheme.segments * bits)
                 bucket, key = bucket_of(common.mixed(key.ravel()), n), key.ravel()
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(common.in_order(bucket[order]))
                 rows = []
                 for x, y in zip(cuts, [*cuts[1:], len(order)]):
                     i = order[x:y]
-                    own = [] if scheme.words == 1 else [node[who[i]]]
-                    rows.append((int(bucket[i[0]]), common.pack(key[i], side[i] + 2 * first[i].astype(np.uint8), fp[who[i], 0], *own)))
+                    rows.append((int(bucket[i[0]]), common.pack(key[i].astype(np.uint32), side[i] + 2 * first[i].astype(np.uint8), fp[who[i], 0])))
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=BLOCKS)
 
     return run
@@ -177,22 +193,23 @@ def compare(near: int):
 
     def run(group: pa.Table) -> pa.Table:
         parts = [common.unpack(p) for p in group["payload"].to_pylist()]
-        key, kind, sketch, *own = (np.concatenate(x) for x in zip(*parts))
-        node = own[0] if own else sketch
+        key, kind, node = (np.concatenate(x) for x in zip(*parts))
+        # a bit that comes first or not is part of the signature, for where different ones share 32 bits
+        key = key.astype(np.uint64) * np.uint64(2) + (kind >> 1)
         order = np.lexsort((node, key))
-        key, kind, sketch, node = key[order], kind[order], sketch[order], node[order]
+        key, kind, node = key[order], kind[order], node[order]
         begin = np.flatnonzero(common.in_order(key))
         size = np.diff(np.r_[begin, len(key)])
         a, b, sent = [], [], []
         two = begin[size == 2]
-        ok = (popcount(sketch[two] ^ sketch[two + 1]) <= near) & ((kind[two] >= 2) | (kind[two] != kind[two + 1]))
+        ok = (popcount(node[two] ^ node[two + 1]) <= near) & ((kind[two] >= 2) | (kind[two] != kind[two + 1]))
         a.append(node[two[ok]])
         b.append(node[two[ok] + 1])
         for x, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
             if n > MOST:
-                sent += [(to, common.pack(np.full(len(i), key[x]), kind[i], sketch[i], node[i])) for to, i in _blocks(np.arange(x, x + n), int(key[x]))]
+                sent += [(to, common.pack(np.full(len(i), key[x] >> np.uint64(1), np.uint32), kind[i], node[i])) for to, i in _blocks(np.arange(x, x + n), int(key[x]))]
                 continue
-            s, side = sketch[x : x + n], (kind[x : x + n] & 1).astype(bool)
+            s, side = node[x : x + n], (kind[x : x + n] & 1).astype(bool)
             pairs = forest(s, near) if kind[x] >= 2 else two_sided(s, side, near)
             if pairs:
                 i = np.array(pairs) + x
@@ -209,22 +226,23 @@ def compare(near: int):
 
 def links_between(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b): links that join the same nodes as all links of the scheme do. ``nodes``: (node long, fp binary), no repeats."""
-    n = buckets_for(nodes.count() * scheme.segments * scheme.bits)
-    sent = nodes.select("node", "fp").mapInArrow(signatures(scheme, n), "bucket int, payload binary")
+    count = nodes.count()
+    bits = scheme.bits or segment_bits(count)
+    sent = nodes.select("fp").mapInArrow(signatures(scheme, bits, buckets_for(count * scheme.segments * bits)), "bucket int, payload binary")
     found = common.stored(sent.groupBy("bucket").applyInArrow(compare(scheme.near), LINKS_DDL))
     blocks = found.filter("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(compare(scheme.near), LINKS_DDL)
     return found.unionByName(blocks).filter("a is not null").select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``: component_id is the smallest doc_id that links reach.
+    """(doc_id, text_hash, fp, component_id, group) for each row of ``docs``: rows that links join share a group.
 
-    Null and empty texts have fingerprint zero and link like any other. Rows with equal texts are always linked. Null ids
-    count as none: a group has the smallest of its other ids, or null. An empty table gives an empty one.
+    component_id is the smallest doc_id of the group. Null and empty texts have fingerprint zero and link like any other.
+    Rows with equal texts are always linked. Null ids count as none: a group has the smallest of its other ids, or null.
+    An empty table gives an empty one.
     """
     rows = common.stored(fingerprints(docs, scheme))
-    node = F.conv(F.hex("fp"), 16, -10).cast("long") if scheme.words == 1 else F.xxhash64("fp")
-    nodes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", node))
+    nodes = common.stored(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")))
     links = links_between(nodes, scheme)
     if scheme.all_near is not None:
         left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
@@ -233,10 +251,22 @@ def groups(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     labels = components(links)
     known = labels.join(nodes.select("node", "least"), "node")
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = known.select("node", "label").join(least, "label").select("node", "component_id")
-    by_fp = nodes.join(known, "node", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    known = known.select("node", "label").join(least, "label")
+    by_node = nodes.select("node", "least").join(known, "node", "left").select("node", F.coalesce("label", "node").alias("group"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(by_node, "node").select("doc_id", "text_hash", "fp", "component_id", "group")
+
+
+def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group: that with the smallest doc_id (null last), then text hash.
+
+    Of repeated rows one stays. Rows keep all their columns.
+    """
+    first = groups(docs, scheme).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_doc_id"), F.col("first.text_hash").alias("_text_hash")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_hash"))
+    kept = keyed.join(first, keyed._id.eqNullSafe(F.col("_doc_id")) & (keyed._hash == F.col("_text_hash")))
+    return kept.dropDuplicates(["_id", "_hash"]).select("doc.*")
 
 
-def _word(fp: str, k: int):
+def _word(fp: str, k: int) -> Column:
     return F.conv(F.hex(F.substring(fp, 8 * k + 1, 8)), 16, -10).cast("long")
