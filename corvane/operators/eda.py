@@ -22,10 +22,11 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """(bin from 0, n) over ``bins`` equal widths from the least to the greatest value; empty bins are left out."""
-    limits = df.agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    width = F.col("high") - F.col("low")
-    at = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor(F.try_divide((F.col(value) - F.col("low")) * bins, width)), F.lit(bins - 1)))
-    return df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(limits)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        low = high = 0
+    at = F.lit(0) if low == high else F.least(F.floor((F.col(value) - F.lit(low)) * bins / F.lit(high - low)), F.lit(bins - 1))
+    return df.filter(F.col(value).isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequencies(df: DataFrame, values: Column) -> DataFrame:

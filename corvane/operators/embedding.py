@@ -70,4 +70,4 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
 
 def embed_queries(queries: DataFrame, embedder: Embedder, text: str = "query") -> DataFrame:
     """``queries`` with a ``vector`` of length one."""
-    return queries.withColumn("vector", normalized(embedder.column(F.col(text))).cast("array<float>"))
+    return queries.withColumn("vector", embedder.column(F.col(text))).withColumn("vector", normalized("vector").cast("array<float>"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from corvane.functions.vectors import norm
 from corvane.tables import stored
@@ -68,8 +68,9 @@ def upserted(index: DataFrame, points: DataFrame) -> DataFrame:
 
 def setup(spark: SparkSession, embedded: DataFrame, path: str, dimension: int) -> int:
     """Creates the index if there is none, puts all points into it and returns their number."""
+    there = create_or_check(spark, path, dimension)
     points = build_index(embedded, dimension)
-    if create_or_check(spark, path, dimension):
+    if there:
         points = upserted(spark.read.parquet(path), points)
         staged = f"{path.rstrip('/')}_next"
         points.write.mode("overwrite").parquet(staged)

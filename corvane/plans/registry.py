@@ -1,4 +1,312 @@
-"""Named queries over the test tables and the SQL that gives the same rows."""
+"""Named queries over the test tables and the SQL that gives the same rows.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The tables stand in for the system's records: documents for parsed papers, embeddings for index points (the label is
+their payload), page titles for paper titles, the roles of a conversation for the authors of a paper.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions.text import STOP_WORDS, clean_alpha, clean_text, is_blank, last_segment, percent_encoded, preview, strip, token_count
+from corvane.functions.vectors import norm, normalized
+from corvane.operators import eda, ingest
+from corvane.operators.chunking import SEPARATORS, chunk_documents, split_text
+from corvane.operators.embedding import HashEmbedder, embed_chunks
+from corvane.operators.index import flatten_payload, upserted, with_ordinals
+from corvane.operators.rag import ExtractiveGenerator, joined_contexts, messages, prompt, rag
+from corvane.operators.search import Retriever, batch_search, lsh_search, search
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: White space for DuckDB's patterns.
+_W = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_clean(text: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(replace({text}, '-' || chr(10), ''), '\n[1-9]{_W}', ' ', 'g'), '{_W}+', ' ', 'g'), ' ')"
+
+
+def sql_alpha(text: str) -> str:
+    letters = rf"regexp_replace(replace(replace({text}, '-' || chr(10), ''), chr(10), ' '), '[^a-zA-Z''\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]', ' ', 'g')"
+    return f"trim(regexp_replace({letters}, '{_W}+', ' ', 'g'), ' ')"
+
+
+def sql_pieces(source: str, size: int = 512, overlap: int = 50) -> str:
+    """CTEs that end with ``chunk(doc_id, chunk_index, text)``; ``source`` gives doc_id and cleaned text."""
+    ctes, last = [f"p0 AS (SELECT doc_id, [text] AS pieces FROM ({source}))"], 0
+    for k, sep in enumerate(s for s in SEPARATORS if "\n" not in s):
+        suffix = "" if sep == " " else sep
+        step = f"CASE WHEN length(a.c || b.c) <= {size} OR a.c = '' THEN {{'o': a.o, 'c': a.c || b.c}} ELSE {{'o': list_append(a.o, rtrim(a.c)), 'c': b.c}} END"
+        fold = f"list_reduce(list_transform(string_split(x, '{sep}'), lambda p: {{'o': []::VARCHAR[], 'c': p || '{suffix}'}}), lambda a, b: {step}, {{'o': []::VARCHAR[], 'c': ''}})"
+        ctes.append(f"f{k} AS (SELECT doc_id, list_transform(pieces, lambda x: CASE WHEN length(x) > {size} AND contains(x, '{sep}') THEN {fold} ELSE {{'o': [x], 'c': ''}} END) AS folded FROM p{k})")
+        ctes.append(f"p{k + 1} AS (SELECT doc_id, flatten(list_transform(folded, lambda s: CASE WHEN s.c <> '' THEN list_append(s.o, rtrim(s.c)) ELSE s.o END)) AS pieces FROM f{k})")
+        last = k + 1
+    windows = f"flatten(list_transform(pieces, lambda x: CASE WHEN length(x) > {size} THEN list_transform(range(0, length(x), {size - overlap}), lambda i: substring(x, i + 1, {size})) ELSE [x] END))"
+    ctes.append(f"w AS (SELECT doc_id, {windows} AS pieces FROM p{last})")
+    ctes.append("chunk AS (SELECT doc_id, unnest(range(0, len(pieces)))::INTEGER AS chunk_index, unnest(pieces) AS text FROM w)")
+    return ",\n".join(ctes)
+
+
+_SOURCE = f"SELECT doc_id, {sql_clean('text')} AS text FROM documents WHERE trim(text) <> ''"
+_CHUNKS = f"WITH {sql_pieces(_SOURCE)}"
+
+
+@query(f"SELECT doc_id, {sql_clean('text')} AS cleaned FROM documents")
+def clean_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", clean_text("text").alias("cleaned"))
+
+
+@query(f"SELECT doc_id, {sql_alpha('text')} AS cleaned FROM documents")
+def clean_alpha_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", clean_alpha("text").alias("cleaned"))
+
+
+def _chunked(spark: SparkSession, sf_dir: str, size: int = 512, overlap: int = 50) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return chunk_documents(docs, "doc_id", "text", F.col("lang"), F.col("source"), size, overlap)
+
+
+@query(f"{_CHUNKS} SELECT doc_id || '_chunk_' || chunk_index AS id, doc_id, chunk_index, text FROM chunk WHERE trim(text) <> ''")
+def chunk_documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir).select("id", F.col("metadata.arxiv_id").cast("long").alias("doc_id"), "metadata.chunk_index", "text")
+
+
+@query(f"WITH {sql_pieces(_SOURCE, 60, 10)} SELECT doc_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars, max(length(text))::BIGINT AS longest FROM chunk WHERE trim(text) <> '' GROUP BY doc_id")
+def chunk_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = F.length("text").cast("long")
+    return _chunked(spark, sf_dir, 60, 10).groupBy(F.col("metadata.arxiv_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(length).alias("n_chars"), F.max(length).alias("longest"))
+
+
+@query(f"{_CHUNKS} SELECT lang, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, sum(length(chunk.text))::BIGINT AS n_chars FROM chunk JOIN documents USING (doc_id) WHERE trim(chunk.text) <> '' GROUP BY lang")
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunked(spark, sf_dir)
+    by_doc = chunks.groupBy("metadata.title", "metadata.arxiv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    return by_doc.groupBy(F.col("title").alias("lang")).agg(F.sum("n").alias("n_chunks"), F.count(F.lit(1)).alias("n_docs"), F.sum("chars").alias("n_chars"))
+
+
+@query("SELECT doc_id, source, lang, chunk_index, text FROM (" + f"{_CHUNKS} SELECT chunk.doc_id, source, lang, chunk_index, chunk.text FROM chunk JOIN documents USING (doc_id) WHERE trim(chunk.text) <> '')")
+def payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = flatten_payload(_chunked(spark, sf_dir))
+    return flat.select(F.col("arxiv_id").cast("long").alias("doc_id"), "source", F.col("title").alias("lang"), "chunk_index", "text")
+
+
+@query(f"{_CHUNKS} SELECT row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS id, doc_id, chunk_index FROM chunk WHERE trim(text) <> ''")
+def index_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunked(spark, sf_dir).select(F.col("metadata.arxiv_id").cast("long").alias("doc_id"), "metadata.chunk_index")
+    return with_ordinals(chunks, "doc_id", "chunk_index").select("id", "doc_id", "chunk_index")
+
+
+@query(f"{_CHUNKS} SELECT doc_id || '_chunk_' || chunk_index AS id, substring(text, 1, 200) || '...' AS preview FROM chunk WHERE trim(text) <> ''")
+def chunk_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir).select("id", preview("text").alias("preview"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+_COSINE = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+_ASKED = "(SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0)"
+_BATCH = f"""
+SELECT q.query_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank, e.vec_id AS id, {_COSINE} AS score, e.label
+FROM {_ASKED} AS q, embeddings AS e
+"""
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return table(spark, sf_dir, "embeddings").orderBy("vec_id").first().embedding
+
+
+@query(f"SELECT e.vec_id AS id, {_COSINE} AS score, e.label FROM embeddings AS e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) AS q ORDER BY score DESC, id LIMIT 5")
+def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_points(spark, sf_dir), _first_vector(spark, sf_dir), digits=6).select("id", "score", "payload.label")
+
+
+@query(f"SELECT e.vec_id AS id, {_COSINE} AS score, e.label FROM embeddings AS e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) AS q WHERE e.label IN (1, 3) ORDER BY score DESC, id LIMIT 10")
+def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_points(spark, sf_dir), _first_vector(spark, sf_dir), 10, F.col("label").isin(1, 3), digits=6).select("id", "score", "payload.label")
+
+
+@query(f"SELECT * FROM ({_BATCH}) WHERE rank <= 5")
+def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_search(_points(spark, sf_dir), _queries(spark, sf_dir), digits=6).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "payload.label")
+
+
+@query(f"SELECT * FROM ({_BATCH} WHERE e.label = 2) WHERE rank <= 3")
+def batch_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = batch_search(_points(spark, sf_dir), _queries(spark, sf_dir), 3, F.col("label") == 2, digits=6)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "payload.label")
+
+
+@query()
+def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_search(_points(spark, sf_dir), _queries(spark, sf_dir))
+
+
+@query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / n, 6)) AS vector, round(n, 6) AS norm FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
+def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = F.transform(normalized("embedding"), lambda x: F.round(x, 6))
+    return table(spark, sf_dir, "embeddings").select("vec_id", scaled.alias("vector"), F.round(norm("embedding"), 6).alias("norm"))
+
+
+_HITS = f"SELECT h.query_id, h.rank, h.score, d.text FROM (SELECT * FROM ({_BATCH}) WHERE rank <= 5) AS h JOIN documents AS d ON d.doc_id = h.id"
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return batch_search(_points(spark, sf_dir), _queries(spark, sf_dir), digits=6).join(texts, "id").select("query_id", "rank", "score", "text")
+
+
+@query(f"SELECT query_id, 'Context:' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || query_id || chr(10) || 'Answer:' AS prompt, list(score ORDER BY rank) AS scores FROM ({_HITS}) GROUP BY query_id")
+def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = joined_contexts(_hits(spark, sf_dir), "text")
+    return found.select("query_id", prompt(F.col("query_id").cast("string"), F.col("context")).alias("prompt"), "scores")
+
+
+@query("SELECT item_id, 'system' AS first_role, 'You are a helpful scientific assistant. Answer based ONLY on the provided context.' AS first, 'user' AS second_role, 'Context:' || chr(10) || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS second FROM benchmark")
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chat = table(spark, sf_dir, "benchmark").select("item_id", messages(prompt("text", F.lit(""))).alias("m"))
+    return chat.select("item_id", F.col("m")[0].role.alias("first_role"), F.col("m")[0].content.alias("first"), F.col("m")[1].role.alias("second_role"), F.col("m")[1].content.alias("second"))
+
+
+@query()
+def embed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_chunks(_chunked(spark, sf_dir), HashEmbedder()).select("id", "embedding")
+
+
+@query()
+def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, embeds and indexes the documents, and answers the benchmark's items from them."""
+    embedder = HashEmbedder()
+    points = flatten_payload(embed_chunks(_chunked(spark, sf_dir), embedder)).withColumnRenamed("embedding", "vector")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return rag(Retriever(points, embedder), ExtractiveGenerator(), queries)
+
+
+_TOKENS = f"SELECT CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END AS tokens FROM (SELECT {sql_alpha('text')} AS c FROM documents)"
+_TITLE = r"regexp_extract(html, '<title>([^<]*)</title>', 1)"
+_SUMMARY = "round_even(median({x}), 0)::DOUBLE AS median, round_even(avg({x}), 0)::DOUBLE AS mean, min({x})::INTEGER AS least, max({x})::INTEGER AS greatest"
+
+
+@query(f"SELECT {_SUMMARY.format(x='tokens')} FROM ({_TOKENS})")
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.summary(eda.token_counts(table(spark, sf_dir, "documents"), "text"), "tokens")
+
+
+@query(f"SELECT doc_id, CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END::INTEGER AS tokens FROM (SELECT doc_id, {sql_alpha('text')} AS c FROM documents)")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", token_count(clean_alpha("text")).alias("tokens"))
+
+
+@query(f"SELECT CASE WHEN hi = lo THEN 0 ELSE least(floor((tokens - lo) * 50 / (hi - lo)), 49) END::INTEGER AS bin, count(*) AS n FROM ({_TOKENS}), (SELECT min(tokens) AS lo, max(tokens) AS hi FROM ({_TOKENS})) GROUP BY 1")
+def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.histogram(eda.token_counts(table(spark, sf_dir, "documents"), "text"), "tokens")
+
+
+def _sql_words(source: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return f"SELECT value, count(*) AS n FROM (SELECT unnest(string_split(c, ' ')) AS value FROM ({source})) WHERE lower(value) NOT IN ({stop}) GROUP BY value"
+
+
+@query(_sql_words(f"SELECT {sql_alpha('text')} AS c FROM documents"))
+def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.word_frequencies(table(spark, sf_dir, "documents"), "text")
+
+
+@query(_sql_words(f"SELECT {sql_alpha('text')} AS c FROM documents") + " ORDER BY n DESC, value LIMIT 20")
+def word_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.top(eda.word_frequencies(table(spark, sf_dir, "documents"), "text"))
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query(f"SELECT {_SUMMARY.format(x='tokens')} FROM (SELECT CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END AS tokens FROM (SELECT {sql_alpha(_TITLE)} AS c FROM pages))")
+def title_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.summary(eda.token_counts(_titles(spark, sf_dir), "title"), "tokens")
+
+
+@query(_sql_words(f"SELECT {sql_alpha(_TITLE)} AS c FROM pages") + " ORDER BY n DESC, value LIMIT 20")
+def title_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.top(eda.word_frequencies(_titles(spark, sf_dir), "title"))
+
+
+def _authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("authors"))
+
+
+@query(f"SELECT {_SUMMARY.format(x='n')} FROM (SELECT count(role) AS n FROM conversations GROUP BY conv_id)")
+def author_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.summary(_authors(spark, sf_dir), F.size("authors"))
+
+
+@query("SELECT role AS value, count(*) AS n FROM conversations WHERE role IS NOT NULL GROUP BY role ORDER BY n DESC, value LIMIT 20")
+def author_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.top(eda.frequencies(_authors(spark, sf_dir), F.col("authors")))
+
+
+@query("SELECT doc_id, source FROM documents AS d WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = d.doc_id)")
+def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.not_done(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.first_of_each(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "doc_id")
+
+
+@query("SELECT event_id AS arxiv_id, event_type AS category, ts AS submitted FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-01' ORDER BY ts DESC, event_id LIMIT 10")
+def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("arxiv_id"), F.col("event_type").alias("category"), F.col("ts").alias("submitted"))
+    return ingest.newest(events, "click", "202401010000", 10)
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END::INTEGER AS label FROM embeddings UNION ALL SELECT max(vec_id) + 1, -1 FROM embeddings")
+def upsert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir).select("id", "label")
+    new = points.filter("id % 3 = 0").select("id").unionByName(points.agg((F.max("id") + 1).alias("id"))).withColumn("label", F.lit(-1))
+    return upserted(points, new)
+
+
+@query("SELECT page_id, list_extract(string_split(url, '/'), -1) AS segment, replace(replace(url_encode(url), '%2F', '/'), '+', '%20') AS encoded FROM pages")
+def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", last_segment("url").alias("segment"), percent_encoded("url").alias("encoded"))
+
+
+@query(rf"SELECT doc_id, regexp_replace(text, '^{_W}+|{_W}+$', '', 'g') AS stripped, length(regexp_replace(text, '^{_W}+|{_W}+$', '', 'g')) = 0 AS blank FROM documents")
+def strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", strip("text").alias("stripped"), is_blank("text").alias("blank"))
+
+
+@query()
+def split_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", split_text("text").alias("chunks"))
+
+
+for _name in ("clean_text", "clean_alpha", "chunk_documents"):
+    QUERIES[_name], ORACLE_SQL[_name] = QUERIES.pop(f"{_name}_query"), ORACLE_SQL.pop(f"{_name}_query")
