@@ -108,7 +108,8 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
                 lower = page.lower()
             stop = lower.find(f"</{tag}", at)
             at = end if stop < 0 else stop
-            current = None if tag == "textarea" else current
+            continue
+        if tag in RAW:
             continue
         if tag == "br":
             text(" ")
@@ -125,7 +126,7 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
                 stack.pop()
             continue
         current, links = None, 0
-        if tag in VOID or tag in RAW:
+        if tag in VOID:
             continue
         if closing:
             for k in range(len(stack) - 1, 0, -1):
@@ -211,11 +212,9 @@ def extract(page: str | None) -> str:
 def main_text(pages: DataFrame) -> DataFrame:
     """``pages`` (html and any more columns) with ``text`` and ``n_chars`` in place of html.
 
-    A null, empty or text-free page has an empty text. Columns that clash with the two new ones are an error.
+    A null, empty or text-free page has an empty text. Columns of the two names are replaced; repeated rows stay.
     """
-    others = [c for c in pages.columns if c != "html"]
-    if clash := {"text", "n_chars"} & set(others):
-        raise ValueError(f"pages has columns with the names of results: {sorted(clash)}")
+    others = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     schema = pages.select(others).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -180,16 +180,16 @@ def signatures(scheme: Scheme, bits: int, n: int):
     return run
 
 
-def _blocks(members: np.ndarray, key: int) -> Iterator[tuple[int, np.ndarray]]:
+def _blocks(members: np.ndarray, name: str, most: int) -> Iterator[tuple[int, np.ndarray]]:
     """Every two blocks of a large group, under a number of their own."""
-    parts = np.array_split(members, -(-2 * len(members) // MOST))
+    parts = np.array_split(members, -(-2 * len(members) // most))
     for i, x in enumerate(parts):
         for y in parts[i + 1 :]:
-            yield int(xxhash.xxh32_intdigest(f"{key} {x[0]} {y[0]}") >> 1), np.concatenate([x, y])
+            yield int(xxhash.xxh32_intdigest(f"{name} {x[0]} {y[0]}") >> 1), np.concatenate([x, y])
 
 
-def compare(near: int):
-    """Links within each signature of a bucket; what is too large is sent on in blocks."""
+def compare(near: int, most: int | None):
+    """Links within each signature of a bucket; groups over ``most`` members, if given, are sent on in blocks."""
 
     def run(group: pa.Table) -> pa.Table:
         parts = [common.unpack(p) for p in group["payload"].to_pylist()]
@@ -206,8 +206,8 @@ def compare(near: int):
         a.append(node[two[ok]])
         b.append(node[two[ok] + 1])
         for x, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
-            if n > MOST:
-                sent += [(to, common.pack(np.full(len(i), key[x] >> np.uint64(1), np.uint32), kind[i], node[i])) for to, i in _blocks(np.arange(x, x + n), int(key[x]))]
+            if most is not None and n > most:
+                sent += [(to, common.pack(np.full(len(i), key[x] >> np.uint64(1), np.uint32), kind[i], node[i])) for to, i in _blocks(np.arange(x, x + n), f"{group['bucket'][0].as_py()} {key[x]}", most)]
                 continue
             s, side = node[x : x + n], (kind[x : x + n] & 1).astype(bool)
             pairs = forest(s, near) if kind[x] >= 2 else two_sided(s, side, near)
@@ -229,8 +229,8 @@ def links_between(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     count = nodes.count()
     bits = scheme.bits or segment_bits(count)
     sent = nodes.select("fp").mapInArrow(signatures(scheme, bits, buckets_for(count * scheme.segments * bits)), "bucket int, payload binary")
-    found = common.stored(sent.groupBy("bucket").applyInArrow(compare(scheme.near), LINKS_DDL))
-    blocks = found.filter("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(compare(scheme.near), LINKS_DDL)
+    found = common.stored(sent.groupBy("bucket").applyInArrow(compare(scheme.near, MOST), LINKS_DDL))
+    blocks = found.filter("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(compare(scheme.near, None), LINKS_DDL)
     return found.unionByName(blocks).filter("a is not null").select("a", "b").distinct()
 
 

@@ -183,14 +183,14 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def attach(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The documents with all their marks as ``removed``: array<int> of starts and ends, merged and in order; null if none."""
+    """(doc, removed): a row of ``docs`` and all its marks, array<int> of starts and ends, merged and in order; null if none."""
     by_doc = by_document(marks).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("removed"))
     keys = keyed(docs, F.struct(*docs.columns).alias("doc"))
-    return keys.join(by_doc, (keys.id == F.col("_id")) & (keys.tag == F.col("_tag")), "left").select("doc.*", "removed")
+    return keys.join(by_doc, (keys.id == F.col("_id")) & (keys.tag == F.col("_tag")), "left").select("doc", "removed")
 
 
 def repeated_word_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` (doc_id, text and any more columns) with ``removed``: word intervals to remove.
+    """(doc, removed): rows of ``docs`` (doc_id, text and any more columns) with the word intervals to remove.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id.
     Null, empty and shorter texts lose nothing; a null doc_id counts as the largest. An empty table gives an empty one.
@@ -229,7 +229,7 @@ def digest(found: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.record_batch([b["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return found.select("doc_id", "text", "removed").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.select("doc.doc_id", "doc.text", "removed").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(found: DataFrame) -> DataFrame:
@@ -240,13 +240,15 @@ def cut(found: DataFrame) -> DataFrame:
     import re
 
     word = re.compile(rb"[^ \t-\r]+")
-    columns = [c for c in found.columns if c != "removed"]
-    schema = found.select(columns).schema
+    schema = found.schema["doc"].dataType
+    columns, spans = schema.fieldNames(), "removed"
+    while spans in columns:
+        spans = f"_{spans}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep = [], []
-            for text, removed in zip(common.binary(b["text"]), rows_of(b["removed"])):
+            for text, removed in zip(common.binary(b["text"]), rows_of(b[spans])):
                 if removed is not None and len(removed):
                     spots, at, parts = [m.span() for m in word.finditer(text)], 0, []
                     for start, end in [*zip(*intervals(removed)), (len(spots), len(spots))]:
@@ -261,4 +263,4 @@ def cut(found: DataFrame) -> DataFrame:
             new = {c: b[c] for c in columns} | {"text": pa.array(texts, pa.binary()).cast(b["text"].type)}
             yield pa.RecordBatch.from_pydict(new).filter(pa.array(keep, pa.bool_()))
 
-    return found.select(*columns, "removed").mapInArrow(run, schema)
+    return found.select("doc.*", F.col("removed").alias(spans)).mapInArrow(run, schema)

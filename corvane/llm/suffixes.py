@@ -181,7 +181,7 @@ def equal_windows(length: int, marks_n: int):
 
 
 def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` (doc_id, text and any more columns) with ``removed``: intervals of UTF-8 bytes to remove.
+    """(doc, removed): rows of ``docs`` (doc_id, text and any more columns) with the intervals of UTF-8 bytes to remove.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in this document or another;
     strings never cross documents. Null, empty and shorter texts lose nothing. Repeated rows are copies of each other.
@@ -218,4 +218,4 @@ def digest(found: DataFrame) -> DataFrame:
             n, gone, spans, sha = zip(*out) if out else ((), (), (), ())
             yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.select("doc_id", "text", "removed").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc.doc_id", "doc.text", "removed").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
