@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import licenses
+from corvane.llm import licenses, substring
 
 _A_Z = f"'{licenses.UPPER}', '{licenses.LOWER}'"
 
@@ -50,3 +50,22 @@ SELECT base.doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base,
   CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
 FROM base LEFT JOIN by_doc ON base.doc_id IS NOT DISTINCT FROM by_doc.doc_id
 """
+
+SUBSTRING_DEDUP = f"""
+WITH word AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + {substring.WINDOW - 1}), ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring.WINDOW - 2})) AS i FROM word)
+), least AS (
+  SELECT k, min(doc_id) AS first FROM win GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {substring.WINDOW})) AS pos FROM win JOIN least USING (k) WHERE doc_id > first
+), each AS (
+  SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM word
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY pos) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT word.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM word LEFT JOIN kept USING (doc_id)
+"""
