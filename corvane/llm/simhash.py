@@ -52,12 +52,12 @@ class Scheme:
 #: 64 bits in two segments of 32: of at most 3 differing bits, one segment has at most one.
 EXACT = Scheme(width=3, words=1, segments=2, bits=32, near=3)
 #: For a similarity of 0.8 or more on five-word shingles: bits of such texts differ with a probability of at most 0.151,
-#: so 60 of 384 are near the expected 58; unrelated texts differ in about 192.
-SIMILAR = Scheme(width=5, words=6, segments=12, bits=0, near=16, all_near=60)
+#: so 58 of 384 are expected at 0.8, with a deviation of 7; unrelated texts differ in about 192.
+SIMILAR = Scheme(width=5, words=6, segments=12, bits=0, near=18, all_near=64)
 
 
 def segment_bits(nodes: int) -> int:
-    return min(32, max(16, 6 + math.ceil(math.log2(max(nodes, 1)))))
+    return min(32, max(16, 4 + math.ceil(math.log2(max(nodes, 1)))))
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
