@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Maps the bytes A-Z to a-z and leaves all others.
@@ -63,6 +63,16 @@ def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
+def sampled(df: DataFrame, want: int, of: int, *keys: str) -> list[Row]:
+    """About ``want`` of ``of`` rows, those with the least hashes of their keys, the least first.
+
+    Tasks send on only what is taken, so what reaches the driver does not grow with them; repeated rows can't swell it.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *keys), 1)
+    chosen = df.withColumn("_h", h).filter(F.col("_h") < int(2**63 * min(1.0, want / max(of, 1))) if want < of else F.lit(True))
+    return sorted(chosen.limit(2 * want + 100).collect(), key=lambda r: (r["_h"], *((r[k] is None, r[k] or 0) for k in keys)))
+
+
 def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A text or binary column as Python bytes, without decoding."""
     return column.cast(pa.large_binary()).to_pylist()

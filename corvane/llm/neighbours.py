@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-Trees are fitted on a bounded sample (the SAMPLE rows with the least hashes of their ids): each node splits at the
+Trees are fitted on a bounded sample (about SAMPLE rows, those with the least hashes of their ids): each node splits at the
 median of the projection on the difference of two random rows. Every row is then routed to one leaf of each tree. A
 query searches all trees through one shared priority queue, always taking next the branch with the least distance to
 any hyperplane it crossed on the way, until the leaves hold ``search_k`` candidates. A leaf's rows and the queries that
@@ -132,7 +132,7 @@ def nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+BEST = pa.schema([("query_id", pa.int64()), ("found", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))])
 FOUND_DDL = "query_id long, vec_id long, score double"
 
 
@@ -156,9 +156,11 @@ def exact(rows: DataFrame, query_ids: np.ndarray, q: np.ndarray, k: int) -> Data
 
 def calibrate(forest: list[Tree], sizes: list[np.ndarray], rows: DataFrame, queries: DataFrame, k: int) -> int:
     """The least number of candidates that gives a sample of queries the recall AIM."""
-    sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATE).collect()
+    sample = common.sampled(queries, CALIBRATE, queries.count(), "vec_id")
     ids, q = np.array([r.vec_id for r in sample], np.int64), np.array([r.vector for r in sample], float)
-    found = exact(rows, ids, q, k).collect()  # at most CALIBRATE * k
+    found = exact(rows, ids, q, k).collect() if sample else []  # at most CALIBRATE * k
+    if not sample:  # there are queries, but none was drawn
+        return int(sum(sizes[0]))
     if not found:
         return 1
     leaf = np.stack([t.route(np.array([r.vector for r in found], float)) for t in forest], axis=1)
@@ -197,7 +199,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, column: str = "emb
     n = rows.count()
     if not n or queries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r.vector for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()], float)
+    sample = np.array([r.vector for r in common.sampled(rows, SAMPLE, n, "vec_id")], float)
     leaves = max(1, min(MOST_LEAVES, n // LEAF, len(sample) // 8))
     forest = [fit(sample, leaves, seed) for seed in range(TREES)]
     shared = spark.sparkContext.broadcast(forest)
@@ -236,11 +238,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, column: str = "emb
 
     def meet(x: pa.Table, v: pa.Table) -> pa.Table:
         if not len(x) or not len(v):
-            return pa.table([pa.array([], f.type) for f in FOUND], schema=FOUND)
-        q = matrix(v["q"].combine_chunks())
-        found = nearest(v["query_id"].to_numpy(), q, x["vec_id"].to_numpy(), matrix(x["vector"].combine_chunks()), k)
-        return pa.table([pa.array(c, f.type) for c, f in zip(found, FOUND)], schema=FOUND)
+            return pa.table([pa.array([], f.type) for f in BEST], schema=BEST)
+        query, found, score = nearest(v["query_id"].to_numpy(), matrix(v["q"].combine_chunks()), x["vec_id"].to_numpy(), matrix(x["vector"].combine_chunks()), k)
+        first = np.flatnonzero(common.in_order(query))
+        pairs = pa.StructArray.from_arrays([pa.array(score), pa.array(found)], fields=list(BEST.field("found").type.value_type))
+        return pa.table([pa.array(query[first], pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[first, len(query)].astype(np.int32)), pairs)], schema=BEST)
 
     key = ("tree", "leaf", "salt")
-    found = placed.groupBy(*key).cogroup(visited.groupBy(*key)).applyInArrow(meet, FOUND_DDL)
-    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+    best = placed.groupBy(*key).cogroup(visited.groupBy(*key)).applyInArrow(meet, "query_id long, found array<struct<score: double, vec_id: long>>")
+    # a query has no more than k of each leaf it visits, and a row is found once a tree at most
+    in_order = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k * TREES)
+    nearest_first = F.slice(F.array_distinct(in_order), 1, k)
+    best = best.groupBy("query_id").agg(nearest_first.alias("found")).select("query_id", F.posexplode("found").alias("rank", "x"))
+    return best.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
