@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import chain
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import common
 
-MARK, CHUNK, UNIT, REMEMBERED = "▁", 65_536, 1_000_000, 120_000
+MARK, CHUNK, UNIT, REMEMBERED, SHORT = "▁", 65_536, 1_000_000, 80_000, 64
 #: Stands for a mark that the text itself holds: a lone surrogate, which no text and no piece can hold.
 OWN_MARK = "\ud800"
 WORST = -(2**60)
@@ -100,6 +100,54 @@ def marked(text: str) -> str:
     return as_marks(f" {text}") if text else ""
 
 
+HASH_BASE, TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 18
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+class PieceTable:
+    """Numbers of pieces by a hash of their characters, for arrays of hashes."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        size = 2**TABLE_BITS
+        self.keys, self.numbers = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        known = [k for k, p in enumerate(vocabulary.pieces) if p is not None and vocabulary.table[p][1] == k]
+        by_length: dict[int, list[int]] = {}
+        for k in known:
+            by_length.setdefault(len(vocabulary.pieces[k]), []).append(k)
+        for n, numbers in by_length.items():
+            c = code_points("".join(vocabulary.pieces[k] for k in numbers)).reshape(-1, n)
+            h = np.zeros(len(numbers), np.uint64)
+            for j in range(n):
+                h = self.extended(h, c[:, j])
+            for x, k in zip(common.mixed(h).tolist(), numbers):
+                at = x >> 64 - TABLE_BITS
+                while self.keys[at]:
+                    at = (at + 1) % size
+                self.keys[at], self.numbers[at] = x, k
+
+    @staticmethod
+    def extended(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (h + c + np.uint64(1)) * HASH_BASE
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of the piece with each hash, -1 for none."""
+        h = common.mixed(h)
+        at = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        key = self.keys[at]
+        out = np.where(key == h, self.numbers[at], -1)
+        go = np.flatnonzero((key != h) & (key != 0))
+        while len(go):
+            at[go] = (at[go] + 1) % len(self.keys)
+            key = self.keys[at[go]]
+            same = key == h[go]
+            out[go[same]] = self.numbers[at[go[same]]]
+            go = go[~same & (key != 0)]
+        return out
+
+
 class Lattice:
     """Best paths over stretches of marked text."""
 
@@ -107,6 +155,8 @@ class Lattice:
         self.v = vocabulary
         self.table, self.longest, self.unknown = vocabulary.table, vocabulary.longest, vocabulary.unknown
         self.known: dict[str, tuple[int, tuple[int, ...]]] = {}
+        self.found = PieceTable(vocabulary)
+        self.score_of = np.array(vocabulary.scores, np.int64)
 
     def bytes_of(self, c: str) -> list[int]:
         return [self.v.byte[b] for b in {OWN_MARK: MARK, MARK: " "}.get(c, c).encode()]
@@ -146,16 +196,88 @@ class Lattice:
         if found is None:
             best, back = self.forward(text, 0, len(text))
             found = best[-1], tuple(self.path(text, back, 0, len(text)))
-            if len(text) <= 64:
+            if len(text) <= SHORT:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[text] = found
         return found
 
+    def wholes(self, texts: Iterable[str]) -> list[tuple[int, list[int]]]:
+        """Total score and pieces of each marked text; short stretches that are not known yet are solved all together."""
+        parts = [STRETCH.findall(t) for t in texts]
+        self.prepare(parts)
+        out = []
+        for p in parts:
+            try:
+                solved = list(map(self.known.__getitem__, p))
+            except KeyError:
+                solved = list(map(self.stretch, p))
+            out.append((sum([x[0] for x in solved]), list(chain.from_iterable([x[1] for x in solved]))))
+        return out
+
+    def prepare(self, parts: list[list[str]]) -> None:
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        new = {p for p in set(chain.from_iterable(parts)).difference(self.known) if len(p) <= SHORT}
+        batch: list[str] = []
+        size = 0
+        for p in sorted(new, key=len, reverse=True):
+            batch.append(p)
+            size += len(p)
+            if size >= 50_000:
+                self._solve(batch)
+                batch, size = [], 0
+        if batch:
+            self._solve(batch)
+
+    def _solve(self, texts: list[str]) -> None:
+        """The same as ``forward`` and ``path`` for many stretches at once, longest first; ties go to the longest last piece."""
+        lengths = np.array(list(map(len, texts)), np.int64)
+        ends = np.cumsum(lengths)
+        starts, end_of, c = ends - lengths, np.repeat(ends, lengths), code_points("".join(texts))
+        most = min(self.longest, int(lengths[0]))
+        score = np.full((most + 1, len(c)), WORST, np.int64)
+        piece = np.full((most + 1, len(c)), -1, np.int32)
+        i, h = np.arange(len(c)), np.zeros(len(c), np.uint64)
+        for n in range(1, most + 1):
+            fits = i + n <= end_of[i]
+            i, h = i[fits], h[fits]
+            h = self.found.extended(h, c[i + n - 1])
+            k = self.found.find(h)
+            score[n, i] = np.where(k >= 0, self.score_of[k], self.unknown if n == 1 else WORST)
+            piece[n, i] = k
+        begin = starts + np.arange(len(texts))  # of each stretch's places, one more than its characters
+        best, back = np.full(len(c) + len(texts), WORST, np.int64), np.zeros(len(c) + len(texts), np.int32)
+        best[begin] = 0
+        for j in range(1, int(lengths[0]) + 1):
+            t = int(np.searchsorted(-lengths, -j, "right"))  # stretches that are long enough
+            top, last = np.full(t, WORST, np.int64), np.zeros(t, np.int32)
+            for n in range(min(most, j), 0, -1):
+                x = best[begin[:t] + j - n] + score[n, starts[:t] + j - n]
+                better = x > top
+                top, last = np.where(better, x, top), np.where(better, n, last)
+            best[begin[:t] + j], back[begin[:t] + j] = top, last
+        who, at, steps = np.arange(len(texts)), lengths.copy(), []
+        while len(who):
+            n = back[begin[who] + at[who]]
+            at[who] -= n
+            steps.append((who, piece[n, starts[who] + at[who]], at[who]))
+            who = who[at[who] > 0]
+        who, numbers, places = (np.concatenate(x) for x in zip(*steps))
+        order = np.lexsort((places, who))
+        numbers, places = numbers[order].tolist(), places[order].tolist()
+        cuts = np.r_[0, np.cumsum(np.bincount(who, minlength=len(texts)))].tolist()
+        totals = best[begin + lengths].tolist()
+        for text, total, a, b in zip(texts, totals, cuts, cuts[1:]):
+            ids = numbers[a:b]
+            if -1 in ids:
+                ids = list(chain.from_iterable([k] if k >= 0 else self.bytes_of(text[p]) for k, p in zip(ids, places[a:b])))
+            elif "".join(map(self.v.pieces.__getitem__, ids)) != text:  # hashes of different pieces were equal
+                continue
+            self.known[text] = total, tuple(ids)
+
     def whole(self, text: str) -> tuple[int, list[int]]:
-        """Total score and pieces of a marked text."""
-        parts = list(map(self.stretch, STRETCH.findall(text)))
-        return sum(p[0] for p in parts), list(chain.from_iterable(p[1] for p in parts))
+        return self.wholes([text])[0]
 
     def _cuts(self, text: str, n: int) -> tuple[int, int] | None:
         """First and last place inside the chunk that no piece crosses."""
@@ -259,9 +381,11 @@ def _chunks(docs: DataFrame, reach: int, chunk: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, k int, n int, part string")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = CHUNK, restored: str | None = None) -> DataFrame:
     """``docs`` (text and any more columns) with ``pieces`` (array<int>) and ``score`` (log of Zipf's law, summed).
 
+    ``restored`` names a column for the text that the pieces decode to, which saves sending them to another worker.
+
     A null text has null pieces, an empty one none; both have score 0. Texts are encoded whole. Columns of the two names
     are replaced. An empty table gives an empty one.
     """
@@ -270,17 +394,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = C
     columns = [c for c in docs.columns if c not in ("pieces", "score")]
     inner = docs.select(F.struct(*columns).alias("doc"), "text")
     ddl = T.StructType([inner.schema["doc"], T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType())])
+    if restored:
+        ddl = ddl.add("_decoded", T.StringType())
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(shared.value)
+        lattice, as_bytes = Lattice(shared.value), shared.value.as_bytes
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.slice(at, 500)
-                found = [(0, None) if x is None else lattice.whole(marked(x)) for x in b["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([b["doc"], _list([f[1] for f in found]), pa.array([f[0] / UNIT for f in found], pa.float64())], names=["doc", "pieces", "score"])
+            for at in range(0, len(whole), 250):
+                b = whole.slice(at, 250)
+                texts = [None if x is None else marked(x) for x in b["doc"].field("text").to_pylist()]
+                solved = iter(lattice.wholes([x for x in texts if x is not None]))
+                found = [(0, None) if x is None else next(solved) for x in texts]
+                out = [b["doc"], _list([f[1] for f in found]), pa.array([f[0] / UNIT for f in found], pa.float64())]
+                if restored:
+                    out.append(pa.array([None if ids is None else decoded(np.array(ids, np.int32), as_bytes) for _, ids in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=ddl.names)
 
     is_giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    encoded = inner.filter(~is_giant).mapInArrow(small, ddl)
+    encoded = inner.filter(~is_giant).select("doc").mapInArrow(small, ddl)
     giants = common.stored(inner.filter(is_giant).withColumn("row", F.monotonically_increasing_id()))
     chunks = common.stored(_chunks(giants, vocabulary.longest - 1, chunk).repartition("row", "k"))
 
@@ -308,7 +439,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = C
     traced = chunks.join(ends, ["row", "k"]).mapInArrow(pieces, "row long, k int, ids array<int>, part_score long")
     parts = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("pieces"), (F.sum("part_score") / UNIT).alias("score"))
     long_ones = giants.join(parts, "row").select("doc", "pieces", "score")
-    return encoded.unionByName(long_ones).select("doc.*", "pieces", "score")
+    if restored:
+        long_ones = decode(long_ones, vocabulary, into="_decoded")
+    kept = [F.col("doc").getField(c).alias(c) for c in columns if c != restored]
+    return encoded.unionByName(long_ones).select(*kept, "pieces", "score", *([F.col("_decoded").alias(restored)] if restored else []))
 
 
 def decoded(ids: np.ndarray, as_bytes: list[bytes]) -> str:
@@ -325,8 +459,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None, into: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.slice(at, 500)
+            for at in range(0, len(whole), 250):
+                b = whole.slice(at, 250)
                 values, offsets = b["pieces"].values.to_numpy(), b["pieces"].offsets.to_numpy()
                 texts = [decoded(values[x:y], as_bytes.value) if ok else None for x, y, ok in zip(offsets, offsets[1:], b["pieces"].is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([b["doc"], pa.array(texts, pa.string())], names=["doc", "_decoded"])

@@ -27,9 +27,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = pieces.load()
-    encoded = pieces.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    found = pieces.decode(encoded, vocabulary, into="decoded")
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode(docs, restored="decoded")
     size = F.coalesce(F.size("pieces"), F.lit(0)).cast("long")
     return found.select("doc_id", "pieces", size.alias("n_pieces"), "score", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
 

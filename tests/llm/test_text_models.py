@@ -226,6 +226,8 @@ def test_round_trip(crowded, spark, nothing):
             found = pieces.decode(pieces.encode(df, v, chunk), v, into="decoded")
             assert found.columns == [*df.columns, "pieces", "score", "decoded"]
             assert found.filter("not decoded <=> text").count() == 0 and found.count() == df.count()
+            again = pieces.encode(df, v, chunk, restored="decoded")
+            assert again.columns == found.columns and again.filter("not decoded <=> text").count() == 0
     a, b = (pieces.encode(odd, v, c).orderBy("doc_id").collect() for c in (65_536, 100))
     assert [r.score for r in a] == pytest.approx([r.score for r in b])
     assert a[3].pieces == [] and a[4].pieces is None
