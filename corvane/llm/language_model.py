@@ -31,7 +31,7 @@ from corvane.llm.substring import bucket_of, buckets_for, packed_by_bucket, unpa
 
 HEAVY, VOCABULARY, DIMENSION, NOISE, BATCH, WARM, SEED = 400_000, 766, 24, 48, 2048, 400_000, 7
 END = b""  # no word is empty
-RATE = 0.08
+RATE, WARM_DOCUMENTS = 0.08, 1500
 
 
 def held_out() -> Column:
@@ -138,10 +138,12 @@ def _document(text: bytes | None, number: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(chain((number.get(w, 1) for w in found), (0,)), np.int32, len(found) + 1)
 
 
-def train(docs: DataFrame, vocabulary: list[bytes], unigram: np.ndarray) -> LogBilinear:
+def train(docs: DataFrame, vocabulary: list[bytes], unigram: np.ndarray, documents: int) -> LogBilinear:
+    """``documents``: how many there are in training."""
     model, number = LogBilinear(unigram), _numbers(vocabulary)
     train_docs = docs.filter(~held_out())
-    warm = train_docs.filter(F.octet_length("text") < 100_000).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(1500).select("text").collect()
+    short = train_docs.filter(F.octet_length("text") < 100_000)
+    warm = common.sampled(short, WARM_DOCUMENTS, documents, "doc_id", "text")
     tokens = [rows_of_tokens(_document(r.text.encode(), number)) for r in warm]
     if tokens:
         rows = np.concatenate(tokens)[:WARM]
@@ -193,7 +195,7 @@ def score(docs: DataFrame) -> DataFrame:
     known = [heavy.get(END, 0), *(heavy[w] for w in vocabulary)]
     rest = total - sum(known)
     unigram = np.array([known[0] + 1.0, rest + 1.0, *known[1:]])
-    model = train(docs, vocabulary, unigram)
+    model = train(docs, vocabulary, unigram, heavy.get(END, 0))
     number = _numbers(vocabulary)
     one, two, normal = model.tables()
     log_heavy = {w: float(np.log10(c + 0.5)) for w, c in heavy.items()}
