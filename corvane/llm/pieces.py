@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import common
 
-MARK, CHUNK, UNIT, REMEMBERED, SHORT = "▁", 65_536, 1_000_000, 80_000, 64
+MARK, CHUNK, UNIT, REMEMBERED, SHORT = "▁", 65_536, 1_000_000, 200_000, 64
 #: Stands for a mark that the text itself holds: a lone surrogate, which no text and no piece can hold.
 OWN_MARK = "\ud800"
 WORST = -(2**60)
@@ -224,7 +224,7 @@ class Lattice:
         for p in sorted(new, key=len, reverse=True):
             batch.append(p)
             size += len(p)
-            if size >= 50_000:
+            if size >= 100_000:
                 self._solve(batch)
                 batch, size = [], 0
         if batch:
@@ -400,8 +400,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = C
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, as_bytes = Lattice(shared.value), shared.value.as_bytes
         for whole in batches:
-            for at in range(0, len(whole), 250):
-                b = whole.slice(at, 250)
+            for at in range(0, len(whole), 500):
+                b = whole.slice(at, 500)
                 texts = [None if x is None else marked(x) for x in b["doc"].field("text").to_pylist()]
                 solved = iter(lattice.wholes([x for x in texts if x is not None]))
                 found = [(0, None) if x is None else next(solved) for x in texts]
