@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import accumulate
 
 import numpy as np
@@ -27,7 +27,7 @@ from corvane.llm import common
 from corvane.llm.graph import components
 from corvane.llm.substring import bucket_of, buckets_for
 
-SEED, MOST, BUCKET = 42, 20_000, 2_000_000
+SEED, MOST, FEW, BUCKET = 42, 20_000, 64, 2_000_000
 LANES = np.uint64(0x0101010101010101)
 SHIFTS = np.arange(8, dtype=np.uint64)
 
@@ -38,7 +38,7 @@ class Scheme:
 
     width: words in a shingle. words: 64-bit words of a fingerprint. segments of bits: what is indexed; with 0 bits, as
     many as keep chance meetings in a signature equally rare at any number of fingerprints. near: differing bits allowed
-    in the first word where a bucket compares; all_near: in the whole fingerprint, checked afterwards.
+    in the first word; all_near: in the whole fingerprint. Buckets check both.
     """
 
     width: int
@@ -90,12 +90,12 @@ def fingerprint(h: np.ndarray, words: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc_id, text_hash, fp binary, node) for each row; a null or empty text has fingerprint zero. node is fp's first word."""
+    """(doc_id, text_hash, fp binary, node) for each row; a null or empty text has fingerprint zero. node stands for fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(shingle_hashes(x, scheme.width), scheme.words) for x in common.binary(b["text"])]
-            node = np.frombuffer(b"".join(x[:8] for x in fp), ">u8").astype(np.uint64).view(np.int64)
+            node = node_of(as_words(fp, scheme.words)).view(np.int64)
             yield pa.record_batch([b["doc_id"], b["text_hash"], pa.array(fp, pa.binary()), pa.array(node)], ["doc_id", "text_hash", "fp", "node"])
 
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
@@ -110,22 +110,32 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def forest(sketch: np.ndarray, near: int) -> list[tuple[int, int]]:
-    """Pairs of positions that join all members which links of at most ``near`` bits join; at most one less than members."""
+def linked(sketch: np.ndarray, at: np.ndarray, to: np.ndarray | int, scheme: Scheme) -> np.ndarray:
+    """Which of the fingerprints ``at`` link with ``to``, by the scheme's whole test; a link is final."""
+    hit = popcount(sketch[at, 0] ^ sketch[to, 0]) <= scheme.near
+    if scheme.all_near is not None:
+        k = np.flatnonzero(hit)
+        other = to if np.ndim(to) == 0 else to[k]
+        hit[k] = popcount(sketch[at[k]] ^ sketch[other]).sum(1) <= scheme.all_near
+    return hit
+
+
+def forest(sketch: np.ndarray, scheme: Scheme) -> list[tuple[int, int]]:
+    """Pairs of positions that join all members which links join; at most one less than members."""
     left, out = np.arange(1, len(sketch)), []
     stack = [0]
     while len(left):
         at = stack.pop() if stack else int(left[0])
-        hit = popcount(sketch[left] ^ sketch[at]) <= near
+        hit = linked(sketch, left, at, scheme)
         for k in left[hit].tolist():
             if k != at:
                 out.append((at, k))
                 stack.append(k)
-        left = left[~hit]
+        left = left[~hit & (left != at)]
     return out
 
 
-def two_sided(sketch: np.ndarray, side: np.ndarray, near: int) -> list[tuple[int, int]]:
+def two_sided(sketch: np.ndarray, side: np.ndarray, scheme: Scheme) -> list[tuple[int, int]]:
     """The same where only members of different sides link."""
     left = [np.flatnonzero(~side), np.flatnonzero(side)]
     out: list[tuple[int, int]] = []
@@ -136,7 +146,7 @@ def two_sided(sketch: np.ndarray, side: np.ndarray, near: int) -> list[tuple[int
         else:
             at, left[0] = int(left[0][0]), left[0][1:]
         other = int(not side[at])
-        hit = popcount(sketch[left[other]] ^ sketch[at]) <= near
+        hit = linked(sketch, left[other], at, scheme)
         for k in left[other][hit].tolist():
             out.append((at, k))
             stack.append(k)
@@ -144,75 +154,119 @@ def two_sided(sketch: np.ndarray, side: np.ndarray, near: int) -> list[tuple[int
     return out
 
 
+def few_pairs(begin: np.ndarray, size: np.ndarray, kind: np.ndarray, who: np.ndarray, sketch: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """All links inside many small groups at once, as positions."""
+    at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(begin + size, size) - at
+    a, b = [at[:0]], [at[:0]]
+    for k in range(1, int(size.max(initial=1))):
+        at, left = at[left > k], left[left > k]
+        for x in range(0, len(at), 1_000_000):
+            i = at[x : x + 1_000_000]
+            i = i[(kind[i] >= 2) | (kind[i] != kind[i + k])]
+            i = i[linked(sketch, who[i], who[i + k], scheme)]
+            a.append(i)
+            b.append(i + k)
+    return np.concatenate(a), np.concatenate(b)
+
+
 BLOCKS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 LINKS_DDL = "a long, b long, bucket int, payload binary"
 
 
-def signatures(scheme: Scheme, bits: int, n: int):
-    """Sends (signature, side of the left-out bit, first word) of every fingerprint to the signature's bucket.
+def node_of(fp: np.ndarray) -> np.ndarray:
+    """A number for each fingerprint (a row of words): a single word itself, else a hash of all words."""
+    out = fp[:, 0]
+    for k in range(1, fp.shape[1]):
+        out = common.mixed(out * common.MIX_2 + fp[:, k])
+    return out
+
+
+def as_words(fp: list[bytes], words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(fp), ">u8").reshape(len(fp), words).astype(np.uint64)
 
-    32 bits of a signature are enough there: where different ones meet, the comparison tells them apart.
+
+def members(key: np.ndarray, kind: np.ndarray, who: np.ndarray, fp: np.ndarray) -> bytes:
+    """Signatures with their fingerprints, each fingerprint once; ``who`` is sorted."""
+    new = np.flatnonzero(common.in_order(who))
+    return common.pack(key.astype(np.uint32), kind.astype(np.uint8), np.diff(np.r_[new, len(who)]).astype(np.uint32), fp[who[new]].ravel())
+
+
+def signatures(scheme: Scheme, n: int):
+    """Sends (signature, side of the left-out bit, fingerprint) of every fingerprint to the signature's bucket.
+
+    Signatures that leave out a bit of one half of a segment go by the other half, so that a fingerprint travels to at
+    most two buckets a segment, once to each. 32 bits of a signature are enough there: where different ones meet, the
+    comparison tells them apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, half = scheme.bits, scheme.bits // 2
         for whole in batches:
             for at in range(0, len(whole), 4000):
                 b = whole.slice(at, 4000)
-                fp = np.frombuffer(b"".join(b["fp"].to_pylist()), ">u8").reshape(len(b), scheme.words).astype(np.uint64)
+                fp = as_words(b["fp"].to_pylist(), scheme.words)
                 parts = np.stack([(fp[:, s // 2] >> np.uint64(32 * (s % 2))) & np.uint64(2**bits - 1) for s in range(scheme.segments)], axis=1)
                 out = np.uint64(1) << np.arange(bits, dtype=np.uint64)
                 value = parts[:, :, None] & ~out
-                name = (np.arange(scheme.segments, dtype=np.uint64)[:, None] * np.uint64(64) + np.arange(bits, dtype=np.uint64)) << np.uint64(40)
-                key = common.mixed(value ^ name)
+                segment = np.arange(scheme.segments, dtype=np.uint64)[:, None] * np.uint64(64)
+                key = common.mixed(value ^ ((segment + np.arange(bits, dtype=np.uint64)) << np.uint64(40))).ravel()
+                low = np.arange(bits) < half
+                whole_half = np.where(low, parts[:, :, None] >> np.uint64(half), parts[:, :, None] & np.uint64(2**half - 1))
+                bucket = bucket_of(common.mixed(common.mixed(whole_half ^ ((segment + low.astype(np.uint64)) << np.uint64(40)))), n).ravel()
                 side = ((parts[:, :, None] & out) != 0).ravel()
-                first = np.broadcast_to(np.arange(bits) == 0, key.shape).ravel()
+                first = np.broadcast_to(np.arange(bits) == 0, value.shape).ravel()
                 who = np.repeat(np.arange(len(b)), scheme.segments * bits)
-                bucket, key = bucket_of(common.mixed(key.ravel()), n), key.ravel()
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(common.in_order(bucket[order]))
                 rows = []
                 for x, y in zip(cuts, [*cuts[1:], len(order)]):
                     i = order[x:y]
-                    rows.append((int(bucket[i[0]]), common.pack(key[i].astype(np.uint32), side[i] + 2 * first[i].astype(np.uint8), fp[who[i], 0])))
+                    rows.append((int(bucket[i[0]]), members(key[i], side[i] + 2 * first[i].astype(np.uint8), who[i], fp)))
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=BLOCKS)
 
     return run
 
 
-def _blocks(members: np.ndarray, name: str, most: int) -> Iterator[tuple[int, np.ndarray]]:
+def _blocks(group: np.ndarray, name: str, most: int) -> Iterator[tuple[int, np.ndarray]]:
     """Every two blocks of a large group, under a number of their own."""
-    parts = np.array_split(members, -(-2 * len(members) // most))
+    parts = np.array_split(group, -(-2 * len(group) // most))
     for i, x in enumerate(parts):
         for y in parts[i + 1 :]:
             yield int(xxhash.xxh32_intdigest(f"{name} {x[0]} {y[0]}") >> 1), np.concatenate([x, y])
 
 
-def compare(near: int, most: int | None):
+def compare(scheme: Scheme, most: int | None):
     """Links within each signature of a bucket; groups over ``most`` members, if given, are sent on in blocks."""
 
     def run(group: pa.Table) -> pa.Table:
         parts = [common.unpack(p) for p in group["payload"].to_pylist()]
-        key, kind, node = (np.concatenate(x) for x in zip(*parts))
+        key, kind, counts, fp = (np.concatenate(x) for x in zip(*parts))
+        fp = fp.reshape(-1, scheme.words)
+        node, who = node_of(fp), np.repeat(np.arange(len(fp)), counts)
         # a bit that comes first or not is part of the signature, for where different ones share 32 bits
         key = key.astype(np.uint64) * np.uint64(2) + (kind >> 1)
-        order = np.lexsort((node, key))
-        key, kind, node = key[order], kind[order], node[order]
+        order = np.lexsort((node[who], key))
+        key, kind, who = key[order], kind[order], who[order]
         begin = np.flatnonzero(common.in_order(key))
         size = np.diff(np.r_[begin, len(key)])
-        a, b, sent = [], [], []
-        two = begin[size == 2]
-        ok = (popcount(node[two] ^ node[two + 1]) <= near) & ((kind[two] >= 2) | (kind[two] != kind[two + 1]))
-        a.append(node[two[ok]])
-        b.append(node[two[ok] + 1])
-        for x, n in zip(begin[size > 2].tolist(), size[size > 2].tolist()):
+        few = (size > 1) & (size <= FEW) & (most is None or size <= most)
+        a, b = few_pairs(begin[few], size[few], kind, who, fp, scheme)
+        # where links abound, as among near copies, a spanning forest takes their place
+        of = np.searchsorted(begin, a, "right") - 1
+        many = np.bincount(of, minlength=len(begin)) >= size
+        a, b = [node[who[a[~many[of]]]]], [node[who[b[~many[of]]]]]
+        sent = []
+        rest = (size > 1) & (~few | many)
+        for x, n in zip(begin[rest].tolist(), size[rest].tolist()):
             if most is not None and n > most:
-                sent += [(to, common.pack(np.full(len(i), key[x] >> np.uint64(1), np.uint32), kind[i], node[i])) for to, i in _blocks(np.arange(x, x + n), f"{group['bucket'][0].as_py()} {key[x]}", most)]
+                sent += [(to, members(np.full(len(i), key[x] >> np.uint64(1), np.uint32), kind[i], np.arange(len(i)), fp[who[i]])) for to, i in _blocks(np.arange(x, x + n), f"{group['bucket'][0].as_py()} {key[x]}", most)]
                 continue
-            s, side = node[x : x + n], (kind[x : x + n] & 1).astype(bool)
-            pairs = forest(s, near) if kind[x] >= 2 else two_sided(s, side, near)
+            s, side = fp[who[x : x + n]], (kind[x : x + n] & 1).astype(bool)
+            pairs = forest(s, scheme) if kind[x] >= 2 else two_sided(s, side, scheme)
             if pairs:
-                i = np.array(pairs) + x
+                i = who[np.array(pairs) + x]
                 a.append(node[i[:, 0]])
                 b.append(node[i[:, 1]])
         a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
@@ -227,10 +281,11 @@ def compare(near: int, most: int | None):
 def links_between(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b): links that join the same nodes as all links of the scheme do. ``nodes``: (node long, fp binary), no repeats."""
     count = nodes.count()
-    bits = scheme.bits or segment_bits(count)
-    sent = nodes.select("fp").mapInArrow(signatures(scheme, bits, buckets_for(count * scheme.segments * bits)), "bucket int, payload binary")
-    found = common.stored(sent.groupBy("bucket").applyInArrow(compare(scheme.near, MOST), LINKS_DDL))
-    blocks = found.filter("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(compare(scheme.near, None), LINKS_DDL)
+    scheme = replace(scheme, bits=scheme.bits or segment_bits(count))
+    n = buckets_for(count * scheme.segments * scheme.bits)
+    sent = nodes.select("fp").mapInArrow(signatures(scheme, n), "bucket int, payload binary")
+    found = common.stored(sent.groupBy("bucket").applyInArrow(compare(scheme, MOST), LINKS_DDL))
+    blocks = found.filter("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(compare(scheme, None), LINKS_DDL)
     return found.unionByName(blocks).filter("a is not null").select("a", "b").distinct()
 
 
@@ -244,10 +299,6 @@ def groups(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     rows = common.stored(fingerprints(docs, scheme))
     nodes = common.stored(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")))
     links = links_between(nodes, scheme)
-    if scheme.all_near is not None:
-        left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-        words = [F.bit_count(_word("fa", k).bitwiseXOR(_word("fb", k))) for k in range(scheme.words)]
-        links = links.join(left, "a").join(right, "b").filter(sum(words[1:], words[0]) <= scheme.all_near).select("a", "b")
     labels = components(links)
     known = labels.join(nodes.select("node", "least"), "node")
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -266,7 +317,3 @@ def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_hash"))
     kept = keyed.join(first, keyed._id.eqNullSafe(F.col("_doc_id")) & (keyed._hash == F.col("_text_hash")))
     return kept.dropDuplicates(["_id", "_hash"]).select("doc.*")
-
-
-def _word(fp: str, k: int) -> Column:
-    return F.conv(F.hex(F.substring(fp, 8 * k + 1, 8)), 16, -10).cast("long")

@@ -191,3 +191,28 @@ def test_components_of_chains_stars_and_loops(spark):
     assert len({found[k] for k in range(201)}) == 1 and len({found[1000 + k] for k in range(300)}) == 1
     assert found[5000] == 5000 and len(set(found.values())) == 3
     assert graph.components(df.filter("false")).collect() == []
+
+
+def similar_nodes(spark, fps):
+    """Fingerprints of six words, each a row of 0 and 1."""
+    raw = np.packbits(fps, axis=1)
+    nodes = simhash.node_of(raw.view(">u8").astype(np.uint64)).view(np.int64)
+    return spark.createDataFrame([(bytearray(x.tobytes()), n) for x, n in zip(raw, nodes.tolist())], "fp binary, node long"), nodes
+
+
+def test_hub_does_not_hide_links(spark):
+    """A hub is near others in the first word only; those others are near each other in all words."""
+    draw = np.random.default_rng(5)
+    hub = draw.integers(0, 2, 384).astype(np.uint8)
+    fps, want = [hub], set()
+    for k in range(40):
+        x = hub.copy()
+        x[draw.choice(np.arange(16, 64), 6, replace=False)] ^= 1
+        x[64:] = draw.integers(0, 2, 320)
+        y = x.copy()
+        y[draw.choice(np.arange(64, 384), 30, replace=False)] ^= 1
+        fps += [x, y]
+        want.add((2 * k + 1, 2 * k + 2))
+    df, nodes = similar_nodes(spark, np.array(fps))
+    at = {n: k for k, n in enumerate(nodes.tolist())}
+    assert {tuple(sorted((at[r.a], at[r.b]))) for r in simhash.links_between(df, simhash.SIMILAR).collect()} == want
