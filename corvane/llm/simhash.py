@@ -12,9 +12,8 @@ blocks are compared in a task of their own.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -36,9 +35,9 @@ SHIFTS = np.arange(8, dtype=np.uint64)
 class Scheme:
     """How texts become fingerprints and which of them link.
 
-    width: words in a shingle. words: 64-bit words of a fingerprint. segments of bits: what is indexed; with 0 bits, as
-    many as keep chance meetings in a signature equally rare at any number of fingerprints. near: differing bits allowed
-    in the first word; all_near: in the whole fingerprint. Buckets check both.
+    width: words in a shingle. words: 64-bit words of a fingerprint. segments of bits: what is indexed, the same at any
+    number of fingerprints, so a pair is found or not whatever else the table holds. near: differing bits allowed in the
+    first word; all_near: in the whole fingerprint. Buckets check both.
     """
 
     width: int
@@ -52,12 +51,9 @@ class Scheme:
 #: 64 bits in two segments of 32: of at most 3 differing bits, one segment has at most one.
 EXACT = Scheme(width=3, words=1, segments=2, bits=32, near=3)
 #: For a similarity of 0.8 or more on five-word shingles: bits of such texts differ with a probability of at most 0.151,
-#: so 58 of 384 are expected at 0.8, with a deviation of 7; unrelated texts differ in about 192.
-SIMILAR = Scheme(width=5, words=6, segments=12, bits=0, near=18, all_near=64)
-
-
-def segment_bits(nodes: int) -> int:
-    return min(32, max(16, 4 + math.ceil(math.log2(max(nodes, 1)))))
+#: so 58 of 384 are expected at 0.8, with a deviation of 7; unrelated texts differ in about 192. Such a pair agrees in
+#: one of 12 segments of 16 bits up to one bit with a probability of 0.98.
+SIMILAR = Scheme(width=5, words=6, segments=12, bits=16, near=18, all_near=64)
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -280,9 +276,7 @@ def compare(scheme: Scheme, most: int | None):
 
 def links_between(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b): links that join the same nodes as all links of the scheme do. ``nodes``: (node long, fp binary), no repeats."""
-    count = nodes.count()
-    scheme = replace(scheme, bits=scheme.bits or segment_bits(count))
-    n = buckets_for(count * scheme.segments * scheme.bits)
+    n = buckets_for(nodes.count() * scheme.segments * scheme.bits)
     sent = nodes.select("fp").mapInArrow(signatures(scheme, n), "bucket int, payload binary")
     found = common.stored(sent.groupBy("bucket").applyInArrow(compare(scheme, MOST), LINKS_DDL))
     blocks = found.filter("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(compare(scheme, None), LINKS_DDL)

@@ -216,3 +216,16 @@ def test_hub_does_not_hide_links(spark):
     df, nodes = similar_nodes(spark, np.array(fps))
     at = {n: k for k, n in enumerate(nodes.tolist())}
     assert {tuple(sorted((at[r.a], at[r.b]))) for r in simhash.links_between(df, simhash.SIMILAR).collect()} == want
+
+
+def test_pairs_meet_in_a_large_table(spark):
+    """Pairs that differ in 58 of 384 bits, as at a similarity of 0.8, among many other fingerprints."""
+    draw = np.random.default_rng(6)
+    fps = draw.integers(0, 2, (40_000, 384)).astype(np.uint8)
+    pairs = fps[:1000].copy()
+    for x in pairs:
+        x[draw.choice(384, 58, replace=False)] ^= 1
+    df, nodes = similar_nodes(spark, np.concatenate([fps, pairs]))
+    want = {tuple(sorted(x)) for x in zip(nodes[:1000].tolist(), nodes[40_000:].tolist())}
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.links_between(df, simhash.SIMILAR).collect()}
+    assert got <= want and len(got) >= 0.96 * len(want)
