@@ -93,13 +93,14 @@ def block_of(blocks: str = "blocks") -> Column:
 
 @dataclass
 class Plan:
-    """sources: a row each with its size, target, passes, last place taken and blocks. shards: (sid, block, shards by pass)."""
+    """sources: a row each with its size, target, passes, last place taken and blocks. tied: a source ends among several rows of one place. shards: (sid, block, shards by pass)."""
 
     sources: DataFrame
+    tied: bool
     shards: DataFrame
 
 
-SOURCES = "source string, sid int, source_size long, target double, passes long, blocks long, rest long, last_block long, last_place long, part long"
+SOURCES = "source string, sid int, source_size long, target double, passes long, blocks long, rest long, last_block long, last_place long, part long, tied long"
 
 
 def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> Plan:
@@ -113,7 +114,7 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     table["passes"] = (np.floor(aim).astype(np.int64)) // size
     table["blocks"] = np.maximum(1, -(-size // BLOCK))
     table["rest"] = np.floor(aim).astype(np.int64) - table["passes"] * size
-    table["last_block"], table["last_place"], table["part"] = -1, -1, 0
+    table["last_block"], table["last_place"], table["part"], table["tied"] = -1, -1, 0, 0
 
     def as_frame() -> DataFrame:
         return spark.createDataFrame([tuple(None if x is None else x for x in r) for r in table.astype(object).itertuples(index=False)], SOURCES)
@@ -125,12 +126,14 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     for r in ends:
         table.loc[r.sid, ["last_block", "part"]] = r.block, r.before
     inside = _with_sources(rows, as_frame()).withColumn("block", block_of()).filter("rest > 0 and block = last_block")
-    before = F.sum("size").over(Window.partitionBy("sid").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)) + F.col("part")
-    met = inside.withColumn("reached", before).filter("reached >= rest").groupBy("sid").agg(F.min(F.struct("place", "size", "reached")).alias("x"))
+    # rows of one place, as repeated ones have, are met together and share what is left of the target there
+    places = inside.groupBy("sid", "rest", "part", "place").agg(F.sum("size").alias("words"), F.count("*").alias("tied"))
+    reached = F.sum("words").over(Window.partitionBy("sid").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) + F.col("part")
+    met = places.withColumn("reached", reached).filter("reached >= rest").groupBy("sid").agg(F.min(F.struct("place", "words", "reached", "tied")).alias("x"))
     for r in met.select("sid", "x.*").collect():
-        table.loc[r.sid, ["last_place", "part"]] = r.place, int(table.loc[r.sid, "rest"]) - (r.reached - r["size"])
+        table.loc[r.sid, ["last_place", "part", "tied"]] = r.place, int(table.loc[r.sid, "rest"]) - (r.reached - r["words"]), r.tied
     quota = (table["passes"] * table["blocks"] + table["last_block"] + 1).to_numpy(np.int64)
-    return Plan(as_frame(), _shards(spark, quota, table["blocks"].to_numpy(np.int64), seed))
+    return Plan(as_frame(), bool((table["tied"] > 1).any()), _shards(spark, quota, table["blocks"].to_numpy(np.int64), seed))
 
 
 def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -167,10 +170,26 @@ def _shards(spark: SparkSession, quota: np.ndarray, blocks: np.ndarray, seed: in
     return drawn.groupBy("sid", "block").agg(in_order.alias("shards"))
 
 
+def numbered(tied: DataFrame) -> DataFrame:
+    """Rows of one place in a source with their number from 0, counted within tasks first."""
+    order = Window.partitionBy("sid", "task").orderBy("place")
+    found = common.stored(tied.withColumn("task", F.spark_partition_id()).withColumn("number", F.row_number().over(order) - 1))
+    counts = found.groupBy("sid", "task").count()
+    before = F.sum("count").over(Window.partitionBy("sid").orderBy("task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")
+    counts = counts.select("sid", "task", before.alias("before"))
+    return found.join(counts, ["sid", "task"]).withColumn("number", F.col("number") + F.col("before")).drop("task", "before")
+
+
 def applied(rows: DataFrame, by: Plan) -> DataFrame:
     """``rows`` with source_size, target, taken (words, repeats counted) and shards (one for each time it is drawn)."""
-    part = F.when(F.col("place") < F.col("last_place"), F.col("size")).when(F.col("place") == F.col("last_place"), F.least("part", "size")).otherwise(F.lit(0))
-    out = _with_sources(rows, by.sources).withColumn("part", part).withColumn("block", block_of())
+    part = F.when(F.col("place") < F.col("last_place"), F.col("size")).when(F.col("place") == F.col("last_place"), F.least(F.greatest(F.col("part") - F.col("number") * F.col("size"), F.lit(0)), F.col("size"))).otherwise(F.lit(0))
+    out = _with_sources(rows, by.sources)
+    if by.tied:
+        tied = (F.col("place") == F.col("last_place")) & (F.col("tied") > 1)
+        out = out.filter(~tied).withColumn("number", F.lit(0).cast("long")).unionByName(numbered(out.filter(tied)))
+    else:
+        out = out.withColumn("number", F.lit(0).cast("long"))
+    out = out.withColumn("part", part).withColumn("block", block_of())
     out = out.join(by.shards, ["sid", "block"], "left")
     draws = (F.col("passes") + (F.col("part") > 0).cast("long")).cast("int")
     return out.select("doc", "source", "place", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), "passes", "part", F.slice(F.coalesce("shards", F.array().cast("array<long>")), 1, draws).alias("shards"))
@@ -180,7 +199,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards for each row of ``docs`` (doc_id, text, source).
 
     Sources in order of code points, null last, weigh WEIGHTS in turn. A null or empty text has size 0 and gives no
-    words. Rows that are repeated are drawn alike. An empty table gives an empty one.
+    words. Rows that are repeated are drawn alike, but where the target ends among them. An empty table gives an empty one.
     """
     rows = common.stored(measured(docs, ["doc_id"]))
     return applied(rows, plan(rows)).select("doc.doc_id", "size", "source_size", "target", "taken", "shards")

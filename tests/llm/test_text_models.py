@@ -156,6 +156,19 @@ def test_mix(docs, corpus, monkeypatch):
         assert abs(taken[s] - target[s]) <= max((len(words(t)) for _, t, x in corpus if x == s), default=0) * (len([1 for d, t, x in corpus if x == s]) > 0)
 
 
+def test_target_ends_among_equal_rows(spark):
+    rows = [(None, " ".join(f"w{j}" for j in range(10)), "a")] * 3 + [(None, "x y z", "b")] * 101
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken = {"a": [], "b": []}
+    for r in mixing.mix(df).collect():
+        assert r["size"] <= r.taken <= 2 * r["size"] and len(r.shards) == -(-r.taken // r["size"])
+        taken["a" if r["size"] == 10 else "b"].append(r.taken)
+    target = water([30, 303], [5, 2])
+    assert {s: sum(x) for s, x in taken.items()} == {"a": math.floor(target[0]), "b": math.floor(target[1])}
+    words_out = Counter(r.source for r in mixing.mixed_documents(df).collect() for _ in words(r.text))
+    assert words_out == {s: sum(x) for s, x in taken.items()}
+
+
 def test_mixed_documents(crowded, docs):
     out = mixing.mixed_documents(crowded)
     assert out.columns == crowded.columns
