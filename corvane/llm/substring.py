@@ -6,7 +6,7 @@ So a window that a third of all documents share reaches its bucket at most once
 hash has a smaller document; marks return by document, where they merge into maximal removal intervals.
 
 Hashes have 56 bits beside the bucket number, which grows with the corpus. Null ids come after all others. Rows that
-share an id never remove from each other; where their texts differ, a 16-bit tag of the text tells them apart.
+share an id never remove from each other; where their texts differ, a 64-bit hash of the text, the tag, tells them apart.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def mark_blocks(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, end: np.nd
     shift = doc * 2**40  # documents are laid far apart, so one pass merges all of them
     start, end = common.merged(start + shift, end + shift)
     first = np.flatnonzero(common.in_order(doc))
-    doc, ids, tags = start >> 40, ids[first], tags[first].astype(np.uint16)
+    doc, ids, tags = start >> 40, ids[first], tags[first]
     start, end = start & (2**40 - 1), end & (2**40 - 1)
     bucket = bucket_of(common.mixed(ids.view(np.uint64)), n)[doc]
     order = np.argsort(bucket, kind="stable")
@@ -100,14 +100,14 @@ def merge_marks(group: pa.Table) -> pa.Table:
     spans = np.column_stack([start & (2**40 - 1), end & (2**40 - 1)]).astype(np.int32)
     offsets = pa.array(np.r_[0, 2 * np.cumsum(counts)].astype(np.int32))
     covered = np.add.reduceat(end - start, np.r_[0, np.cumsum(counts)[:-1]])
-    return pa.table([pa.array(ids[first]), pa.array(tags[first].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(spans.ravel())), pa.array(covered)], schema=MARKS)
+    return pa.table([pa.array(ids[first]), pa.array(tags[first]), pa.ListArray.from_arrays(offsets, pa.array(spans.ravel())), pa.array(covered)], schema=MARKS)
 
 
 SENT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("doc_bucket", pa.int32()), ("marks", pa.binary())])
 PACKED = pa.schema([("doc_bucket", pa.int32()), ("marks", pa.binary())])
-MARKS = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("spans", pa.list_(pa.int32())), ("covered", pa.int64())])
+MARKS = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("spans", pa.list_(pa.int32())), ("covered", pa.int64())])
 SENT_DDL, PACKED_DDL = "bucket int, payload binary, doc_bucket int, marks binary", "doc_bucket int, marks binary"
-MARKS_DDL = "id long, tag int, spans array<int>, covered long"
+MARKS_DDL = "id long, tag long, spans array<int>, covered long"
 
 
 def sent(blocks: list[tuple[int, bytes]], marks: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -136,7 +136,7 @@ def mapper(window: int, n: int):
         hashed, first, second = common.WordHash(), common.Rolling(HASH_BASE), common.Rolling(BUCKET_BASE)
         for t in common.flushes(batches, FLUSH):
             t = t.sort_by("id")
-            ids, tags = t["id"].to_numpy(), t["tag"].to_numpy().astype(np.uint16)
+            ids, tags = t["id"].to_numpy(), t["tag"].to_numpy()
             values = [hashed.array(common.words(x)) for x in common.binary(t["text"])]
             lengths = np.array([len(v) for v in values], np.int64)
             v, ends = np.concatenate(values), np.cumsum(lengths)
@@ -179,7 +179,7 @@ def reducer(window: int, n: int):
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """id and tag, by which marks find their row, before the other columns."""
-    return docs.select(common.id_key().alias("id"), (F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(0xFFFF)).cast("int").alias("tag"), *more)
+    return docs.select(common.id_key().alias("id"), F.xxhash64("text").alias("tag"), *more)
 
 
 def attach(docs: DataFrame, marks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ one run of each different stretch.
 
 Every task first merges what is equal among its own documents, so a string that a third of all documents share reaches
 its group at most once a task. Digits are compared as hashes of 56 bits beside the bucket number, which grows with the
-corpus. Rows that share an id are documents of their own; where only their texts tell them apart, a 16-bit tag does.
+corpus. Rows that share an id are documents of their own; where only their texts tell them apart, a 64-bit hash does.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def first_digits(length: int, anchor: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = common.Rolling(HASH_BASE), common.Rolling(BUCKET_BASE)
         for t in common.flushes(batches, FLUSH):
-            ids, tags = t["id"].to_numpy(), t["tag"].to_numpy().astype(np.uint16)
+            ids, tags = t["id"].to_numpy(), t["tag"].to_numpy()
             d = Digits(common.binary(t["text"]), first, second)
             row, a, b, p = d.runs(length, anchor)
             if not len(row):
@@ -143,7 +143,7 @@ def last_digit(length: int, n: int, marks_n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = common.Rolling(HASH_BASE), common.Rolling(BUCKET_BASE)
         for t in common.flushes(batches, FLUSH):
-            ids, tags = t["id"].to_numpy(), t["tag"].to_numpy().astype(np.uint16)
+            ids, tags = t["id"].to_numpy(), t["tag"].to_numpy()
             d = Digits(common.binary(t["text"]), first, second)
             rows, starts = [], []
             for k, spans in enumerate(rows_of(t["spans"].combine_chunks())):

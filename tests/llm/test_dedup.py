@@ -229,3 +229,22 @@ def test_pairs_meet_in_a_large_table(spark):
     want = {tuple(sorted(x)) for x in zip(nodes[:1000].tolist(), nodes[40_000:].tolist())}
     got = {tuple(sorted((r.a, r.b))) for r in simhash.links_between(df, simhash.SIMILAR).collect()}
     assert got <= want and len(got) >= 0.96 * len(want)
+
+
+@pytest.fixture(scope="module")
+def alike_in_16_bits():
+    """Null-id texts whose hashes agree in 16 bits; the passages of one are repeated elsewhere, the other is clean."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    first = f"a b c {passage} d"
+    low = xxhash.xxh64_intdigest(first.encode(), 42) & 0xFFFF
+    clean = " ".join(f"q{k}" for k in range(70))
+    clean = next(x for k in range(2_000_000) if xxhash.xxh64_intdigest((x := f"{clean} {k}").encode(), 42) & 0xFFFF == low)
+    return [(1, f"{passage} e f", "a"), (None, first, "a"), (None, clean, "a")]
+
+
+def test_texts_of_null_ids_keep_their_own_marks(spark, alike_in_16_bits):
+    df = spark.createDataFrame(alike_in_16_bits, "doc_id long, text string, source string")
+    got = [tuple(r) for r in substring.digest(substring.repeated_word_spans(df)).collect()]
+    assert Counter(got) == Counter(kept_words(alike_in_16_bits, 50))
+    got = [tuple(r) for r in suffixes.digest(suffixes.repeated_byte_spans(df)).collect()]
+    assert Counter(got) == Counter(byte_result(alike_in_16_bits, 200))
