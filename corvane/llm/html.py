@@ -2,9 +2,10 @@
 
 Text nodes are grouped into blocks, and blocks by their root-to-leaf tag path. Each path has two ratios: its text length
 and its punctuation marks per block. Both are laid along the page, smoothed with a Gaussian, and fused into one value,
-less the share of link text. Paths whose mean reaches a share of the page's weighted mean are content. The element that
-holds most of the content text is the article; its headings, paragraphs, list items and the like are taken as well, so
-short lines beside long ones stay. Navigation, adverts, forms, comments and the like are left out before by their
+less the share of link text. Paths whose mean reaches a share of the page's weighted mean are content, and all their
+blocks are taken. Headings, paragraphs, list items and the like around them are taken as well, so short lines beside
+long ones stay: those in the article and main elements that hold most of the content text, or else in the deepest element
+that holds all of it. Navigation, adverts, forms, comments and the like are left out before by their
 elements, roles and class names.
 
 Pages are read row by row; nothing is shuffled.
@@ -38,6 +39,7 @@ NAMES = frozenset(
     "replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget header alert".split()
 )
 WHOLE = frozenset("html body article main".split())
+PARTS = LINES | frozenset("table tbody thead tfoot tr colgroup ul ol dl".split())
 MARKS = ".,;:!?"
 SHARE, HOLDS, SIGMA = 0.25, 0.8, 1.0
 
@@ -185,26 +187,28 @@ def content_paths(found: list[Block]) -> set[str]:
     return {path for path, x in by.items() if fused[path] >= level and 2 * x[3] <= x[1]}
 
 
+def articles(content: list[Block], elements: list[tuple[str, int]]) -> set[int]:
+    """The outermost article and main elements around content if they hold most of it, else the deepest element around all."""
+    outer = [next((e for e in b.around if elements[e][0] in ("article", "main")), None) for b in content]
+    held = sum(len(b.text) for b, e in zip(content, outer) if e is not None)
+    if content and held >= HOLDS * sum(len(b.text) for b in content):
+        return {e for e in outer if e is not None}
+    around = content[0].around if content else (0,)
+    for b in content:
+        around = tuple(x for x, y in zip(around, b.around) if x == y)
+    return {next(e for e in reversed(around) if elements[e][0] not in PARTS)}
+
+
 def extract(page: str | None) -> str:
     """The main text of a page, a line for each block; empty for none."""
     found, elements = blocks(page or "")
     if not found:
         return ""
     good = content_paths(found)
-    weight: dict[int, int] = {}
-    for b in found:
-        if b.path in good:
-            for e in b.around:
-                weight[e] = weight.get(e, 0) + len(b.text)
-    article, total = 0, weight.get(0, 0)
-    chains = {b.around for b in found if b.path in good}
-    for chain in chains:
-        for e in chain:
-            if weight[e] >= HOLDS * total and elements[e][0] not in LINES and e > article:
-                article = e
+    inside = articles([b for b in found if b.path in good], elements)
     lines = []
     for b in found:
-        if article in b.around and (b.path in good or b.tag in LINES and 2 * b.linked <= len(b.text)):
+        if b.path in good or b.tag in LINES and 2 * b.linked <= len(b.text) and not inside.isdisjoint(b.around):
             lines.append(b.text)
     return "\n".join(lines)
 

@@ -73,6 +73,23 @@ def test_main_text(body, want):
     assert html.extract(PAGE.format(body=body)) == want
 
 
+ROWS = "".join(f"<tr><td>{LONG} {k}</td></tr>" for k in range(8))
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<article><h1>Title</h1><p>lead</p><div class=entry>{f'<p>{LONG}</p>' * 9}</div></article>", ["Title", "lead", *[LONG] * 9]),
+        (f"<div><section><h2>A</h2><p>{LONG}</p></section><section><h2>B</h2>{f'<p>{LONG}</p>' * 8}</section></div>", ["A", LONG, "B", *[LONG] * 8]),
+        (f"<div><p>Before.</p><table>{ROWS}</table><p>After.</p></div>", ["Before.", *[f"{LONG} {k}" for k in range(8)], "After."]),
+        (f"<div><p>Before.</p><ul>{f'<li>{LONG}</li>' * 8}</ul><p>After.</p></div>", ["Before.", *[LONG] * 8, "After."]),
+        (f"<p>{LONG}</p><article>{f'<p>{LONG}</p>' * 9}</article>", [LONG] * 10),
+    ],
+)
+def test_no_main_text_is_left(body, want):
+    assert html.extract(PAGE.format(body=body)).split("\n") == want
+
+
 @pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("<p", "<p"), ("<nav>a</nav>", ""), ("just text", "just text"), ("<p>a</p></div></p><p>b", "a\nb"), ("<div>" * 3000 + "deep", "deep"), ("<a title=\"x>" * 50 + "end", "")])
 def test_odd_pages(page, want):
     assert html.extract(page) == want
