@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corvane.config import Chunking
 from corvane.functions.text import clean_text, is_blank, strip_right
 
+# Separators in the order in which they are tried.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 #: Escaped for Spark's split, which takes a pattern.
 _PATTERNS = {s: "".join(f"[{c}]" if c in ".?" else c for c in s) for s in SEPARATORS}

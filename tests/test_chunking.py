@@ -1,8 +1,9 @@
 import random
+import re
 
 import pytest
 
-from corvane.operators.chunking import SEPARATORS, chunk_documents, split_text
+from corvane.operators.chunking import chunk_documents, split_text
 
 CASES = [
     ("short", 10, 2, ["short"]),
@@ -17,24 +18,6 @@ CASES = [
 ]
 
 
-def plain(text, size, overlap):
-    """The rule, level by level, on one text: an independent statement of it."""
-    if len(text) <= size:
-        return [text]
-    sep = next((s for s in SEPARATORS if s in text), None)
-    if sep is None:
-        return [text[i : i + size] for i in range(0, len(text), size - overlap)]
-    packed, held = [], ""
-    for part in text.split(sep):
-        part += sep.strip(" ") + " " * (sep != " ") * sep.endswith(" ")
-        if held and len(held) + len(part) > size:
-            packed.append(held.rstrip())
-            held = ""
-        held += part
-    packed += [held.rstrip()] * bool(held)
-    return [x for p in packed for x in plain(p, size, overlap)]
-
-
 @pytest.mark.parametrize("text,size,overlap,want", CASES)
 def test_cases(spark, text, size, overlap, want):
     assert spark.createDataFrame([(text,)], "t string").select(split_text("t", size, overlap).alias("c")).first().c == want
@@ -59,14 +42,48 @@ def test_bad_overlap(size, overlap):
         split_text("t", size, overlap)
 
 
-def test_same_as_the_plain_rule(spark):
+LETTERS = re.compile(r"[abé]")
+
+
+@pytest.fixture(scope="module")
+def chunked(spark):
+    """Random texts with their chunks at a small and a larger size."""
     draw = random.Random(5)
-    texts = ["".join(draw.choice("ab .,;!?\n é") for _ in range(draw.randint(0, 120))) for _ in range(3000)]
-    for size, overlap in ((9, 2), (30, 7)):
-        rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", split_text("t", size, overlap).alias("c")).collect()
+    texts = ["".join(draw.choice("ab .,;!?\n é") for _ in range(draw.randint(0, 120))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    return [(size, rows.select("t", split_text("t", size, overlap).alias("c"), split_text("t", size, overlap, "clean").alias("d")).collect()) for size, overlap in ((9, 2), (30, 7))]
+
+
+def test_chunks_fit(chunked):
+    for size, rows in chunked:
+        assert all(len(c) <= size for r in rows for c in (*r.c, *r.d))
+        assert all(r.c == [r.t] for r in rows if len(r.t) <= size)
+
+
+def test_letters_stay_in_order(chunked):
+    """Without runs that must be cut into windows, chunks hold each letter once, in the order of the text."""
+    for size, rows in chunked:
+        whole = [r for r in rows if max(map(len, re.findall(r"[^ \n]+", r.t)), default=0) < size - 2]
+        assert len(whole) > 300
+        for r in whole:
+            assert LETTERS.findall("".join(r.c)) == LETTERS.findall("".join(r.d)) == LETTERS.findall(r.t)
+
+
+def test_paragraphs_are_kept_apart(chunked):
+    """A text over the size never has letters of two paragraphs in one chunk if both are over half of it."""
+    for size, rows in chunked:
         for r in rows:
-            assert r.c == plain(texts[r.k], size, overlap), repr(texts[r.k])
-            assert all(len(c) <= size for c in r.c)
+            long = [p.strip() for p in r.t.split("\n\n") if len(p.strip()) > size // 2 + 1]
+            if len(long) > 1 and len(r.t) > size:
+                assert not any(a in c and b in c for c in r.c for a, b in zip(long, long[1:]) if a != b and a not in b and b not in a)
+
+
+def test_chunks_are_final(chunked, spark):
+    """What was split once is not split again, and repeated runs agree."""
+    for size, rows in chunked:
+        parts = sorted({c for r in rows for c in r.c})
+        again = spark.createDataFrame([(c,) for c in parts], "t string").select("t", split_text("t", size, 2).alias("c")).collect()
+        assert all(r.c == [r.t] for r in again)
 
 
 def test_documents(spark):
