@@ -16,7 +16,10 @@ STOP_WORDS = tuple(
     "doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its "
     "itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some "
     "such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what "
-    "when where which while who whom why will with you your yours yourself yourselves".split()
+    "when where which while who whom why will with you your yours yourself yourselves "
+    "ain aren aren't couldn couldn't d didn didn't doesn doesn't don't hadn hadn't hasn hasn't haven haven't isn isn't it's ll m ma mightn "
+    "mightn't mustn mustn't needn needn't o re s shan shan't she's should've shouldn shouldn't t that'll ve wasn wasn't weren weren't won won't "
+    "wouldn wouldn't y you'd you'll you're you've".split()
 )
 
 

@@ -35,10 +35,12 @@ def frequencies(df: DataFrame, values: Column) -> DataFrame:
 
 
 def word_frequencies(df: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """Words of cleaned texts but stop words, case kept; an empty text counts as one empty word."""
-    words = F.split(clean_alpha(text), " ", -1)
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return frequencies(df, F.filter(words, lambda w: ~F.array_contains(stop, F.lower(w))))
+    """Words of cleaned texts but stop words, case kept; an empty text counts as one empty word.
+
+    Words are counted first, so each different one is held against the stop words once.
+    """
+    counted = frequencies(df, F.split(clean_alpha(text), " ", -1))
+    return counted.filter(~F.lower("value").isin(*sorted(set(stop_words))) | F.col("value").isNull())
 
 
 def top(counted: DataFrame, n: int = 20) -> DataFrame:

@@ -20,10 +20,11 @@ def flatten_payload(chunks: DataFrame) -> DataFrame:
 def with_ordinals(points: DataFrame, *order: str) -> DataFrame:
     """``points`` with ``id`` from 0 in the given order.
 
-    Ranges of the order are numbered apart and shifted by the size of those before, so no task has all rows. The ranges
-    are written down, as they would differ if they were drawn again.
+    Ranges of the order are numbered apart and shifted by the size of those before, so no task has all rows. Points are
+    written down before ranges are drawn from them, so they are computed once, and again by range, as these would differ
+    if they were drawn anew.
     """
-    ranged = stored(points.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ranged = stored(stored(points).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
@@ -62,8 +63,8 @@ def create_or_check(spark: SparkSession, path: str, dimension: int) -> bool:
 
 
 def upserted(index: DataFrame, points: DataFrame) -> DataFrame:
-    """``index`` with ``points`` in place of those with the same id."""
-    return index.join(points.select("id"), "id", "left_anti").unionByName(points)
+    """``index`` with ``points`` in place of those with the same id; of new points that share an id one is taken."""
+    return index.join(points.select("id"), "id", "left_anti").unionByName(points.dropDuplicates(["id"]))
 
 
 def setup(spark: SparkSession, embedded: DataFrame, path: str, dimension: int) -> int:

@@ -21,8 +21,8 @@ from corvane.functions.vectors import cosine, normalized
 from corvane.operators.embedding import Embedder, embed_queries
 
 TOP_K = 5
-#: Components of queries that go to every task at once: 32 MB in double precision.
-BLOCK_COMPONENTS = 4_000_000
+#: Components of queries that go to every task at once: 32 MB in double precision. Rows found that are sent to every task.
+BLOCK_COMPONENTS, BROADCAST_ROWS = 4_000_000, 100_000
 
 
 def _payload(index: DataFrame) -> list[str]:
@@ -96,6 +96,7 @@ def batch_search(index: DataFrame, queries: DataFrame, top_k: int = 0, where: Co
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
     if with_payload and _payload(index):
+        found = F.broadcast(found) if size.n * k <= BROADCAST_ROWS else found
         found = index.select("id", F.struct(*_payload(index)).alias("payload")).join(found, "id").select("query_id", "rank", "id", "score", "payload")
     return found
 

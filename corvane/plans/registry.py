@@ -19,6 +19,7 @@ from corvane.operators.embedding import HashEmbedder, embed_chunks
 from corvane.operators.index import flatten_payload, upserted, with_ordinals
 from corvane.operators.rag import ExtractiveGenerator, joined_contexts, messages, prompt, rag
 from corvane.operators.search import Retriever, batch_search, lsh_search, search
+from corvane.tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,14 +53,15 @@ def sql_alpha(text: str) -> str:
 
 
 def sql_pieces(source: str, size: int = 512, overlap: int = 50) -> str:
-    """CTEs that end with ``chunk(doc_id, chunk_index, text)``; ``source`` gives doc_id and cleaned text."""
+    """CTEs that end with ``w(doc_id, pieces)`` and ``chunk(doc_id, chunk_index, text)``; ``source`` gives doc_id and text."""
     ctes, last = [f"p0 AS (SELECT doc_id, [text] AS pieces FROM ({source}))"], 0
-    for k, sep in enumerate(s for s in SEPARATORS if "\n" not in s):
-        suffix = "" if sep == " " else sep
-        step = f"CASE WHEN length(a.c || b.c) <= {size} OR a.c = '' THEN {{'o': a.o, 'c': a.c || b.c}} ELSE {{'o': list_append(a.o, rtrim(a.c)), 'c': b.c}} END"
-        fold = f"list_reduce(list_transform(string_split(x, '{sep}'), lambda p: {{'o': []::VARCHAR[], 'c': p || '{suffix}'}}), lambda a, b: {step}, {{'o': []::VARCHAR[], 'c': ''}})"
+    for k, separator in enumerate(SEPARATORS):
+        sep, end = (x.replace("\n", "' || chr(10) || '") for x in (separator, "" if separator == " " else separator))
+        trimmed = lambda x: rf"regexp_replace({x}, '{_W}+$', '')"
+        step = f"CASE WHEN length(a.c || b.c) <= {size} OR a.c = '' THEN {{'o': a.o, 'c': a.c || b.c}} ELSE {{'o': list_append(a.o, {trimmed('a.c')}), 'c': b.c}} END"
+        fold = f"list_reduce(list_transform(string_split(x, '{sep}'), lambda p: {{'o': []::VARCHAR[], 'c': p || '{end}'}}), lambda a, b: {step}, {{'o': []::VARCHAR[], 'c': ''}})"
         ctes.append(f"f{k} AS (SELECT doc_id, list_transform(pieces, lambda x: CASE WHEN length(x) > {size} AND contains(x, '{sep}') THEN {fold} ELSE {{'o': [x], 'c': ''}} END) AS folded FROM p{k})")
-        ctes.append(f"p{k + 1} AS (SELECT doc_id, flatten(list_transform(folded, lambda s: CASE WHEN s.c <> '' THEN list_append(s.o, rtrim(s.c)) ELSE s.o END)) AS pieces FROM f{k})")
+        ctes.append(f"p{k + 1} AS (SELECT doc_id, flatten(list_transform(folded, lambda s: CASE WHEN s.c <> '' THEN list_append(s.o, {trimmed('s.c')}) ELSE s.o END)) AS pieces FROM f{k})")
         last = k + 1
     windows = f"flatten(list_transform(pieces, lambda x: CASE WHEN length(x) > {size} THEN list_transform(range(0, length(x), {size - overlap}), lambda i: substring(x, i + 1, {size})) ELSE [x] END))"
     ctes.append(f"w AS (SELECT doc_id, {windows} AS pieces FROM p{last})")
@@ -202,7 +204,7 @@ def embed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks, embeds and indexes the documents, and answers the benchmark's items from them."""
     embedder = HashEmbedder()
-    points = flatten_payload(embed_chunks(_chunked(spark, sf_dir), embedder)).withColumnRenamed("embedding", "vector")
+    points = stored(flatten_payload(embed_chunks(_chunked(spark, sf_dir), embedder)).withColumnRenamed("embedding", "vector"))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return rag(Retriever(points, embedder), ExtractiveGenerator(), queries)
 
@@ -228,7 +230,7 @@ def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_words(source: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
     return f"SELECT value, count(*) AS n FROM (SELECT unnest(string_split(c, ' ')) AS value FROM ({source})) WHERE lower(value) NOT IN ({stop}) GROUP BY value"
 
 
@@ -303,7 +305,7 @@ def strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", strip("text").alias("stripped"), is_blank("text").alias("blank"))
 
 
-@query()
+@query(f"WITH {sql_pieces('SELECT doc_id, text FROM documents')} SELECT doc_id, CASE WHEN text IS NOT NULL THEN pieces END AS chunks FROM w JOIN documents USING (doc_id)")
 def split_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", split_text("text").alias("chunks"))
 
