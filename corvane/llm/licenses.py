@@ -1,39 +1,50 @@
 """License scan as an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-Blocks are the lines of each text. A block meets a template if it holds at least THRESHOLD of the template's distinct
-words. Words are ordered by how often they occur in the corpus, the rarest first, so a template need only be looked up
-by its prefix: a block that misses all of the first |T| - need + 1 words can't hold ``need`` of the rest. The length
-filter drops blocks with fewer words than ``need``, the positional filter those whose remaining words after the matched
-prefix word can't reach it, and the rest are verified exactly. Templates are a fixed list, so their prefixes are
-broadcast and no text is shuffled: only matches are, by document.
+Blocks are every LINES adjacent lines of a text, so a sentence that is wrapped over as many is found whole. A block meets
+a template if it holds at least THRESHOLD of the template's distinct words, and those without which it is another
+license. Words are ordered by how many documents have them, the rarest first, and both sides are sorted in that order.
+The length filter drops documents and blocks with fewer of a template's words than are needed. A template need only be
+looked up by its prefix: a block that misses all of the first |T| - need + 1 words can't hold ``need`` of the rest. The
+positional filter drops a block whose first common word stands so late among its own words that those from there on
+can't reach ``need``. The rest are verified exactly.
+
+Texts are read once: what is written down for each row are its counts, which template words it has, and the text itself
+only if it has enough of some template's words. Templates are a fixed list, so they are broadcast and no text is
+shuffled: only matches are, by row.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.8
+from corvane.llm import common
+
+#: Share of a template's words that a block must hold, and lines in a block.
+THRESHOLD, LINES = 0.8, 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Base phrases with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-# Sentences by which texts state their license, with the labels they give.
+# Sentences by which texts state their license, with the labels they give and the words they must have.
 TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mit", "Released under the MIT License.", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission"),
+    ("apache", "Licensed under the Apache License, Version 2.0.", "apache"),
+    ("apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org", "compliance"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu general public"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general public"),
+    ("lgpl", "Licensed under the GNU Lesser General Public License, version 3.", "gnu lesser"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "cc by nc"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla"),
 )
 
-Templates = tuple[tuple[str, str], ...]
+Templates = tuple[tuple[str, str, str], ...]
 
 
 def lowered(text: Column) -> Column:
@@ -51,15 +62,15 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(normal(text), " "), "")
-
-
 def _local(spark: SparkSession, rows: list[Column]) -> DataFrame:
     """Literal structs as a table."""
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
 def _starts(words: Column, phrase: str) -> Column:
     """Places, words from 0, where the phrase's words stand consecutively."""
     parts = phrase.split()
@@ -74,76 +85,105 @@ def _starts(words: Column, phrase: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
 
 
-def templates(spark: SparkSession, given: Templates = TEMPLATES) -> DataFrame:
-    if not given or not all(text.isascii() for _, text in given):
-        raise ValueError("there must be templates, in ASCII")
-    rows = [F.struct(F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text")) for k, (label, text) in enumerate(given)]
-    return _local(spark, rows).select("template", "label", F.array_distinct(_words(F.col("text"))).alias("t_words"))
+@dataclass(frozen=True)
+class Template:
+    """A template's distinct words in some order, how many of them a block needs, and which of them in any case."""
 
+    number: int
+    label: str
+    words: tuple[str, ...]
+    need: int
+    must: tuple[str, ...]
 
-def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, given: Templates = TEMPLATES) -> DataFrame:
-    """Every (doc_id, line, label, template, containment) where the line holds ``threshold`` of the template's words."""
-    spark = docs.sparkSession
+
+def _plain(text: str) -> list[str]:
+    return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in text.lower()).split()))
+
+
+def templates(given: Templates = TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
+    if not given or not all(text.isascii() and must.isascii() for _, text, must in given):
+        raise ValueError("there must be templates, in ASCII")
     if not 0 < threshold <= 1:
         raise ValueError("a threshold is over 0 and at most 1")
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "block"))
-    blocks = lines.select("doc_id", "line", F.array_distinct(_words(F.col("block"))).alias("b_words"))
-    # How often each template word occurs among all blocks; bounded by the number of template words.
-    words = templates(spark, given).select(F.explode("t_words").alias("word")).distinct()
-    counted = blocks.select(F.explode("b_words").alias("word")).join(F.broadcast(words), "word").groupBy("word").count()
-    order = words.join(counted, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("n"))
-    ranked = (
-        templates(spark, given).select("template", "label", F.posexplode("t_words").alias("at", "word")).join(order, "word")
-        .groupBy("template", "label").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("t"))
-        .select("template", "label", F.transform("t", lambda x: x.word).alias("t_words"))
-        .withColumn("need", F.ceil(F.size("t_words") * threshold).cast("int"))
-    )
-    rows = ranked.collect()  # one a template
-    ranked = _local(spark, [F.struct(F.lit(r.template).alias("template"), F.lit(r.label).alias("label"), F.array(*map(F.lit, r.t_words)).alias("t_words"), F.lit(r.need).alias("need")) for r in rows])
-    prefixes = ranked.select("*", F.posexplode(F.slice("t_words", 1, F.size("t_words") - F.col("need") + 1)).alias("t_at", "word"))
-    known = F.array(*map(F.lit, sorted({w for r in rows for w in r.t_words[: len(r.t_words) - r.need + 1]})))
-    least = min(r.need for r in rows)
-    hits = (
-        blocks.filter((F.size("b_words") >= least) & F.arrays_overlap("b_words", known))
-        .select("doc_id", "line", "b_words", F.explode(F.array_intersect("b_words", known)).alias("word"))
-        .join(F.broadcast(prefixes), "word")
-        .filter(F.size("b_words") >= F.col("need"))
-        .withColumn("shared", F.array_intersect("b_words", "t_words"))
-        # the matched word is the first of the prefix that the block has, so each pair comes once;
-        # only the words after it are left to reach what is needed
-        .filter((F.element_at(F.array_intersect("t_words", "b_words"), 1) == F.col("word")) & (F.size("t_words") - F.col("t_at") >= F.col("need")))
-        .filter(F.size("shared") >= F.col("need"))
-    )
-    return hits.select("doc_id", "line", "label", "template", (F.size("shared") / F.size("t_words")).alias("containment"))
+    found = [Template(k, label, tuple(_plain(text)), math.ceil(len(_plain(text)) * threshold), tuple(_plain(must))) for k, (label, text, must) in enumerate(given)]
+    if any(not t.words or not set(t.must) <= set(t.words) for t in found):
+        raise ValueError("a template has words, and those it must have among them")
+    return found
+
+
+def measured(docs: DataFrame, wanted: list[Template]) -> DataFrame:
+    """A row for each of ``docs``: row, doc_id, n_words, places and labels of base phrases, template words, and text if it may match."""
+    vocabulary = sorted({w for t in wanted for w in t.words})
+    base = docs.select("doc_id", "text", normal(F.col("text")).alias("normal"))
+    base = base.withColumn("words", F.when(F.col("normal") == "", F.array().cast("array<string>")).otherwise(F.split("normal", " ")))
+    base = base.withColumn("present", F.array_intersect(_strings(vocabulary), F.col("words")))
+    may = F.lit(False)
+    for t in wanted:
+        may = may | (F.size(F.array_intersect(_strings(list(t.words)), F.col("present"))) >= t.need)
+    columns = []
+    for phrase, label in PHRASES:
+        columns.append(F.when(F.contains(F.col("normal"), F.lit(phrase)), _starts(F.col("words"), phrase)).otherwise(F.array().cast("array<int>")).alias(label))
+    return base.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), F.struct(*columns).alias("places"), "present", F.when(may, F.col("text")).alias("text"))
+
+
+def in_order(rows: DataFrame, wanted: list[Template]) -> tuple[list[str], list[Template]]:
+    """The templates' words, those that the fewest documents have first, and the templates with theirs in that order."""
+    counts = dict(rows.select(F.explode("present").alias("word")).groupBy("word").count().collect())  # at most one a template word
+    order = sorted({w for t in wanted for w in t.words}, key=lambda w: (counts.get(w, 0), w))
+    place = {w: k for k, w in enumerate(order)}
+    return order, [Template(t.number, t.label, tuple(sorted(t.words, key=place.__getitem__)), t.need, t.must) for t in wanted]
+
+
+def blocks(rows: DataFrame, lines: int = LINES) -> DataFrame:
+    """(row, line, block): every ``lines`` adjacent lines of a text, or all of it if it has fewer."""
+    split = rows.filter("text is not null").select("row", F.split("text", "\n").alias("each"))
+    at = F.sequence(F.lit(0), F.greatest(F.size("each") - lines, F.lit(0)))
+    return split.select("row", F.explode(F.transform(at, lambda i: F.struct(i.alias("line"), F.array_join(F.slice("each", i + 1, lines), " ").alias("block")))).alias("b")).select("row", "b.*")
+
 
+def pairs(found: DataFrame, order: list[str], wanted: list[Template]) -> DataFrame:
+    """Blocks with each template whose prefix they meet, once, by the first common word; t_at and b_at are its places."""
+    sorted_blocks = found.withColumn("b_words", F.array_intersect(_strings(order), F.split(normal(F.col("block")), " ")))
+    fixed = [F.struct(F.lit(t.number).alias("template"), F.lit(t.label).alias("label"), _strings(list(t.words)).alias("t_words"), F.lit(t.need).alias("need"), _strings(list(t.must)).alias("must")) for t in wanted]
+    prefixes = _local(found.sparkSession, fixed).select("*", F.posexplode(F.slice("t_words", 1, F.size("t_words") - F.col("need") + 1)).alias("t_at", "word"))
+    met = sorted_blocks.filter(F.size("b_words") >= min(t.need for t in wanted)).select("row", "line", "b_words", F.posexplode("b_words").alias("b_at", "word")).join(F.broadcast(prefixes), "word")
+    met = met.filter(F.size("b_words") >= F.col("need")).withColumn("shared", F.array_intersect("t_words", "b_words"))
+    return met.filter(F.element_at("shared", 1) == F.col("word"))
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+
+def possible() -> Column:
+    """The positional filter: from the first common word on, either side still has as many words as are needed."""
+    return (F.size("b_words") - F.col("b_at") >= F.col("need")) & (F.size("t_words") - F.col("t_at") >= F.col("need"))
+
+
+def similarity_join(found: DataFrame, order: list[str], wanted: list[Template]) -> DataFrame:
+    """Every (row, line, label, template, containment) where the block holds what is needed of the template's words."""
+    met = pairs(found, order, wanted).filter(possible())
+    met = met.filter((F.size("shared") >= F.col("need")) & (F.size(F.array_except("must", "b_words")) == 0))
+    return met.select("row", "line", "label", "template", (F.size("shared") / F.size("t_words")).alias("containment"))
+
+
+def scan(docs: DataFrame, threshold: float = THRESHOLD, given: Templates = TEMPLATES) -> DataFrame:
     """Per row of ``docs``: its words, the places of base phrases, and labels by phrases and by similar blocks.
 
-    Null and empty texts have no words, places or labels. Labels of similar blocks are found by doc_id, null included;
-    rows that share an id share them. score is the largest containment found, and 1 if a base phrase occurs.
+    Null and empty texts have no words, places or labels. Rows are told apart by a number, so rows that share an id, null
+    or not, have their own results. score is the largest containment found, and 1 if a base phrase occurs. An empty table
+    gives an empty one.
     """
-    matches = similarity_join(docs, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best")).withColumnRenamed("doc_id", "_doc_id")
-    base = docs.select("doc_id", normal(F.col("text")).alias("_normal"))
-    some = F.lit(False)
-    for phrase, _ in PHRASES:
-        some = some | F.contains(F.col("_normal"), F.lit(phrase))
-    count = F.when(F.col("_normal") == "", 0).otherwise(F.size(F.split("_normal", " "))).cast("long")
-    base = base.select("doc_id", count.alias("n_words"), F.when(some, F.split("_normal", " ")).alias("_words"))
-    for phrase, label in PHRASES:
-        base = base.withColumn(f"_{label}", F.when(F.col("_words").isNotNull(), _starts(F.col("_words"), phrase)).otherwise(F.array().cast("array<int>")))
-    places = F.concat(*[F.col(f"_{label}") for _, label in PHRASES])
-    labels = F.filter(F.array(*[F.when(F.size(f"_{label}") > 0, F.lit(label)) for _, label in PHRASES]), lambda x: x.isNotNull())
-    base = base.select("doc_id", "n_words", places.alias("_places"), F.array_sort(labels).alias("_base"))
-    joined = base.join(matches, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
-    both = F.array_sort(F.array_union("_base", F.coalesce("found", F.array().cast("array<string>"))))
-    return joined.select(
+    wanted = templates(given, threshold)
+    rows = common.stored(measured(docs, wanted))
+    order, wanted = in_order(rows, wanted)
+    matches = similarity_join(blocks(rows), order, wanted).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    labels = F.array_compact(F.array(*[F.when(F.size(f"places.{label}") > 0, F.lit(label)) for _, label in PHRASES]))
+    base = rows.select("row", "doc_id", "n_words", F.concat(*[f"places.{label}" for _, label in PHRASES]).alias("places"), F.array_sort(labels).alias("base"))
+    both = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
+    return base.join(matches, "row", "left").select(
         "doc_id",
         "n_words",
-        F.size("_places").cast("long").alias("n_base"),
-        F.array_min("_places").cast("long").alias("first_word"),
-        F.array_max("_places").cast("long").alias("last_word"),
-        F.array_join("_base", ",").alias("base_labels"),
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"),
+        F.array_max("places").cast("long").alias("last_word"),
+        F.array_join("base", ",").alias("base_labels"),
         F.array_join(both, ",").alias("labels"),
-        F.when(F.size("_places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )

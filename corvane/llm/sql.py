@@ -22,24 +22,28 @@ def _quoted(text: str) -> str:
 
 
 LICENSE_SCAN = f"""
-WITH template AS (
-  SELECT k, label, list_distinct({_words("t")}) AS t_words
-  FROM (VALUES {", ".join(f"({k}, {_quoted(label)}, {_quoted(text)})" for k, (label, text) in enumerate(licenses.TEMPLATES))}) AS given(k, label, t)
+WITH given AS (
+  SELECT k, label, list_distinct({_words("t")}) AS t_words, {_words("m")} AS must
+  FROM (VALUES {", ".join(f"({k}, {_quoted(label)}, {_quoted(text)}, {_quoted(must)})" for k, (label, text, must) in enumerate(licenses.TEMPLATES))}) AS x(k, label, t, m)
+), docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, text FROM documents
+), lines AS (
+  SELECT rid, string_split(coalesce(text, ''), chr(10)) AS each FROM docs
 ), block AS (
-  SELECT DISTINCT doc_id, {_words("line")} AS b_words
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+  SELECT DISTINCT rid, {_words("block")} AS b_words
+  FROM (SELECT rid, unnest(list_transform(range(len(each)), lambda i: array_to_string(each[i + 1 : i + {licenses.LINES}], ' '))) AS block FROM lines)
 ), near AS (
-  SELECT doc_id, label, len(list_intersect(t_words, b_words)) / len(t_words) AS containment
-  FROM block, template
-  WHERE len(list_intersect(t_words, b_words)) >= ceil(len(t_words) * {licenses.THRESHOLD}::DOUBLE)
-), by_doc AS (
-  SELECT doc_id, list(DISTINCT label) AS found, max(containment) AS best FROM near GROUP BY doc_id
+  SELECT rid, label, len(list_intersect(t_words, b_words)) / len(t_words) AS containment
+  FROM block, given
+  WHERE len(list_intersect(t_words, b_words)) >= ceil(len(t_words) * {licenses.THRESHOLD}::DOUBLE) AND list_has_all(b_words, must)
+), by_row AS (
+  SELECT rid, list(DISTINCT label) AS found, max(containment) AS best FROM near GROUP BY rid
 ), word AS (
-  SELECT doc_id, {_words("text")} AS w FROM documents
+  SELECT rid, doc_id, {_words("text")} AS w FROM docs
 ), place AS (
-  SELECT doc_id, len(w) AS n_words, {", ".join(f"{_starts(phrase)} AS {label}" for phrase, label in licenses.PHRASES)} FROM word
+  SELECT rid, doc_id, len(w) AS n_words, {", ".join(f"{_starts(phrase)} AS {label}" for phrase, label in licenses.PHRASES)} FROM word
 ), base AS (
-  SELECT doc_id, n_words, list_concat({", ".join(label for _, label in licenses.PHRASES)}) AS places,
+  SELECT rid, doc_id, n_words, list_concat({", ".join(label for _, label in licenses.PHRASES)}) AS places,
     list_filter([{", ".join(f"CASE WHEN len({label}) > 0 THEN {_quoted(label)} END" for _, label in licenses.PHRASES)}], lambda x: x IS NOT NULL) AS labels
   FROM place
 )
@@ -48,7 +52,7 @@ SELECT base.doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base,
   array_to_string(list_sort(labels), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(labels, coalesce(found, [])))), ',') AS labels,
   CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
-FROM base LEFT JOIN by_doc ON base.doc_id IS NOT DISTINCT FROM by_doc.doc_id
+FROM base LEFT JOIN by_row USING (rid)
 """
 
 SUBSTRING_DEDUP = f"""
