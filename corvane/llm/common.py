@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +75,29 @@ def sampled(df: DataFrame, want: int, of: int, *keys: str) -> list[Row]:
     return sorted(chosen.limit(2 * want + 100).collect(), key=lambda r: (r["_h"], *((r[k] is None, r[k] or 0) for k in keys)))
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable) -> Callable:
+    """``run``, for mapInArrow or applyInArrow, after which the worker gives memory back: idle workers stay beside busy ones."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    def group(table: pa.Table) -> pa.Table:
+        out = run(table)
+        _give_back()
+        return out
+
+    return stream if inspect.isgeneratorfunction(run) else group
+
+
 def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A text or binary column as Python bytes, without decoding."""
     return column.cast(pa.large_binary()).to_pylist()
@@ -85,6 +110,70 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: A hash for each byte value.
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX_1)
+
+
+class HashTable:
+    """Numbers by 64-bit keys, for arrays of keys; open addressing, no key is put in twice."""
+
+    def __init__(self, bits: int) -> None:
+        self.shift, self.keys, self.numbers = np.uint64(64 - bits), np.zeros(2**bits, np.uint64), np.zeros(2**bits, np.int32)
+
+    @staticmethod
+    def _key(h: np.ndarray) -> np.ndarray:
+        return np.maximum(mixed(h), np.uint64(1))
+
+    def find(self, h: np.ndarray, absent: int) -> np.ndarray:
+        h = self._key(h)
+        at = (h >> self.shift).astype(np.int64)
+        key = self.keys[at]
+        out = np.where(key == h, self.numbers[at], absent)
+        go = np.flatnonzero((key != h) & (key != 0))
+        while len(go):
+            at[go] = (at[go] + 1) % len(self.keys)
+            key = self.keys[at[go]]
+            same = key == h[go]
+            out[go[same]] = self.numbers[at[go[same]]]
+            go = go[~same & (key != 0)]
+        return out
+
+    def put(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        h = self._key(h)
+        at, go = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(go):
+            free = go[self.keys[at[go]] == 0]
+            self.keys[at[free]] = h[free]  # of several that want one place, the last has it
+            held = free[self.keys[at[free]] == h[free]]
+            self.numbers[at[held]] = numbers[held]
+            go = np.setdiff1d(go, held, assume_unique=True)
+            at[go] = (at[go] + 1) % len(self.keys)
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions start to start + size of each part, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column's rows, one after another, and where each begins and ends; null rows are empty."""
+    column = column.cast(pa.binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2] if len(column) else None
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def batches_of(places: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of items (item k from places[k] to places[k+1]) of about ``most`` in all, one item at least."""
+    a = 0
+    while a < len(places) - 1:
+        b = max(a + 1, int(np.searchsorted(places, places[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
 class WordHash(dict):
     """Hashes of words that agree in all processes; keeps those of frequent words at hand."""
 

@@ -1,14 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
 Text nodes are grouped into blocks, and blocks by their root-to-leaf tag path. Each path has two ratios: its text length
-and its punctuation marks per block. Both are laid along the page, smoothed with a Gaussian, and fused into one value,
-less the share of link text. Paths whose mean reaches a share of the page's weighted mean are content, and all their
-blocks are taken. Headings, paragraphs, list items and the like around them are taken as well, so short lines beside
-long ones stay: those in the article and main elements that hold most of the content text, or else in the deepest element
-that holds all of it. Navigation, adverts, forms, comments and the like are left out before by their
-elements, roles and class names.
-
-Pages are read row by row; nothing is shuffled.
+and its punctuation marks per block. Both are laid along the page, smoothed with a Gaussian, and fused into one value.
+A path is further smoothed with what holds it: headings, paragraphs, list items and the like count as parts of the next
+element around them that is none of these, and take half of their value from all text in there, so short lines beside
+long ones stay. What is link text counts nothing. Elements, roles and class names that speak of menus, adverts, comments
+and the like are a weak feature: they lower a path's value by a factor. Paths whose value reaches a share of the page's
+mean, weighed by text, are content; all their blocks are taken, and no others.
+
+Left out beforehand is only what a reader doesn't see as text: scripts, styles, the head, controls of forms, hidden
+elements. Pages are read row by row in linear time; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,19 +17,23 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corvane.llm import common
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 # Element names of HTML by how they behave here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-LEFT_OUT = frozenset("head nav footer aside form button select option noscript svg math template dialog menu object canvas audio video fieldset label".split())
+UNSEEN = frozenset("head button select option optgroup datalist noscript svg math template dialog object canvas audio video".split())
+AROUND = frozenset("nav footer aside form menu fieldset label legend".split())
 LINES = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre td th caption figcaption summary address".split())
 CLOSED_BY_SAME = frozenset("p li dt dd td th tr option".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -39,63 +44,85 @@ NAMES = frozenset(
     "replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget header alert".split()
 )
 WHOLE = frozenset("html body article main".split())
+MAIN = frozenset("article main".split())
 PARTS = LINES | frozenset("table tbody thead tfoot tr colgroup ul ol dl".split())
 MARKS = ".,;:!?"
-SHARE, HOLDS, SIGMA = 0.25, 0.8, 1.0
+#: Share of the mean that content reaches; factor of what is named like something beside the text, and the least value it needs.
+SHARE, BESIDE, FLOOR, SIGMA = 0.25, 0.1, 200.0, 1.0
 
 
 @dataclass
-class Block:
-    """Text between block boundaries, with its path, the elements around it and how much of it is link text."""
+class Path:
+    """A tag path: its parent, the path that its text is a part of, and whether names on it speak of something beside the text."""
 
-    path: str
+    parent: int
     tag: str
-    around: tuple[int, ...]
+    holder: int
+    beside: bool
+
+
+@dataclass
+class Block:
+    """Text between block boundaries, with its path and how much of it is link text."""
+
+    path: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in LEFT_OUT or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in WHOLE:
-        return False
+def _attributes(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
+    """Whether an element is hidden, whether it is named like something beside the text, and its class names in order."""
+    beside = tag in AROUND or tag == "header" and not in_article
+    if not attributes:
+        return False, beside, ""
+    hidden, classes = False, ""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(ATTRIBUTE, "", attributes)) is not None
+        if name in ("class", "id") and tag not in WHOLE:
+            # a line is named as a whole only: header-note may well be a paragraph of the text
+            beside = beside or not NAMES.isdisjoint(value.split() if tag in LINES else re.split(r"[^a-z0-9]+", value))
+        if name == "class":
+            classes = ".".join(sorted(set(value.split())))
+        elif name == "role":
+            beside = beside or value in ROLES
+        elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            hidden = True
+    hidden = hidden or re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(ATTRIBUTE, "", attributes)) is not None
+    return hidden, beside, classes
 
 
-def blocks(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
-    """The blocks of a page outside of what is left out, and (tag, parent) of each element that holds any."""
+def blocks(page: str) -> tuple[list[Block], list[Path]]:
+    """The blocks of a page that a reader sees, and their paths; a path comes after its parent."""
     found: list[Block] = []
-    elements: list[tuple[str, int]] = [("", -1)]
-    #: tag, element, path, all elements around, left out, in an article, is a list
-    stack: list[tuple[str, int, str, tuple[int, ...], bool, bool]] = [("", 0, "", (0,), False, False)]
-    inline: list[str] = []
+    paths, number = [Path(-1, "", 0, False)], {}
+    #: tag, path, unseen, in an article, is inline
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    opened: Counter[str] = Counter()
     links, current, at, end = 0, None, 0, len(page)
+    last = page.rfind(">") + 1
     lower = None
 
     def text(x: str) -> None:
         nonlocal current
-        tag, _, path, around, out, _ = stack[-1]
-        if out or not x:
+        if stack[-1][2] or not x:
             return
         if current is None:
             if x.isspace():
                 return
-            current = Block(path, tag, around)
+            current = Block(stack[-1][1])
             found.append(current)
         current.parts.append(x)
         if links:
             current.linked += len(x.strip())
 
+    def close(to: int) -> None:
+        for x in stack[to:]:
+            opened[x[0]] -= 1
+        del stack[to:]
+
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last)
         if m is None:
             text(page[at:])
             break
@@ -103,57 +130,56 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, int]]]:
         at = m.end()
         name = m[2] or m[5]
         if not name:
+            if page.startswith("<!--", m.start()) and not page.endswith("-->", m.start(), at):
+                break
             continue
         tag, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if tag in RAW and not closing:
-            if lower is None:
-                lower = page.lower()
-            stop = lower.find(f"</{tag}", at)
-            at = end if stop < 0 else stop
-            continue
         if tag in RAW:
+            if not closing:
+                lower = page.lower() if lower is None else lower
+                stop = lower.find(f"</{tag}", at)
+                at = end if stop < 0 else stop
             continue
         if tag == "br":
             text(" ")
             continue
+        _, path, out, in_article, is_inline = stack[-1]
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
-            if not closing and attributes and tag not in VOID and _left_out(tag, attributes, True):
-                inline.append(tag)
-                top = stack[-1]
-                stack.append((tag, top[1], top[2], top[3], True, top[5]))
-            elif closing and inline and inline[-1] == tag and stack[-1][0] == tag:
-                inline.pop()
-                stack.pop()
+            if not closing and attributes and tag not in VOID and _attributes(tag, attributes, True)[0]:
+                stack.append((tag, path, True, in_article, True))
+                opened[tag] += 1
+            elif closing and is_inline and stack[-1][0] == tag:
+                close(len(stack) - 1)
             continue
         current, links = None, 0
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
-        while len(stack) > 1 and (stack[-1][0] in inline or tag in CLOSES_P and stack[-1][0] == "p" or tag in CLOSED_BY_SAME and stack[-1][0] == tag):
-            if stack[-1][0] in inline:
-                inline.remove(stack[-1][0])
-            stack.pop()
-        top = stack[-1]
-        out = top[4] or _left_out(tag, attributes, top[5])
-        elements.append((tag, top[1]))
-        element = len(elements) - 1
-        names = sorted(set(re.split(r"[^a-z0-9]+", next((v.lower() for n, *vs in ATTRIBUTE.findall(attributes) if n.lower() == "class" for v in vs if v), ""))) - {""}) if attributes else []
-        path = f"{top[2]}/{'.'.join([tag, *names])}"
-        stack.append((tag, element, path, (*top[3], element), out, top[5] or tag in ("article", "main")))
+        while len(stack) > 1 and (stack[-1][4] or tag in CLOSES_P and stack[-1][0] == "p" or tag in CLOSED_BY_SAME and stack[-1][0] == tag):
+            close(len(stack) - 1)
+        _, path, out, in_article, _ = stack[-1]
+        hidden, beside, classes = _attributes(tag, attributes, in_article)
+        beside = beside or paths[path].beside
+        key = path, tag, classes, beside
+        to = number.get(key)
+        if to is None:
+            to = number[key] = len(paths)
+            paths.append(Path(path, tag, paths[path].holder if tag in PARTS else to, beside))
+        stack.append((tag, to, out or hidden or tag in UNSEEN, in_article or tag in MAIN, False))
+        opened[tag] += 1
     kept = []
     for b in found:
         raw = "".join(b.parts)
         b.text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
         if b.text:
+            b.linked = min(b.linked, len(b.text))
             kept.append(b)
-    return kept, elements
+    return kept, paths
 
 
 def smoothed(values: list[float]) -> list[float]:
@@ -169,48 +195,47 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(found: list[Block]) -> set[str]:
-    by: dict[str, list[float]] = {}
+def content_paths(found: list[Block], paths: list[Path]) -> set[int]:
+    """The paths that are content."""
+    own: dict[int, list[int]] = {}  # blocks, characters, marks, characters of links
     for b in found:
-        x = by.setdefault(b.path, [0, 0, 0, 0])
-        for k, v in enumerate((1, len(b.text), sum(map(b.text.count, MARKS)), min(b.linked, len(b.text)))):
+        x = own.setdefault(b.path, [0, 0, 0, 0])
+        for k, v in enumerate((1, len(b.text), sum(map(b.text.count, MARKS)), b.linked)):
             x[k] += v
-    lengths = smoothed([by[b.path][1] / by[b.path][0] for b in found])
-    marks = smoothed([by[b.path][2] / by[b.path][0] for b in found])
-    fused: dict[str, float] = {}
+    # all text in a path but that of an article inside it; html and body only have their own lines
+    inside = [[0, 0, 0] for _ in paths]
+    for k in range(len(paths) - 1, -1, -1):
+        for i, v in enumerate(own.get(k, ())[:3]):
+            inside[k][i] += v
+        up = paths[k].parent
+        if up >= 0 and paths[k].tag not in MAIN and (paths[up].tag not in ("", "html", "body") or paths[k].tag in PARTS):
+            for i, v in enumerate(inside[k]):
+                inside[up][i] += v
+    lengths = smoothed([own[b.path][1] / own[b.path][0] for b in found])
+    marks = smoothed([own[b.path][2] / own[b.path][0] for b in found])
+    value = dict.fromkeys(own, 0.0)
     for b, length, mark in zip(found, lengths, marks):
-        fused[b.path] = fused.get(b.path, 0.0) + length * (1 + mark)
-    for path, (n, length, _, linked) in by.items():
-        fused[path] = fused[path] / n * (1 - linked / length)
-    total = sum(x[1] for x in by.values())
-    level = SHARE * sum(fused[path] * x[1] for path, x in by.items()) / total
-    return {path for path, x in by.items() if fused[path] >= level and 2 * x[3] <= x[1]}
-
-
-def articles(content: list[Block], elements: list[tuple[str, int]]) -> set[int]:
-    """The outermost article and main elements around content if they hold most of it, else the deepest element around all."""
-    outer = [next((e for e in b.around if elements[e][0] in ("article", "main")), None) for b in content]
-    held = sum(len(b.text) for b, e in zip(content, outer) if e is not None)
-    if content and held >= HOLDS * sum(len(b.text) for b in content):
-        return {e for e in outer if e is not None}
-    around = content[0].around if content else (0,)
-    for b in content:
-        around = tuple(x for x, y in zip(around, b.around) if x == y)
-    return {next(e for e in reversed(around) if elements[e][0] not in PARTS)}
+        value[b.path] += length * (1 + mark)
+    for k, (n, length, _, linked) in own.items():
+        m, all_length, all_marks = inside[paths[k].holder]
+        around = all_length / m * (1 + all_marks / m)
+        value[k] = (value[k] / n + around) / 2 * (1 - linked / length) * (BESIDE if paths[k].beside else 1)
+
+    def mean(some: list[int]) -> float:
+        total = sum(own[k][1] for k in some)
+        return sum(value[k] * own[k][1] for k in some) / total if total else 0.0
+
+    level = SHARE * max(mean(list(own)), mean([k for k in own if not paths[k].beside]))
+    return {k for k, (_, length, _, linked) in own.items() if value[k] >= level and 2 * linked <= length and (not paths[k].beside or value[k] >= FLOOR)}
 
 
 def extract(page: str | None) -> str:
     """The main text of a page, a line for each block; empty for none."""
-    found, elements = blocks(page or "")
+    found, paths = blocks(page or "")
     if not found:
         return ""
-    good = content_paths(found)
-    inside = articles([b for b in found if b.path in good], elements)
-    lines = []
-    for b in found:
-        if b.path in good or b.tag in LINES and 2 * b.linked <= len(b.text) and not inside.isdisjoint(b.around):
-            lines.append(b.text)
-    return "\n".join(lines)
+    good = content_paths(found, paths)
+    return "\n".join(b.text for b in found if b.path in good)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -228,4 +253,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts = [extract(x) for x in part["html"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in others), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*others, "text", "n_chars"])
 
-    return pages.select(*others, "html").mapInArrow(run, schema)
+    return pages.select(*others, "html").mapInArrow(common.released(run), schema)
