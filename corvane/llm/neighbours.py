@@ -4,13 +4,18 @@ Trees are fitted on a bounded sample (about SAMPLE rows, those with the least ha
 median of the projection on the difference of two random rows. Every row is then routed to one leaf of each tree. A
 query searches all trees through one shared priority queue, always taking next the branch with the least distance to
 any hyperplane it crossed on the way, until the leaves hold ``search_k`` candidates. A leaf's rows and the queries that
-visit it meet by (tree, leaf); distances there are exact, each leaf gives its nearest, and the best of all leaves remain.
+visit it meet by (tree, leaf). There one matrix product gives all distances up to rounding, and those that rounding
+leaves among the nearest are computed again exactly; each leaf gives its nearest, and the best of all leaves remain.
 
 How many candidates a recall takes depends on the data, so ``search_k`` is calibrated: CALIBRATE queries are answered by
 brute force over all rows, and it becomes the least number for which their recall reaches AIM.
 
 Of equal vectors only the smallest ids can be among the k nearest, so k + 1 of each are indexed, which loses nothing
-and keeps a vector that a third of all rows share from filling a leaf. Leaves that still grow large are salted.
+and keeps a vector that a third of all rows share from filling a leaf. Leaves with many rows or many visiting queries
+are split among tasks by salts, of rows and of queries.
+
+A tree has at most MOST_LEAVES leaves, as it goes to every task; with more than LEAF times that many vectors, leaves
+hold more rows.
 """
 
 from __future__ import annotations
@@ -26,7 +31,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-TREES, LEAF, SAMPLE, MOST_LEAVES, CALIBRATE, AIM, SALT = 12, 128, 10_000, 1024, 64, 0.95, 20_000
+TREES, LEAF, SAMPLE, MOST_LEAVES, CALIBRATE, AIM = 12, 128, 10_000, 4096, 64, 0.95
+#: Rows and queries of a leaf that meet in one task, about.
+SALT, QUERY_SALT = 20_000, 20_000
 
 
 @dataclass
@@ -116,17 +123,33 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, distance) of the k nearest of each query among x, itself left out; ties to smaller ids."""
+    """(query, id, distance) of the k nearest ids of each query among x, itself left out; ties to smaller ids."""
     out = []
-    step = max(1, 2_000_000 // max(1, x.size))
+    step = max(1, 1_000_000 // max(1, len(x)))
+    repeated = len(np.unique(ids)) < len(ids)
+    length = (x * x).sum(1)
     for at in range(0, len(q), step):
-        d = distances(q[at : at + step], x)
-        for i, row in enumerate(d):
+        some = q[at : at + step]
+        # squared distances less the query's square; rounding errors stay far below the slack
+        rough = length - 2 * (some @ x.T)
+        slack = 1e-10 * ((some * some).sum(1) + (length.max() if len(x) else 0))
+        for i, row in enumerate(rough):
             row[ids == query_ids[at + i]] = np.inf
-            few = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-            few = few[np.isfinite(row[few])]
-            few = few[np.lexsort((ids[few], row[few]))][:k]
-            out.append((np.full(len(few), query_ids[at + i]), ids[few], row[few]))
+            want = k
+            while True:
+                few = np.flatnonzero(row <= np.partition(row, want - 1)[want - 1] + slack[i]) if len(row) > want else np.arange(len(row))
+                few = few[np.isfinite(row[few])]
+                d = distances(some[i : i + 1], x[few])[0]
+                order = np.lexsort((ids[few], d))
+                few, d = few[order], d[order]
+                if repeated:
+                    first = np.sort(np.unique(ids[few], return_index=True)[1])
+                    few, d = few[first], d[first]
+                if not repeated or len(few) >= k or want >= len(row):
+                    break
+                want *= 2
+            few, d = few[:k], d[:k]
+            out.append((np.full(len(few), query_ids[at + i]), ids[few], d))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -138,7 +161,21 @@ FOUND_DDL = "query_id long, vec_id long, score double"
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def combine(k: int):
+    """The k best ids of one query among those of all leaves."""
+
+    def run(group: pa.Table) -> pa.Table:
+        found = group["found"].combine_chunks().flatten()
+        score, ids = found.field("score").to_numpy(), found.field("vec_id").to_numpy()
+        order = np.lexsort((ids, score))
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+        query = np.full(len(order), group["query_id"][0].as_py(), np.int64)
+        return pa.table({"query_id": query, "rank": np.arange(1, len(order) + 1, dtype=np.int32), "vec_id": ids[order], "score": score[order]})
+
+    return run
 
 
 def exact(rows: DataFrame, query_ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
@@ -195,13 +232,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, column: str = "emb
     clean = common.stored(clean.filter(F.col("vec_id").isNotNull() & valid(F.col("vector"))))
     queries = clean.filter("is_query").dropDuplicates(["vec_id"]).select("vec_id", "vector")
     order = Window.partitionBy("vector").orderBy("vec_id")
-    rows = common.stored(clean.select("vec_id", "vector").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).select("vec_id", "vector"))
+    distinct = clean.select("vec_id", "vector").distinct()
+    rows = common.stored(distinct.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).select("vec_id", "vector"))
     n = rows.count()
     if not n or queries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r.vector for r in common.sampled(rows, SAMPLE, n, "vec_id")], float)
-    leaves = max(1, min(MOST_LEAVES, n // LEAF, len(sample) // 8))
-    forest = [fit(sample, leaves, seed) for seed in range(TREES)]
+    leaves = max(1, min(MOST_LEAVES, n // LEAF))
+    sample = np.array([r.vector for r in common.sampled(rows, max(SAMPLE, 8 * leaves), n, "vec_id")], float)
+    forest = [fit(sample, max(1, min(leaves, len(sample) // 8)), seed) for seed in range(TREES)]
     shared = spark.sparkContext.broadcast(forest)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,25 +254,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, column: str = "emb
     sizes = [np.zeros(t.leaves, np.int64) for t in forest]
     for r in placed.groupBy("tree", "leaf").count().collect():  # one row a leaf: at most TREES * MOST_LEAVES or so
         sizes[r.tree][r.leaf] = r["count"]
-    salts = [np.maximum(1, -(-s // SALT)) for s in sizes]
     search_k = calibrate(forest, sizes, rows, queries, k)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for query_id, x in zip(b["vec_id"].to_pylist(), matrix(b["vector"])):
+            found = []
+            for x in matrix(b["vector"]):
                 seen, to = 0, []
                 for tree, leaf in visits(shared.value, x):
-                    to += [(tree, leaf, salt) for salt in range(salts[tree][leaf])]
+                    to.append({"tree": tree, "leaf": leaf})
                     seen += int(sizes[tree][leaf])
                     if seen >= search_k:
                         break
-                tree, leaf, salt = zip(*to)
-                yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(to), pa.int64()), pa.array([x.tolist()] * len(to), pa.list_(pa.float64())), *(pa.array(c, pa.int32()) for c in (tree, leaf, salt))], names=["query_id", "q", "tree", "leaf", "salt"])
+                found.append(to)
+            yield pa.RecordBatch.from_arrays([b["vec_id"], b["vector"], pa.array(found, VISITS)], names=["query_id", "q", "to"])
 
-    visited = queries.mapInArrow(visit, "query_id long, q array<double>, tree int, leaf int, salt int")
-    table = F.array(*[F.array(*map(F.lit, s.tolist())) for s in salts]) if max(s.max() for s in salts) > 1 else None
-    salt = F.lit(0) if table is None else F.pmod(F.xxhash64("vec_id"), F.get(F.get(table, F.col("tree")), F.col("leaf"))).cast("int")
-    placed = placed.withColumn("salt", salt)
+    visited = common.stored(queries.mapInArrow(visit, "query_id long, q array<double>, to array<struct<tree: int, leaf: int>>"))
+    asked = [np.zeros(t.leaves, np.int64) for t in forest]
+    for r in visited.select(F.inline("to")).groupBy("tree", "leaf").count().collect():  # one row a leaf
+        asked[r.tree][r.leaf] = r["count"]
+    row_salts, query_salts = _salts(sizes, SALT), _salts(asked, QUERY_SALT)
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), row_salts).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), query_salts - 1)))
+    visited = visited.select("query_id", "q", F.inline("to")).withColumn("turn", F.pmod(F.xxhash64("query_id"), query_salts).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), row_salts - 1)))
 
     def meet(x: pa.Table, v: pa.Table) -> pa.Table:
         if not len(x) or not len(v):
@@ -244,10 +285,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, column: str = "emb
         pairs = pa.StructArray.from_arrays([pa.array(score), pa.array(found)], fields=list(BEST.field("found").type.value_type))
         return pa.table([pa.array(query[first], pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[first, len(query)].astype(np.int32)), pairs)], schema=BEST)
 
-    key = ("tree", "leaf", "salt")
+    key = ("tree", "leaf", "salt", "turn")
     best = placed.groupBy(*key).cogroup(visited.groupBy(*key)).applyInArrow(meet, "query_id long, found array<struct<score: double, vec_id: long>>")
-    # a query has no more than k of each leaf it visits, and a row is found once a tree at most
-    in_order = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k * TREES)
-    nearest_first = F.slice(F.array_distinct(in_order), 1, k)
-    best = best.groupBy("query_id").agg(nearest_first.alias("found")).select("query_id", F.posexplode("found").alias("rank", "x"))
-    return best.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
+    return best.groupBy("query_id").applyInArrow(combine(k), "query_id long, rank int, vec_id long, score double")
+
+
+VISITS = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int32())]))
+
+
+def _salts(counts: list[np.ndarray], most: int) -> Column:
+    """Into how many parts each (tree, leaf) is split, so that none has over ``most`` or so."""
+    parts = [np.maximum(1, -(-c // most)) for c in counts]
+    if max(p.max() for p in parts) == 1:
+        return F.lit(1)
+    return F.get(F.get(F.array(*[F.array(*map(F.lit, p.tolist())) for p in parts]), F.col("tree")), F.col("leaf"))
