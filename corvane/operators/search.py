@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,54 +44,71 @@ def search(index: DataFrame, vector: Sequence[float], top_k: int = 0, where: Col
     return index.select(*columns).filter("score is not null").orderBy(F.desc("score"), "id").limit(top_k or TOP_K)
 
 
+def _best(ids: np.ndarray, q: np.ndarray, b: pa.RecordBatch | pa.Table, k: int, digits: int | None) -> list[pa.Array]:
+    """query_id, id and score of the k best rows of ``b`` for each query, by one matrix product. Queries have length one."""
+    x = pa.concat_arrays(b["vector"].chunks) if isinstance(b, pa.Table) else b["vector"]
+    x = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    s = q @ np.divide(x, length, out=np.full_like(x, np.nan), where=length > 0).T
+    s = np.where(np.isnan(s), -np.inf, s if digits is None else np.round(s, digits))
+    point = b["id"].to_numpy() if isinstance(b, pa.Table) else b["id"].to_numpy(zero_copy_only=False)
+    who, at = [], []
+    for i, row in enumerate(s):
+        few = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+        few = few[np.isfinite(row[few])]
+        few = few[np.lexsort((point[few], -row[few]))][:k]
+        who += [i] * len(few)
+        at += few.tolist()
+    return [ids.take(pa.array(who, pa.int64())), b["id"].take(pa.array(at, pa.int64())), pa.array(s[who, at], pa.float64())]
+
+
+def _asked(queries: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of queries, scaled to length one; not a number for those of length zero."""
+    q = queries["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(queries), -1)
+    length = np.linalg.norm(q, axis=1, keepdims=True)
+    return queries["query_id"].combine_chunks(), np.divide(q, length, out=np.full_like(q, np.nan), where=length > 0)
+
+
 def batch_search(index: DataFrame, queries: DataFrame, top_k: int = 0, where: Column | None = None, with_payload: bool = True, digits: int | None = None) -> DataFrame:
     """(query_id, rank, id, score, payload): for each of ``queries`` (query_id, vector) its ``top_k`` nearest points.
 
-    Queries go to every task in blocks of bounded size, however many there are; a task scores an Arrow batch against a
-    block by one matrix product and keeps the best of each query, so the shuffle has at most ``top_k`` rows a query and
-    batch. Payloads are joined to what is found.
+    Queries of up to BLOCK_COMPONENTS go to every task, which scores an Arrow batch against all of them by one matrix
+    product and keeps the best of each, so the shuffle has at most ``top_k`` rows a query and batch. More queries never
+    pass through the driver: blocks of queries and parts of the index, both of that size, meet by their numbers.
+    Payloads are joined to what is found.
     """
     k = top_k or TOP_K
     if where is not None:
         index = index.filter(where)
-    queries = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
-    blocks = max(1, -(-size.n * (size.d or 0) // BLOCK_COMPONENTS))
-    kind = queries.schema["query_id"].dataType.simpleString()
-    id_kind = index.schema["id"].dataType.simpleString()
-
-    def scored(block: DataFrame) -> DataFrame:
-        rows = block.collect()
-        ids = [r.query_id for r in rows]
-        q = np.array([r.vector for r in rows], float).reshape(len(rows), -1)
-        length = np.linalg.norm(q, axis=1, keepdims=True)
-        shared = index.sparkSession.sparkContext.broadcast((ids, np.divide(q, length, out=np.full_like(q, np.nan), where=length > 0)))
+    queries = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
+    count = [F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")]
+    size = queries.agg(*count).first()
+    blocks = max(1, -(-size.n * size.d // BLOCK_COMPONENTS))
+    out = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, score double"
+    points, names = index.select("id", "vector").filter("vector is not null"), ["query_id", "id", "score"]
+    if blocks == 1:
+        shared = index.sparkSession.sparkContext.broadcast(_asked(queries.toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for b in batches:
-                if not len(b) or not len(ids):
-                    continue
-                x = b["vector"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
-                length = np.linalg.norm(x, axis=1, keepdims=True)
-                s = q @ np.divide(x, length, out=np.full_like(x, np.nan), where=length > 0).T
-                s = np.where(np.isnan(s), -np.inf, s if digits is None else np.round(s, digits))
-                point = b["id"].to_numpy(zero_copy_only=False)
-                who, at = [], []
-                for i, row in enumerate(s):
-                    few = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
-                    few = few[np.isfinite(row[few])]
-                    few = few[np.lexsort((point[few], -row[few]))][:k]
-                    who += [i] * len(few)
-                    at += few.tolist()
-                out = [pa.array([ids[i] for i in who]), b["id"].take(pa.array(at, pa.int64())), pa.array(s[who, at], pa.float64())]
-                if who:
-                    yield pa.RecordBatch.from_arrays(out, names=["query_id", "id", "score"])
-
-        return index.select("id", "vector").mapInArrow(run, f"query_id {kind}, id {id_kind}, score double")
-
-    parts = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
-    found = reduce(DataFrame.unionByName, map(scored, parts))
+                if len(b) and len(ids):
+                    yield pa.RecordBatch.from_arrays(_best(ids, q, b, k, digits), names=names)
+
+        found = points.mapInArrow(run, out)
+    else:
+        there = points.agg(*count).first()
+        parts = max(1, -(-there.n * there.d // BLOCK_COMPONENTS))
+
+        def meet(some: pa.Table, b: pa.Table) -> pa.Table:
+            if not len(some) or not len(b):
+                return pa.table([some["query_id"].slice(0, 0), b["id"].slice(0, 0), pa.array([], pa.float64())], names=names)
+            return pa.table(_best(*_asked(some), b, k, digits), names=names)
+
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        some = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+        points = points.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+        found = some.groupBy("block", "part").cogroup(points.groupBy("block", "part")).applyInArrow(meet, out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
     if with_payload and _payload(index):

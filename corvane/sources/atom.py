@@ -31,6 +31,7 @@ def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
 
 def query_url(base: str, category: str | None, since: str | None, start: int, count: int) -> str:
     """The address of a page, the newest submissions first."""
+    # The terms of the search interface.
     terms = [f"cat:{category}"] * (category is not None) + [f"submittedDate:[{since} TO 999912312359]"] * (since is not None)
     query = urllib.parse.quote(" AND ".join(terms))
     return f"{base}?search_query={query}&start={start}&max_results={count}&sortBy=submittedDate&sortOrder=descending"
@@ -76,11 +77,11 @@ class Page(InputPartition):
 
 
 class AtomReader(DataSourceReader):
-    """A page for each partition. Equality on category and a lower bound on submitted go into the query."""
+    """A page for each partition, from ``start`` on. Equality on category and a lower bound on submitted go into the query."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.base = options["path"] if "path" in options else options["url"]
-        self.total, self.size = int(options.get("target_count", 10)), int(options.get("results_per_request", 5))
+        self.first, self.total, self.size = int(options.get("start", 0)), int(options.get("target_count", 10)), int(options.get("results_per_request", 5))
         self.timeout, self.retries, self.wait = float(options.get("timeout", 30)), int(options.get("retries", 5)), float(options.get("retry_wait", 5))
         self.category, self.since = options.get("category"), options.get("start_date")
 
@@ -93,7 +94,7 @@ class AtomReader(DataSourceReader):
             yield f  # the server's answer is checked again: it may go by other categories or whole minutes
 
     def partitions(self) -> list[Page]:
-        return [Page(at, min(self.size, self.total - at)) for at in range(0, self.total, self.size)]
+        return [Page(self.first + at, min(self.size, self.total - at)) for at in range(0, self.total, self.size)]
 
     def read(self, page: Page) -> Iterator[tuple]:
         if "{start}" in self.base:  # saved pages

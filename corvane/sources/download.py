@@ -14,14 +14,26 @@ from corvane.config import Download
 from corvane.operators.ingest import first_of_each
 from corvane.sources.atom import fetch, register
 from corvane.sources.files import write_json
+from corvane.tables import stored
 
 
 def listed(spark: SparkSession, url: str, cfg: Download) -> DataFrame:
-    """Papers of the configured category and time, each once, at most ``target_count``."""
+    """Papers of the configured category and time, each once, at most ``target_count``.
+
+    Pages are read until there are so many different papers, or fewer came than were asked for. What has been read is
+    written down, so no page is asked for twice.
+    """
     register(spark)
     options = {"url": url, "target_count": cfg.target_count, "results_per_request": cfg.results_per_request, "category": cfg.category, "start_date": cfg.start_date, "timeout": cfg.search_timeout, "retries": cfg.retries, "retry_wait": cfg.retry_wait}
-    papers = spark.read.format("atom").options(**options).load()
-    return first_of_each(papers, ["arxiv_id"], "submitted", "title").orderBy(F.desc("submitted"), "arxiv_id").limit(cfg.target_count)
+    found, start, missing = None, 0, cfg.target_count
+    while True:
+        asked = -(-missing // cfg.results_per_request) * cfg.results_per_request
+        pages = stored(spark.read.format("atom").options(**options | {"start": start, "target_count": asked}).load())
+        found = pages if found is None else found.unionByName(pages)
+        papers = first_of_each(found, ["arxiv_id"], "submitted", "title")
+        start, missing = start + asked, cfg.target_count - papers.count()
+        if missing <= 0 or pages.count() < asked:
+            return papers.orderBy(F.desc("submitted"), "arxiv_id").limit(cfg.target_count)
 
 
 def fetched(papers: DataFrame, folder: str, cfg: Download, get: Callable[..., bytes] = fetch) -> DataFrame:
