@@ -51,9 +51,9 @@ class Scheme:
 #: 64 bits in two segments of 32: of at most 3 differing bits, one segment has at most one.
 EXACT = Scheme(width=3, words=1, segments=2, bits=32, near=3)
 #: For a similarity of 0.8 or more on five-word shingles: bits of such texts differ with a probability of at most 0.151,
-#: so 58 of 384 are expected at 0.8, with a deviation of 7; unrelated texts differ in about 192. Such a pair agrees in
-#: one of 12 segments of 16 bits up to one bit with a probability of 0.98.
-SIMILAR = Scheme(width=5, words=6, segments=12, bits=16, near=18, all_near=64)
+#: so 116 of 768 are expected at 0.8, with a deviation of 10; unrelated texts differ in about 384. Such a pair differs in
+#: at most 132 bits with a probability of 0.95, and agrees in one of 12 segments of 16 bits up to one bit with 0.98.
+SIMILAR = Scheme(width=5, words=12, segments=12, bits=16, near=18, all_near=132)
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
             yield pa.record_batch([b["doc_id"], b["text_hash"], pa.array(fp, pa.binary()), pa.array(node)], ["doc_id", "text_hash", "fp", "node"])
 
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    return keys.mapInArrow(run, "doc_id long, text_hash long, fp binary, node long")
+    return keys.mapInArrow(common.released(run), "doc_id long, text_hash long, fp binary, node long")
 
 
 def text_hash() -> Column:
@@ -166,6 +166,33 @@ def few_pairs(begin: np.ndarray, size: np.ndarray, kind: np.ndarray, who: np.nda
     return np.concatenate(a), np.concatenate(b)
 
 
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links between n members to keep so that they join the same members without any loop.
+
+    Every component takes the first link that leaves it, all at once, until none leaves one.
+    """
+    label, kept = np.arange(n), np.zeros(len(a), bool)
+    left = np.arange(len(a))
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return kept
+        x, y, at = label[a[left]], label[b[left]], np.arange(len(left))
+        first = np.full(n, len(left))
+        np.minimum.at(first, x, at)
+        np.minimum.at(first, y, at)
+        some = np.flatnonzero(first < len(left))
+        link = first[some]
+        kept[left[link]] = True
+        to = np.arange(n)
+        to[some] = np.where(x[link] == some, y[link], x[link])
+        mutual = (to[to] == np.arange(n)) & (np.arange(n) < to)
+        to[mutual] = np.flatnonzero(mutual)
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
 BLOCKS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 LINKS_DDL = "a long, b long, bucket int, payload binary"
@@ -252,7 +279,7 @@ def compare(scheme: Scheme, most: int | None):
         # where links abound, as among near copies, a spanning forest takes their place
         of = np.searchsorted(begin, a, "right") - 1
         many = np.bincount(of, minlength=len(begin)) >= size
-        a, b = [node[who[a[~many[of]]]]], [node[who[b[~many[of]]]]]
+        a, b = [who[a[~many[of]]]], [who[b[~many[of]]]]
         sent = []
         rest = (size > 1) & (~few | many)
         for x, n in zip(begin[rest].tolist(), size[rest].tolist()):
@@ -263,9 +290,12 @@ def compare(scheme: Scheme, most: int | None):
             pairs = forest(s, scheme) if kind[x] >= 2 else two_sided(s, side, scheme)
             if pairs:
                 i = who[np.array(pairs) + x]
-                a.append(node[i[:, 0]])
-                b.append(node[i[:, 1]])
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+                a.append(i[:, 0])
+                b.append(i[:, 1])
+        # a fingerprint is in many groups of a bucket: its links over all of them are thinned out as well
+        a, b, place = np.concatenate(a), np.concatenate(b), np.unique(node, return_inverse=True)[1]
+        kept = spanning(place[a], place[b], len(node))
+        a, b = node[a[kept]].view(np.int64), node[b[kept]].view(np.int64)
         none = [None] * len(a)
         links = pa.table([pa.array(a), pa.array(b), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=LINKS)
         none = [None] * len(sent)
@@ -277,9 +307,9 @@ def compare(scheme: Scheme, most: int | None):
 def links_between(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b): links that join the same nodes as all links of the scheme do. ``nodes``: (node long, fp binary), no repeats."""
     n = buckets_for(nodes.count() * scheme.segments * scheme.bits)
-    sent = nodes.select("fp").mapInArrow(signatures(scheme, n), "bucket int, payload binary")
-    found = common.stored(sent.groupBy("bucket").applyInArrow(compare(scheme, MOST), LINKS_DDL))
-    blocks = found.filter("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(compare(scheme, None), LINKS_DDL)
+    sent = nodes.select("fp").mapInArrow(common.released(signatures(scheme, n)), "bucket int, payload binary")
+    found = common.stored(sent.groupBy("bucket").applyInArrow(common.released(compare(scheme, MOST)), LINKS_DDL))
+    blocks = found.filter("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(common.released(compare(scheme, None)), LINKS_DDL)
     return found.unionByName(blocks).filter("a is not null").select("a", "b").distinct()
 
 

@@ -179,8 +179,31 @@ def test_one_of_each(crowded, corpus, docs):
     for d, t in rows:
         left[tuple(words(t, lower=True))].add(d)
     assert set(left) < set(by_text) and all(len(x) == 1 for x in left.values())
-    lone = {d for ids in by_text.values() if len(ids) == 1 for d in ids}
-    assert len(lone - {d for d, _ in rows}) <= 2  # the near copies
+    # no two that stay are much alike, and who goes is like one that stays, or like one that goes and so on
+    sets = {t: {t[i : i + 5] for i in range(max(1, len(t) - 4))} if t else set() for t in by_text}
+    alike = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    assert all(alike(a, b) < 0.88 for a in left for b in left if a != b)
+    near, found = set(left), True
+    while found:
+        found = {t for t in by_text if t not in near and any(alike(t, x) > 0.7 for x in near)}
+        near |= found
+    assert near == set(by_text)
+
+
+def test_spanning_links():
+    draw = np.random.default_rng(0)
+    for _ in range(200):
+        n, m = int(draw.integers(1, 60)), int(draw.integers(0, 120))
+        a, b = draw.integers(0, n, m), draw.integers(0, n, m)
+        kept = simhash.spanning(a, b, n)
+
+        def parts(a, b):
+            label = list(range(n))
+            for x, y in zip(a.tolist(), b.tolist()):
+                label = [label[x] if k == label[y] else k for k in label]
+            return {frozenset(i for i in range(n) if label[i] == k) for k in label}
+
+        assert parts(a, b) == parts(a[kept], b[kept]) and kept.sum() == n - len(parts(a, b))
 
 
 def test_components_of_chains_stars_and_loops(spark):
@@ -194,7 +217,7 @@ def test_components_of_chains_stars_and_loops(spark):
 
 
 def similar_nodes(spark, fps):
-    """Fingerprints of six words, each a row of 0 and 1."""
+    """Fingerprints of many words, each a row of 0 and 1."""
     raw = np.packbits(fps, axis=1)
     nodes = simhash.node_of(raw.view(">u8").astype(np.uint64)).view(np.int64)
     return spark.createDataFrame([(bytearray(x.tobytes()), n) for x, n in zip(raw, nodes.tolist())], "fp binary, node long"), nodes
@@ -203,14 +226,14 @@ def similar_nodes(spark, fps):
 def test_hub_does_not_hide_links(spark):
     """A hub is near others in the first word only; those others are near each other in all words."""
     draw = np.random.default_rng(5)
-    hub = draw.integers(0, 2, 384).astype(np.uint8)
+    hub = draw.integers(0, 2, 768).astype(np.uint8)
     fps, want = [hub], set()
     for k in range(40):
         x = hub.copy()
         x[draw.choice(np.arange(16, 64), 6, replace=False)] ^= 1
-        x[64:] = draw.integers(0, 2, 320)
+        x[64:] = draw.integers(0, 2, 704)
         y = x.copy()
-        y[draw.choice(np.arange(64, 384), 30, replace=False)] ^= 1
+        y[draw.choice(np.arange(64, 768), 60, replace=False)] ^= 1
         fps += [x, y]
         want.add((2 * k + 1, 2 * k + 2))
     df, nodes = similar_nodes(spark, np.array(fps))
@@ -218,17 +241,17 @@ def test_hub_does_not_hide_links(spark):
     assert {tuple(sorted((at[r.a], at[r.b]))) for r in simhash.links_between(df, simhash.SIMILAR).collect()} == want
 
 
-def test_pairs_meet_in_a_large_table(spark):
-    """Pairs that differ in 58 of 384 bits, as at a similarity of 0.8, among many other fingerprints."""
+@pytest.mark.parametrize("size", [3000, 40_000])
+def test_pairs_meet_in_a_table_of_any_size(spark, size):
+    """Pairs whose bits differ as at a similarity of 0.8, among many other fingerprints."""
     draw = np.random.default_rng(6)
-    fps = draw.integers(0, 2, (40_000, 384)).astype(np.uint8)
+    fps = draw.integers(0, 2, (size, 768)).astype(np.uint8)
     pairs = fps[:1000].copy()
-    for x in pairs:
-        x[draw.choice(384, 58, replace=False)] ^= 1
+    pairs ^= draw.random(pairs.shape) < 0.151
     df, nodes = similar_nodes(spark, np.concatenate([fps, pairs]))
-    want = {tuple(sorted(x)) for x in zip(nodes[:1000].tolist(), nodes[40_000:].tolist())}
+    want = {tuple(sorted(x)) for x in zip(nodes[:1000].tolist(), nodes[size:].tolist())}
     got = {tuple(sorted((r.a, r.b))) for r in simhash.links_between(df, simhash.SIMILAR).collect()}
-    assert got <= want and len(got) >= 0.96 * len(want)
+    assert got <= want and len(got) >= 0.9 * len(want)
 
 
 @pytest.fixture(scope="module")
