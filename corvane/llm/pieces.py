@@ -110,64 +110,12 @@ def marked(text: str) -> str:
 
 
 HASH_BASE, TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 19
-BYTE_VALUES = common.mixed(np.arange(1, 257, dtype=np.uint64) * common.MIX_1)
-
-
-class HashTable:
-    """Numbers by 64-bit keys, for arrays of keys; open addressing, no key is put in twice."""
-
-    def __init__(self, bits: int) -> None:
-        self.shift, self.keys, self.numbers = np.uint64(64 - bits), np.zeros(2**bits, np.uint64), np.zeros(2**bits, np.int32)
-
-    @staticmethod
-    def _key(h: np.ndarray) -> np.ndarray:
-        return np.maximum(common.mixed(h), np.uint64(1))
-
-    def find(self, h: np.ndarray, absent: int) -> np.ndarray:
-        h = self._key(h)
-        at = (h >> self.shift).astype(np.int64)
-        key = self.keys[at]
-        out = np.where(key == h, self.numbers[at], absent)
-        go = np.flatnonzero((key != h) & (key != 0))
-        while len(go):
-            at[go] = (at[go] + 1) % len(self.keys)
-            key = self.keys[at[go]]
-            same = key == h[go]
-            out[go[same]] = self.numbers[at[go[same]]]
-            go = go[~same & (key != 0)]
-        return out
-
-    def put(self, h: np.ndarray, numbers: np.ndarray) -> None:
-        h = self._key(h)
-        at, go = (h >> self.shift).astype(np.int64), np.arange(len(h))
-        while len(go):
-            free = go[self.keys[at[go]] == 0]
-            self.keys[at[free]] = h[free]  # of several that want one place, the last has it
-            held = free[self.keys[at[free]] == h[free]]
-            self.numbers[at[held]] = numbers[held]
-            go = np.setdiff1d(go, held, assume_unique=True)
-            at[go] = (at[go] + 1) % len(self.keys)
 
 
 def extended(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (h + c + np.uint64(1)) * HASH_BASE
 
 
-def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The positions start to start + size of each part, one after another."""
-    ends = np.cumsum(size)
-    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column's rows, one after another, and where each begins and ends; null rows are empty."""
-    column = column.cast(pa.binary()).fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
-    data = column.buffers()[2] if len(column) else None
-    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    return data, offsets - offsets[0]
-
-
 def with_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows with one space before each that isn't empty."""
     some = offsets[1:] > offsets[:-1]
@@ -192,7 +140,7 @@ def as_text(ids: np.ndarray, cuts: np.ndarray, vocabulary: Vocabulary) -> tuple[
     """The bytes that rows of pieces stand for, and where each row begins and ends."""
     at, size, raw = vocabulary.in_bytes
     n = size[ids]
-    return raw[ragged(at[ids], n)], np.r_[0, np.cumsum(n, dtype=np.int64)][cuts]
+    return raw[common.ragged(at[ids], n)], np.r_[0, np.cumsum(n, dtype=np.int64)][cuts]
 
 
 class Lattice:
@@ -206,14 +154,14 @@ class Lattice:
         self.prefixes = self._prefixes()
         self.forget()
 
-    def _prefixes(self) -> HashTable:
+    def _prefixes(self) -> common.HashTable:
         """The number of each piece, -1 for what only begins one, by a hash of their characters."""
         numbers: dict[str, int] = {}
         for p, (_, k) in self.table.items():
             for n in range(1, len(p)):
                 numbers.setdefault(p[:n], -1)
             numbers[p] = k
-        found = HashTable(max(TABLE_BITS, len(numbers).bit_length() + 1))
+        found = common.HashTable(max(TABLE_BITS, len(numbers).bit_length() + 1))
         by_length: dict[int, list[str]] = {}
         for p in numbers:
             by_length.setdefault(len(p), []).append(p)
@@ -229,7 +177,7 @@ class Lattice:
         """Drops what is known of stretches and makes room for REMEMBERED, or ``most``: about 50 bytes each."""
         most = most or REMEMBERED
         self.most, self.count, self.used = most, 0, 0
-        self.known = HashTable((2 * most).bit_length())
+        self.known = common.HashTable((2 * most).bit_length())
         self.total, self.at, self.size = np.zeros(most, np.int64), np.zeros(most, np.int64), np.zeros(most, np.int32)
         self.ids = np.zeros(4 * most, np.int32)
 
@@ -282,7 +230,7 @@ class Lattice:
         size = self.size[entry]
         total = np.r_[0, np.cumsum(self.total[entry])][of_row]
         cuts = np.r_[0, np.cumsum(size, dtype=np.int64)][of_row]
-        ids, total = self.ids[ragged(self.at[entry], size)], np.diff(total)
+        ids, total = self.ids[common.ragged(self.at[entry], size)], np.diff(total)
         text, _ = as_text(ids, cuts, self.v)
         if len(text) != len(data) or (text != data).any():
             rows = [self._alone(data[a:b]) for a, b in zip(offsets, offsets[1:])]
@@ -297,7 +245,7 @@ class Lattice:
 
     def _entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Where each stretch is known, after solving those that aren't."""
-        h = self.hashed.spans(self.hashed.prefix(BYTE_VALUES[data]), start, end)
+        h = self.hashed.spans(self.hashed.prefix(common.BYTE_VALUES[data]), start, end)
         at = self.known.find(h, -1)
         new = np.flatnonzero(at < 0)
         if not len(new):
@@ -308,12 +256,12 @@ class Lattice:
             some = np.unique(h, return_index=True)[1]
             self.forget(max(REMEMBERED, len(some)))
         size = end[some] - start[some]
-        raw = data[ragged(start[some], size)]
+        raw = data[common.ragged(start[some], size)]
         ends = np.cumsum(size)
         lengths = np.diff(np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][np.r_[0, ends]])
         order = np.argsort(-lengths, kind="stable")
         some, size, lengths = some[order], size[order], lengths[order]
-        c = np.frombuffer(data[ragged(start[some], size)].tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+        c = np.frombuffer(data[common.ragged(start[some], size)].tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
         own = c == ord(MARK)
         c[c == 32] = ord(MARK)
         c[own] = ord(OWN_MARK)
@@ -324,7 +272,7 @@ class Lattice:
             best, back = self.forward(text, 0, len(text))
             ids = np.array(self.path(text, back, 0, len(text)), np.int32)
             self._keep(h[some[k : k + 1]], np.array([best[-1]]), np.array([len(ids)]), ids)
-        for a, b in batches_of(places[n:], UNITS):
+        for a, b in common.batches_of(places[n:], UNITS):
             self._keep(h[some[n + a : n + b]], *self._solve(c[places[n + a] : places[n + b]], lengths[n + a : n + b]))
         at[new] = self.known.find(h[new], -1)
         return at
@@ -460,15 +408,6 @@ class Lattice:
         return out + self.path(tail, self.forward(tail, 0, n - last)[1], 0, len(tail))
 
 
-def batches_of(places: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Stretches of items (item k from places[k] to places[k+1]) of about ``most`` in all, one item at least."""
-    a = 0
-    while a < len(places) - 1:
-        b = max(a + 1, int(np.searchsorted(places, places[a] + most, "right")) - 1)
-        yield a, b
-        a = b
-
-
 def ranks(keys: Sequence[tuple]) -> np.ndarray:
     """The place of each key among the different ones in order."""
     place = {x: k for k, x in enumerate(sorted(set(keys)))}
@@ -543,7 +482,7 @@ def _chunks(docs: DataFrame, reach: int, chunk: int) -> DataFrame:
                     n = min(chunk, len(text) - at)
                     yield pa.RecordBatch.from_pydict({"row": pa.array([row]), "k": pa.array([k], pa.int32()), "n": pa.array([n], pa.int32()), "part": pa.array([text[at : at + n + reach]])})
 
-    return docs.select("row", "text").mapInArrow(run, "row long, k int, n int, part string")
+    return docs.select("row", "text").mapInArrow(common.released(run), "row long, k int, n int, part string")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = CHUNK, restored: str | None = None) -> DataFrame:
@@ -565,17 +504,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = C
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(shared.value)
         for whole in batches:
-            for at, to in batches_of(text_buffer(whole["doc"].field("text"))[1], FLUSH):
+            for at, to in common.batches_of(common.text_buffer(whole["doc"].field("text"))[1], FLUSH):
                 b = whole.slice(at, to - at)
                 texts = b["doc"].field("text")
-                total, cuts, ids = lattice.block(*with_marks(*text_buffer(texts)))
+                total, cuts, ids = lattice.block(*with_marks(*common.text_buffer(texts)))
                 out = [b["doc"], _list(ids, cuts, texts.is_valid()), pa.array(total / UNIT)]
                 if restored:
                     out.append(strings(*as_text(ids, cuts, lattice.v), texts.is_valid()))
                 yield pa.RecordBatch.from_arrays(out, names=ddl.names)
 
     is_giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    encoded = inner.filter(~is_giant).select("doc").mapInArrow(small, ddl)
+    encoded = inner.filter(~is_giant).select("doc").mapInArrow(common.released(small), ddl)
     giants = common.stored(inner.filter(is_giant).withColumn("row", F.monotonically_increasing_id()))
     chunks = common.stored(_chunks(giants, vocabulary.longest - 1, chunk).repartition("row", "k"))
 
@@ -600,8 +539,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = C
             ids = np.fromiter(chain.from_iterable(rows), np.int32)
             yield pa.RecordBatch.from_arrays([b["row"], b["k"], _list(ids, np.r_[0, np.cumsum(list(map(len, rows)))]), b["part_score"]], names=["row", "k", "ids", "part_score"])
 
-    ends = chunks.select("row", "k", "n", "part").mapInArrow(transfers, "row long, k int, matrix binary").groupBy("row").applyInArrow(states, "row long, k int, begin int, end int, part_score long")
-    traced = chunks.join(ends, ["row", "k"]).mapInArrow(pieces, "row long, k int, ids array<int>, part_score long")
+    ends = chunks.select("row", "k", "n", "part").mapInArrow(common.released(transfers), "row long, k int, matrix binary").groupBy("row").applyInArrow(common.released(states), "row long, k int, begin int, end int, part_score long")
+    traced = chunks.join(ends, ["row", "k"]).mapInArrow(common.released(pieces), "row long, k int, ids array<int>, part_score long")
     parts = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("pieces"), (F.sum("part_score") / UNIT).alias("score"))
     long_ones = giants.join(parts, "row").select("doc", "pieces", "score")
     if restored:
@@ -623,10 +562,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None, into: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             lengths = np.r_[0, np.cumsum(pa.compute.list_value_length(whole["pieces"]).fill_null(0).to_numpy())]
-            for at, to in batches_of(lengths, FLUSH // 4):
+            for at, to in common.batches_of(lengths, FLUSH // 4):
                 b = whole.slice(at, to - at)
                 ids = b["pieces"].flatten().to_numpy(zero_copy_only=False)
                 texts = strings(*as_text(ids, lengths[at : to + 1] - lengths[at], shared.value), b["pieces"].is_valid())
                 yield pa.RecordBatch.from_arrays([b["doc"], texts], names=["doc", "_decoded"])
 
-    return inner.mapInArrow(run, ddl).select("doc.*", F.col("_decoded").alias(into))
+    return inner.mapInArrow(common.released(run), ddl).select("doc.*", F.col("_decoded").alias(into))

@@ -128,7 +128,7 @@ def packed(marks: list[tuple[int, bytes]]) -> pa.Table:
 
 
 def by_document(marks: DataFrame) -> DataFrame:
-    return marks.groupBy("doc_bucket").applyInArrow(merge_marks, MARKS_DDL)
+    return marks.groupBy("doc_bucket").applyInArrow(common.released(merge_marks), MARKS_DDL)
 
 
 def mapper(window: int, n: int):
@@ -197,8 +197,8 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets_for(size // 6)
-    hashed = keyed(docs, "text").mapInArrow(mapper(window, n), SENT_DDL)
-    return attach(docs, hashed.groupBy("bucket").applyInArrow(reducer(window, n), PACKED_DDL))
+    hashed = keyed(docs, "text").mapInArrow(common.released(mapper(window, n)), SENT_DDL)
+    return attach(docs, hashed.groupBy("bucket").applyInArrow(common.released(reducer(window, n)), PACKED_DDL))
 
 
 def intervals(removed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +229,7 @@ def digest(found: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.record_batch([b["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return found.select("doc.doc_id", "doc.text", "removed").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.select("doc.doc_id", "doc.text", "removed").mapInArrow(common.released(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(found: DataFrame) -> DataFrame:
@@ -263,4 +263,4 @@ def cut(found: DataFrame) -> DataFrame:
             new = {c: b[c] for c in columns} | {"text": pa.array(texts, pa.binary()).cast(b["text"].type)}
             yield pa.RecordBatch.from_pydict(new).filter(pa.array(keep, pa.bool_()))
 
-    return found.select("doc.*", F.col("removed").alias(spans)).mapInArrow(run, schema)
+    return found.select("doc.*", F.col("removed").alias(spans)).mapInArrow(common.released(run), schema)

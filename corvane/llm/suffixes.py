@@ -31,7 +31,6 @@ from corvane.llm.substring import BUCKET_BASE, HASH_BASE, PACKED, PACKED_DDL, SE
 LENGTH, ANCHOR = 200, 100
 #: Bytes of text that a task takes at once; records in a bucket, about.
 FLUSH, BUCKET = 2_000_000, 1_000_000
-BYTE_VALUES = common.mixed(np.arange(1, 257, dtype=np.uint64) * common.MIX_1)
 
 
 class Digits:
@@ -41,7 +40,7 @@ class Digits:
         lengths = np.array([len(x or b"") for x in texts], np.int64)
         self.ends = np.cumsum(lengths)
         self.begins = self.ends - lengths
-        values = BYTE_VALUES[np.frombuffer(b"".join(x or b"" for x in texts), np.uint8)]
+        values = common.BYTE_VALUES[np.frombuffer(b"".join(x or b"" for x in texts), np.uint8)]
         self.n, self.first, self.second = len(values), first, second
         self.one, self.two = first.prefix(values), second.prefix(values)
 
@@ -191,13 +190,13 @@ def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
         raise ValueError("an anchor is no longer than the strings")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets_for(size // 50, BUCKET)
-    records = keyed(docs, "text").mapInArrow(first_digits(length, anchor, n), SENT_DDL)
-    runs = common.stored(records.groupBy("bucket").applyInArrow(refine(length, n), RUNS_DDL))
+    records = keyed(docs, "text").mapInArrow(common.released(first_digits(length, anchor, n)), SENT_DDL)
+    runs = common.stored(records.groupBy("bucket").applyInArrow(common.released(refine(length, n)), RUNS_DDL))
     going = common.stored(by_document(runs.filter("not final").drop("final")))
     texts = keyed(docs, "text").join(going, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "tag", "text", "spans")
     windows = going.agg(F.sum("covered")).first()[0] or 0
-    sent_on = texts.mapInArrow(last_digit(length, buckets_for(windows), n), SENT_DDL)
-    marks = sent_on.groupBy("bucket").applyInArrow(equal_windows(length, n), PACKED_DDL)
+    sent_on = texts.mapInArrow(common.released(last_digit(length, buckets_for(windows), n)), SENT_DDL)
+    marks = sent_on.groupBy("bucket").applyInArrow(common.released(equal_windows(length, n)), PACKED_DDL)
     return attach(docs, runs.filter("final").drop("final").unionByName(marks))
 
 
@@ -218,4 +217,4 @@ def digest(found: DataFrame) -> DataFrame:
             n, gone, spans, sha = zip(*out) if out else ((), (), (), ())
             yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.select("doc.doc_id", "doc.text", "removed").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc.doc_id", "doc.text", "removed").mapInArrow(common.released(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
