@@ -68,5 +68,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op9_suffix_dedup": sql.SUFFIX_DEDUP,
     "op10_license_scan": sql.LICENSE_SCAN,
 }

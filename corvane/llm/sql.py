@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import licenses, substring
+from corvane.llm import licenses, substring, suffixes
 
 _A_Z = f"'{licenses.UPPER}', '{licenses.LOWER}'"
 
@@ -73,3 +73,26 @@ WITH word AS (
 SELECT word.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM word LEFT JOIN kept USING (doc_id)
 """
+
+SUFFIX_DEDUP = f"""
+WITH doc AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), start AS (
+  SELECT rid, h, unnest(range(0, len(h) // 2 - {suffixes.LENGTH - 1})) AS i FROM doc
+), window_of AS MATERIALIZED (
+  SELECT rid, i, md5(substring(h, (2 * i + 1)::BIGINT, {2 * suffixes.LENGTH})) AS k FROM start
+), again AS (
+  SELECT rid, i FROM window_of WHERE k IN (SELECT k FROM window_of GROUP BY k HAVING count(*) > 1)
+), run AS (
+  SELECT rid, i, sum(CASE WHEN i <= last + {suffixes.LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS n
+  FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS last FROM again)
+), span AS (
+  SELECT rid, n, min(i) AS a, max(i) + {suffixes.LENGTH} AS b FROM run GROUP BY rid, n
+), gone AS (
+  SELECT rid, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY rid
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(len(a) + 1), lambda j: substring(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE b[j] END) + 1,
+    2 * ((CASE WHEN j = len(a) THEN len(h) // 2 ELSE a[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE b[j] END)))), '') END)) AS kept_sha256
+FROM doc LEFT JOIN gone USING (rid)
+"""
