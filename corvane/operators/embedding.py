@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -41,8 +42,16 @@ class ModelEmbedder:
         return embed(text)
 
 
+@lru_cache(100_000)
+def _hashed(word: str) -> int:
+    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+
+
 class HashEmbedder(ModelEmbedder):
-    """Counts of words by hash, signed and scaled to length one. It needs no model and only knows shared words."""
+    """Counts of words by hash, signed and scaled to length one. It needs no model and only knows shared words.
+
+    The hash is the first 32 bits of the word's MD5, which SQL has as well; the highest of them is the sign.
+    """
 
     WORD = re.compile(r"\w+")
 
@@ -53,7 +62,7 @@ class HashEmbedder(ModelEmbedder):
             def encode(texts: list[str]) -> np.ndarray:
                 out = np.zeros((len(texts), dimension), np.float32)
                 for row, text in zip(out, texts):
-                    h = np.array([zlib.crc32(w.encode()) for w in word.findall(text.lower())], np.int64)
+                    h = np.array([_hashed(w) for w in word.findall(text.lower())], np.int64)
                     row += np.bincount(h % dimension, np.where(h >> 31 & 1, 1.0, -1.0), dimension)
                 length = np.linalg.norm(out, axis=1, keepdims=True)
                 return np.divide(out, length, out=out, where=length > 0)

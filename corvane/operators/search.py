@@ -135,20 +135,20 @@ def lsh_search(index: DataFrame, queries: DataFrame, top_k: int = 0, tables: int
 
 
 class Retriever:
-    """Searches an index by texts."""
+    """Searches an index by texts; ``digits`` rounds scores before ranking."""
 
-    def __init__(self, index: DataFrame, embedder: Embedder | None, top_k: int = TOP_K) -> None:
+    def __init__(self, index: DataFrame, embedder: Embedder | None, top_k: int = TOP_K, digits: int | None = None) -> None:
         if embedder is None:
             raise ValueError("a retriever needs an embedder")
-        self.index, self.embedder, self.top_k = index, embedder, top_k
+        self.index, self.embedder, self.top_k, self.digits = index, embedder, top_k, digits
 
     def embed(self, query: str) -> list[float]:
         spark = self.index.sparkSession
         return embed_queries(spark.createDataFrame([(query,)], "query string"), self.embedder).first().vector
 
     def retrieve(self, query: str, top_k: int = 0, where: Column | None = None, with_payload: bool = True, with_vectors: bool = False) -> DataFrame:
-        return search(self.index, self.embed(query), top_k or self.top_k, where, with_payload, with_vectors)
+        return search(self.index, self.embed(query), top_k or self.top_k, where, with_payload, with_vectors, self.digits)
 
     def batch_retrieve(self, queries: DataFrame, top_k: int = 0, where: Column | None = None) -> DataFrame:
         """``queries`` has query_id and query."""
-        return batch_search(self.index, embed_queries(queries, self.embedder), top_k or self.top_k, where)
+        return batch_search(self.index, embed_queries(queries, self.embedder), top_k or self.top_k, where, digits=self.digits)

@@ -69,6 +69,7 @@ def sql_pieces(source: str, size: int = 512, overlap: int = 50) -> str:
     return ",\n".join(ctes)
 
 
+_SPLIT = r"string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}]+')"
 _SOURCE = f"SELECT doc_id, {sql_clean('text')} AS text FROM documents WHERE trim(text) <> ''"
 _CHUNKS = f"WITH {sql_pieces(_SOURCE)}"
 
@@ -195,18 +196,43 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.select("item_id", F.col("m")[0].role.alias("first_role"), F.col("m")[0].content.alias("first"), F.col("m")[1].role.alias("second_role"), F.col("m")[1].content.alias("second"))
 
 
-@query()
+def sql_embedded(source: str, name: str, dimension: int = 384) -> str:
+    """CTEs that end with ``name(id, embedding)``; ``source`` gives id and text."""
+    return f"""{name}_word AS (SELECT id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))), 1, 8))::UBIGINT::BIGINT AS h FROM ({source})),
+{name}_part AS (SELECT id, h % {dimension} AS spot, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::FLOAT AS n FROM {name}_word GROUP BY ALL),
+{name}_map AS (SELECT id, map(list(spot), list(n)) AS parts, sqrt(sum(n * n))::FLOAT AS length FROM {name}_part GROUP BY id),
+{name} AS (SELECT s.id, list_transform(range({dimension}), lambda i: CASE WHEN length > 0 THEN coalesce(parts[i], 0::FLOAT) / length ELSE 0::FLOAT END) AS embedding FROM ({source}) AS s LEFT JOIN {name}_map AS m ON m.id = s.id)"""
+
+
+_CHUNK_ROWS = "SELECT doc_id || '_chunk_' || chunk_index AS id, text FROM chunk WHERE trim(text) <> ''"
+
+
+@query(f"{_CHUNKS}, {sql_embedded(_CHUNK_ROWS, 'embedded')} SELECT id, embedding FROM embedded")
 def embed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_chunks(_chunked(spark, sf_dir), HashEmbedder()).select("id", "embedding")
 
 
-@query()
+_RAG = f"""
+{_CHUNKS}, point AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_index) AS row, doc_id || '_chunk_' || chunk_index AS id, text FROM chunk WHERE trim(text) <> ''),
+{sql_embedded('SELECT id, text FROM point', 'embedded')}, {sql_embedded('SELECT item_id AS id, text FROM benchmark', 'asked')},
+scored AS (SELECT q.id AS query_id, e.id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM asked AS q, embedded AS e),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE score IS NOT NULL AND NOT isnan(score)) WHERE rank <= 5),
+hit AS (SELECT query_id, list(text ORDER BY rank) AS contexts, list(score ORDER BY rank) AS scores FROM best JOIN point USING (id) GROUP BY query_id),
+found AS (SELECT item_id, text, coalesce(contexts, []) AS contexts, coalesce(scores, []) AS scores FROM benchmark LEFT JOIN hit ON query_id = item_id),
+sentence AS (SELECT item_id, text, unnest(s) AS s, unnest(range(len(s))) AS i FROM (SELECT item_id, text, flatten(list_transform(string_split(regexp_replace(array_to_string(contexts, chr(10) || chr(10)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: string_split(x, chr(10) || chr(10)))) AS s FROM found)),
+rated AS (SELECT item_id, s, i, len(list_intersect(list_distinct({_SPLIT.format(x='s')}), list_distinct({_SPLIT.format(x='text')}))) AS n FROM sentence WHERE trim(s) <> ''),
+answer AS (SELECT item_id, trim(arg_max(s, n * 1000000 - i)) AS answer FROM rated GROUP BY item_id)
+SELECT item_id AS query_id, text AS query, coalesce(answer, '') AS answer, contexts AS retrieved_contexts, scores FROM found LEFT JOIN answer USING (item_id)
+"""
+
+
+@query(_RAG)
 def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks, embeds and indexes the documents, and answers the benchmark's items from them."""
     embedder = HashEmbedder()
     points = stored(flatten_payload(embed_chunks(_chunked(spark, sf_dir), embedder)).withColumnRenamed("embedding", "vector"))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return rag(Retriever(points, embedder), ExtractiveGenerator(), queries)
+    return rag(Retriever(points, embedder, digits=6), ExtractiveGenerator(), queries)
 
 
 _TOKENS = f"SELECT CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END AS tokens FROM (SELECT {sql_alpha('text')} AS c FROM documents)"
