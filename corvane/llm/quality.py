@@ -1,9 +1,9 @@
 """Quality rules as weak supervision: rules vote or abstain, EM estimates their accuracies, a posterior decides.
 
 Each rule looks at counts of one document and votes good, bad or not at all. Only how often each pattern of votes
-occurs leaves Spark, at most 3**10 patterns at any corpus size. EM over the patterns estimates the share of good
+occurs leaves Spark, at most 3**9 patterns at any corpus size. EM over the patterns estimates the share of good
 documents and, for each rule, how likely each vote is on good and on bad documents (priors that favour right votes
-keep the two classes from swapping or splitting a uniform corpus). The posterior is a logistic function of the votes,
+keep the two classes from swapping or splitting a uniform corpus). A rule that abstains counts for neither class. The posterior is a logistic function of the votes,
 evaluated as a native expression.
 
 A null or empty text has no words and fails the base rules. Repeated rows and null ids are rows like any other.
@@ -30,7 +30,7 @@ STOP_WORDS = (
     "der die das und ist nicht ein eine zu den von mit im dem des auf für sich "
     "el los las del en y que un una por con para se no es al lo como"
 ).split()
-RULES = ("symbols", "duplicate_lines", "repeats", "stop_words", "capitals", "punctuation", "variety", "exclamation", "word_length", "prose")
+RULES = ("symbols", "duplicate_lines", "repeats", "stop_words", "capitals", "punctuation", "variety", "exclamation", "word_length")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Assumed share of good documents and accuracy of a rule, and the weight of both as a share of all documents.
 GOOD, ACCURACY, WEIGHT = 0.85, 0.95, 0.02
@@ -82,21 +82,23 @@ def measure(data: bytes | None) -> tuple[list[int], list[int]]:
     upper = len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     ended = sum(w[-1] in _END for w in words)
     distinct, exclaimed = len(set(words)), data.count(b"!")
-    prose = stop * 100 >= n * 8 and symbols * 50 <= n and upper * 8 <= chars and ended * 3 <= n and n >= 30
     return counts, [
-        -int(symbols * 10 > n),
-        -int(dup > 1 and dup * 10 > n_lines * 3),
-        -int(repeated * 10 > n),
-        -int(n >= 20 and stop * 100 < n * 3),
-        -int(upper * 10 > chars * 4),
-        -int(n >= 30 and (ended * 200 < n or ended * 2 > n)),
-        -int(n >= 50 and distinct * 10 < n),
-        -int(exclaimed * 10 > n),
-        -int(chars <= n * 2 or chars >= n * 25),
-        int(prose),
+        _vote(symbols * 10 > n, n >= 20 and symbols * 50 <= n),
+        _vote(dup > 1 and dup * 10 > n_lines * 3),
+        _vote(repeated * 10 > n),
+        _vote(n >= 20 and stop * 100 < n * 3, n >= 20 and stop * 100 >= n * 8),
+        _vote(upper * 10 > chars * 4),
+        _vote(n >= 30 and (ended * 200 < n or ended * 2 > n), n >= 30 and ended * 50 >= n and ended * 3 <= n),
+        _vote(n >= 50 and distinct * 10 < n),
+        _vote(exclaimed * 10 > n),
+        _vote(chars <= n * 2 or chars >= n * 25),
     ]
 
 
+def _vote(bad: bool, good: bool = False) -> int:
+    return -1 if bad else int(good)
+
+
 def _votes(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns to keep with the counts and votes of each row."""
     names = [f"v_{r}" for r in RULES]
@@ -114,7 +116,7 @@ def _votes(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     ddl = docs.select(keep).sparkSession.createDataFrame([], schema).select(*keep, *[F.lit(0).cast("long").alias(c) for c in COUNTS], *[F.lit(0).cast("byte").alias(c) for c in names]).schema
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ddl)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(common.released(run), ddl)
 
 
 def base_failed() -> Column:
@@ -122,19 +124,21 @@ def base_failed() -> Column:
 
 
 class Model:
-    """Class share and the probability of each vote (bad, none, good) on bad and good documents."""
+    """Class share and, of the rules that vote, the probability of each vote (bad, good) on bad and good documents.
+
+    A rule that abstains says nothing of the class.
+    """
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> None:
         rules = patterns.shape[1] if patterns.size else len(RULES)
         total = float(counts.sum())
         strength = max(20.0, WEIGHT * total)
-        #: Prior: a vote is right with ACCURACY; a third of documents gets none.
-        right, wrong, none = ACCURACY * 2 / 3, (1 - ACCURACY) * 2 / 3, 1 / 3
-        prior = strength * np.tile(np.array([[right, none, wrong], [wrong, none, right]]), (rules, 1, 1))
+        #: Prior: a vote is right with ACCURACY.
+        prior = strength * np.tile(np.array([[ACCURACY, 1 - ACCURACY], [1 - ACCURACY, ACCURACY]]), (rules, 1, 1))
         self.good, self.table = GOOD, prior / prior.sum(2, keepdims=True)
         if not total:
             return
-        one_hot = np.eye(3)[patterns + 1]
+        one_hot = np.stack([patterns < 0, patterns > 0], axis=-1).astype(float)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(self.log_odds(patterns), -500, 500)))
             weight = np.stack([counts * (1 - p), counts * p])
@@ -147,19 +151,17 @@ class Model:
                 break
 
     def weights(self) -> np.ndarray:
-        """What each vote of each rule adds to the log odds of good."""
-        return np.log(self.table[:, 1] / self.table[:, 0])
+        """What a bad vote, none and a good vote of each rule add to the log odds of good."""
+        bad, good = np.log(self.table[:, 1] / self.table[:, 0]).T
+        return np.stack([bad, np.zeros(len(bad)), good], axis=1)
 
     def log_odds(self, patterns: np.ndarray) -> np.ndarray:
         w = self.weights()
         return math.log(self.good / (1 - self.good)) + w[np.arange(len(w)), patterns + 1].sum(1)
 
     def accuracies(self) -> dict[str, float]:
-        """How often each rule is right when it votes."""
-        share = np.array([1 - self.good, self.good])
-        right = share[0] * self.table[:, 0, 0] + share[1] * self.table[:, 1, 2]
-        voted = (share * (self.table[:, :, 0] + self.table[:, :, 2])).sum(1)
-        return dict(zip(RULES, (right / voted).tolist()))
+        """How often each rule is right on bad and good documents alike, where it votes."""
+        return dict(zip(RULES, (((1 - self.good) * self.table[:, 0, 0] + self.good * self.table[:, 1, 1])).tolist()))
 
     def posterior(self) -> Column:
         """The probability of good, from the vote columns."""
@@ -173,7 +175,7 @@ class Model:
 def fit(votes: DataFrame) -> Model:
     """EM over how often each pattern of votes occurs among documents that pass the base rules."""
     names = [f"v_{r}" for r in RULES]
-    rows = votes.filter(~base_failed()).groupBy(names).count().orderBy(names).collect()  # at most 3**10 patterns
+    rows = votes.filter(~base_failed()).groupBy(names).count().orderBy(names).collect()  # at most 3**9 patterns
     return Model(np.array([r[:-1] for r in rows], np.int64).reshape(len(rows), len(names)), np.array([r[-1] for r in rows], float))
 
 
