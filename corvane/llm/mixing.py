@@ -8,9 +8,12 @@ The blocks that all passes draw are the source's exact quota. A tree splits the
 shards: each node gives its left half a multivariate-hypergeometric share of what it has, so every shard gets an
 unbiased mix, all quotas are used up exactly, and no block is drawn twice. A leaf's quota is a stretch of the source's
 permuted blocks, disjoint from all others. Inside a shard, documents are shuffled by hash. Everything about a document
-follows from its hash and its source's row; nothing is sorted or collected by source.
+follows from its hash, its source's row and its block's shards. No documents are sorted by source, only the sums of its
+blocks, and the documents of the one block where its target ends.
 
-The driver holds one row a source and, of the tree, the top levels; tasks expand the rest.
+The driver holds one row a source and, of the tree, the top levels; tasks expand the rest. Words are counted once, to a
+table without texts; the mix itself reads texts once more and shuffles them once, to their shards. The rows of sources
+and of blocks go to every task where there are at most MOST_SENT, and are joined by their keys beyond.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from corvane.llm import common
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Words in a block and blocks in a shard, about; subtrees that the driver hands to tasks.
-BLOCK, PER_SHARD, SUBTREES = 250_000, 16, 256
+BLOCK, PER_SHARD, SUBTREES, MOST_SENT = 250_000, 16, 256, 100_000
 SEED = 20_240_601
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -49,7 +52,28 @@ def targets(sizes: Sequence[float], weights: Sequence[float], share: float = SHA
     return out
 
 
-def split_quota(quota: np.ndarray, capacity: np.ndarray, seed: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+@dataclass(frozen=True)
+class Shards:
+    """How many blocks go into shards in a row: ``total`` blocks are laid over ``number`` shards as evenly as can be."""
+
+    total: int
+    number: int
+
+    @staticmethod
+    def of(total: int, per_shard: int = 0) -> Shards:
+        return Shards(total, max(1, -(-total // (per_shard or PER_SHARD))))
+
+    def capacity(self, low: int, high: int) -> int:
+        return self.total * high // self.number - self.total * low // self.number
+
+
+def halved(have: np.ndarray, shards: Shards, low: int, high: int, seed: int) -> np.ndarray:
+    """What the left half of the shards low to high gets; the same whenever and wherever it is drawn."""
+    draw = np.random.default_rng([seed, low, high])
+    return draw.multivariate_hypergeometric(have, shards.capacity(low, (low + high) // 2), method="marginals")
+
+
+def split_quota(quota: np.ndarray, shards: Shards, seed: Sequence[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, blocks of each source, first block of each source) for shards seed[1] to seed[2], by the splitting tree."""
     stack = [(seed[1], seed[2], quota, np.zeros_like(quota))]
     while stack:
@@ -57,34 +81,28 @@ def split_quota(quota: np.ndarray, capacity: np.ndarray, seed: Sequence[int]) ->
         if high - low == 1:
             yield low, have, first
             continue
-        left = halved(have, capacity, low, high, seed[0])
+        left = halved(have, shards, low, high, seed[0])
         middle = (low + high) // 2
         stack.append((middle, high, have - left, first + left))
         stack.append((low, middle, left, first))
 
 
-def halved(have: np.ndarray, capacity: np.ndarray, low: int, high: int, seed: int) -> np.ndarray:
-    """What the left half of the shards low to high gets; the same whenever and wherever it is drawn."""
-    draw = np.random.default_rng([seed, low, high])
-    return draw.multivariate_hypergeometric(have, int(capacity[low : (low + high) // 2].sum()), method="marginals")
-
-
-def capacities(total: int, per_shard: int = PER_SHARD) -> np.ndarray:
-    shards = max(1, -(-total // per_shard))
-    return np.diff(np.linspace(0, total, shards + 1).round().astype(np.int64))
+def place() -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), "text"), 1)
 
 
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns to keep as ``doc``, with source, size in words and place in the permutation."""
-    inner = docs.select(F.struct(*keep).alias("doc"), F.col("source").cast("string").alias("source"), F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), "text"), 1).alias("place"), F.col("text").alias("_text"))
+    kept = [F.struct(*keep).alias("doc")] if keep else []
+    inner = docs.select(*kept, F.col("source").cast("string").alias("source"), place().alias("place"), F.col("text").alias("_text"))
     out = inner.drop("_text").schema.add("size", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = pa.array([len(x.split()) if x else 0 for x in common.binary(b["_text"])], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc"], b["source"], b["place"], size], names=["doc", "source", "place", "size"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in out.names[:-1]), size], names=out.names)
 
-    return inner.mapInArrow(run, out)
+    return inner.mapInArrow(common.released(run), out)
 
 
 def block_of(blocks: str = "blocks") -> Column:
@@ -93,7 +111,7 @@ def block_of(blocks: str = "blocks") -> Column:
 
 @dataclass
 class Plan:
-    """sources: a row each with its size, target, passes, last place taken and blocks. tied: a source ends among several rows of one place. shards: (sid, block, shards by pass)."""
+    """sources: a row each with its size, target, passes, last place taken and blocks. tied: a source ends among several rows of one place. shards: (sid, block, shards by pass). Both are to be sent to all tasks if they are small."""
 
     sources: DataFrame
     tied: bool
@@ -119,13 +137,13 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     def as_frame() -> DataFrame:
         return spark.createDataFrame([tuple(None if x is None else x for x in r) for r in table.astype(object).itertuples(index=False)], SOURCES)
 
-    placed = _with_sources(rows, as_frame()).filter("rest > 0").withColumn("block", block_of())
+    placed = _with_sources(rows, _sent(as_frame(), len(table))).filter("rest > 0").withColumn("block", block_of())
     sums = placed.groupBy("sid", "rest", "block").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     ends = sums.withColumn("before", before).filter("before < rest and before + words >= rest").select("sid", "block", "before").collect()
     for r in ends:
         table.loc[r.sid, ["last_block", "part"]] = r.block, r.before
-    inside = _with_sources(rows, as_frame()).withColumn("block", block_of()).filter("rest > 0 and block = last_block")
+    inside = _with_sources(rows, _sent(as_frame(), len(table))).withColumn("block", block_of()).filter("rest > 0 and block = last_block")
     # rows of one place, as repeated ones have, are met together and share what is left of the target there
     places = inside.groupBy("sid", "rest", "part", "place").agg(F.sum("size").alias("words"), F.count("*").alias("tied"))
     reached = F.sum("words").over(Window.partitionBy("sid").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) + F.col("part")
@@ -133,7 +151,12 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     for r in met.select("sid", "x.*").collect():
         table.loc[r.sid, ["last_place", "part", "tied"]] = r.place, int(table.loc[r.sid, "rest"]) - (r.reached - r["words"]), r.tied
     quota = (table["passes"] * table["blocks"] + table["last_block"] + 1).to_numpy(np.int64)
-    return Plan(as_frame(), bool((table["tied"] > 1).any()), _shards(spark, quota, table["blocks"].to_numpy(np.int64), seed))
+    blocks = table["blocks"].to_numpy(np.int64)
+    return Plan(_sent(as_frame(), len(table)), bool((table["tied"] > 1).any()), _sent(_shards(spark, quota, blocks, seed), int(blocks.sum())))
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MOST_SENT else df
 
 
 def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -143,15 +166,15 @@ def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def _shards(spark: SparkSession, quota: np.ndarray, blocks: np.ndarray, seed: int) -> DataFrame:
     """(sid, block, shards): the shard that draws the block in each pass, in order."""
-    capacity = capacities(int(quota.sum()))
-    tops = [(0, len(capacity), quota, np.zeros_like(quota))]
+    plan = Shards.of(int(quota.sum()))
+    tops = [(0, plan.number, quota, np.zeros_like(quota))]
     while len(tops) < SUBTREES and any(high - low > 1 for low, high, _, _ in tops):
         more = []
         for low, high, have, first in tops:
             if high - low == 1:
                 more.append((low, high, have, first))
                 continue
-            left, middle = halved(have, capacity, low, high, seed), (low + high) // 2
+            left, middle = halved(have, plan, low, high, seed), (low + high) // 2
             more += [(low, middle, left, first), (middle, high, have - left, first + left)]
         tops = more
     nodes = spark.createDataFrame([(low, high, have.tolist(), first.tolist()) for low, high, have, first in tops], "low int, high int, have array<long>, first array<long>")
@@ -159,7 +182,7 @@ def _shards(spark: SparkSession, quota: np.ndarray, blocks: np.ndarray, seed: in
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for low, high, have, at in b.itertuples(index=False):
-                for shard, got, first in split_quota(np.asarray(have), capacity, (seed, low, high)):
+                for shard, got, first in split_quota(np.asarray(have), plan, (seed, low, high)):
                     first = first + np.asarray(at)
                     for sid in np.flatnonzero(got):
                         unit = np.arange(first[sid], first[sid] + got[sid])
@@ -180,15 +203,13 @@ def numbered(tied: DataFrame) -> DataFrame:
     return found.join(counts, ["sid", "task"]).withColumn("number", F.col("number") + F.col("before")).drop("task", "before")
 
 
-def applied(rows: DataFrame, by: Plan) -> DataFrame:
-    """``rows`` with source_size, target, taken (words, repeats counted) and shards (one for each time it is drawn)."""
+def applied(placed: DataFrame, by: Plan) -> DataFrame:
+    """Rows with their source's columns and, new, taken (words, repeats counted) and shards (one for each time it is drawn)."""
     part = F.when(F.col("place") < F.col("last_place"), F.col("size")).when(F.col("place") == F.col("last_place"), F.least(F.greatest(F.col("part") - F.col("number") * F.col("size"), F.lit(0)), F.col("size"))).otherwise(F.lit(0))
-    out = _with_sources(rows, by.sources)
+    out = placed.withColumn("number", F.lit(0).cast("long"))
     if by.tied:
         tied = (F.col("place") == F.col("last_place")) & (F.col("tied") > 1)
-        out = out.filter(~tied).withColumn("number", F.lit(0).cast("long")).unionByName(numbered(out.filter(tied)))
-    else:
-        out = out.withColumn("number", F.lit(0).cast("long"))
+        out = out.filter(~tied).unionByName(numbered(placed.filter(tied)))
     out = out.withColumn("part", part).withColumn("block", block_of())
     out = out.join(by.shards, ["sid", "block"], "left")
     draws = (F.col("passes") + (F.col("part") > 0).cast("long")).cast("int")
@@ -202,7 +223,8 @@ def mix(docs: DataFrame) -> DataFrame:
     words. Rows that are repeated are drawn alike, but where the target ends among them. An empty table gives an empty one.
     """
     rows = common.stored(measured(docs, ["doc_id"]))
-    return applied(rows, plan(rows)).select("doc.doc_id", "size", "source_size", "target", "taken", "shards")
+    by = plan(rows)
+    return applied(_with_sources(rows, by.sources), by).select("doc.doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -210,11 +232,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Where a source's target ends inside a document, its last draw has the document's first words only.
     """
-    rows = measured(docs, docs.columns)
-    drawn = applied(rows, plan(rows)).filter(F.size("shards") > 0)
+    by = plan(common.stored(measured(docs, [])))
+    placed = _with_sources(docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").cast("string").alias("source"), place().alias("place")), by.sources)
+    # of a document that is taken whole it only matters whether it has words; they are counted where a target ends
+    words = F.array_remove(F.split("doc.text", SPACE), "")
+    some = F.coalesce(F.col("doc.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).cast("long")
+    placed = placed.withColumn("size", F.when(F.col("place") == F.col("last_place"), F.greatest(F.coalesce(F.size(words), F.lit(0)), F.lit(0)).cast("long")).otherwise(some))
+    drawn = applied(placed, by).filter(F.size("shards") > 0)
     drawn = drawn.select("doc", "place", "size", "passes", "part", F.posexplode("shards").alias("pass", "shard"))
-    first_words = F.array_join(F.slice(F.array_remove(F.split("doc.text", SPACE), ""), 1, F.col("part").cast("int")), " ")
     cut = (F.col("pass") == F.col("passes")) & (F.col("part") < F.col("size"))
+    first_words = F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")
     text = F.when(cut, first_words).otherwise(F.col("doc.text"))
     out = drawn.select("shard", F.xxhash64("pass", "shard", "place").alias("order"), F.col("doc").withField("text", text).alias("doc"))
     return out.repartition("shard").sortWithinPartitions("shard", "order").select("doc.*")
