@@ -8,10 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset and there is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -20,11 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: later steps see the same rows, whatever executors are lost.
 
-    The table goes when the driver's JVM ends.
+    The table goes with ``clear``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
     df.write.parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that ``stored`` has written. Call it where nothing that was computed from them is read any more."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -89,3 +89,13 @@ def test_plug_ins(spark):
     generator = ModelGenerator(lambda: lambda chat, most: f" {chat[0]['role']} {most} {chat[1]['content'][:8]} ", 7)
     row = spark.createDataFrame([("q", "c")], "q string, c string").select(generator.column(F.col("q"), F.col("c")).alias("a")).first()
     assert row.a == "system 7 Context:"
+
+
+def test_stored_tables_go(spark):
+    from corvane import tables
+
+    df = tables.stored(spark.range(3))
+    assert df.count() == 3 and df.inputFiles()
+    tables.clear(spark)
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
+        spark.read.parquet(df.inputFiles()[0]).count()
