@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,21 +43,30 @@ def build_index(embedded: DataFrame, dimension: int) -> DataFrame:
     return with_ordinals(checked_dimension(flat, "vector", dimension), "arxiv_id", "chunk_index").withColumn("norm", norm("vector"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-    except AnalysisException:
-        return False
-    return True
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of the index at ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n[1:]) for n in done)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The index at ``path``: its newest complete version."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no index at {path}")
+    return spark.read.parquet(f"{path}/v{versions[-1]}")
 
 
 def create_or_check(spark: SparkSession, path: str, dimension: int) -> bool:
-    """True if there is an index at ``path``; its vectors must have the dimension, which a created one only gets with data."""
-    if not exists(spark, path):
+    """True if there is an index at ``path``; its vectors must all have the dimension, which a created one only gets with data."""
+    if not _versions(spark, path):
         return False
-    first = spark.read.parquet(path).select(F.size("vector").alias("n")).first()
-    if first is not None and first.n != dimension:
-        raise ValueError(f"the index at {path} has vectors of {first.n} components, not {dimension}")
+    other = read(spark, path).select(F.size("vector").alias("n")).filter(F.col("n") != dimension).first()
+    if other is not None:
+        raise ValueError(f"the index at {path} has vectors of {other.n} components, not {dimension}")
     return True
 
 
@@ -68,13 +76,18 @@ def upserted(index: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def setup(spark: SparkSession, embedded: DataFrame, path: str, dimension: int) -> int:
-    """Creates the index if there is none, puts all points into it and returns their number."""
+    """Creates the index if there is none, puts all points into it and returns their number.
+
+    A new version is written beside the others and read once it is complete, so a failure leaves the last one as it was.
+    The one before it is kept for those who still read it, older ones go.
+    """
     there = create_or_check(spark, path, dimension)
     points = build_index(embedded, dimension)
+    versions = _versions(spark, path)
     if there:
-        points = upserted(spark.read.parquet(path), points)
-        staged = f"{path.rstrip('/')}_next"
-        points.write.mode("overwrite").parquet(staged)
-        points = spark.read.parquet(staged)
-    points.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).count()
+        points = upserted(read(spark, path), points)
+    points.write.mode("overwrite").parquet(f"{path}/v{versions[-1] + 1 if versions else 1}")
+    for old in versions[:-1]:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return read(spark, path).count()

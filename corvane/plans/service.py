@@ -89,7 +89,7 @@ class Service:
 
     def ask(self, *questions: str, top_k: int = 0) -> DataFrame:
         """(query_id, query, answer, retrieved_contexts, scores) for each question."""
-        points = self.spark.read.parquet(f"{self.cfg.index.path}/{self.cfg.index.collection}")
+        points = index.read(self.spark, f"{self.cfg.index.path}/{self.cfg.index.collection}")
         retriever = Retriever(points, self.embedder, self.cfg.retrieval.top_k)
         queries = self.spark.createDataFrame(list(enumerate(questions)), "query_id long, query string")
         return rag(retriever, self.generator, queries, top_k)

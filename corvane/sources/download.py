@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Callable, Iterator
 
@@ -11,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.config import Download
-from corvane.operators.ingest import first_of_each
+from corvane.operators.ingest import first_of_each, not_done
 from corvane.sources.atom import fetch, register
-from corvane.sources.files import write_json
+from corvane.sources.files import file_name, read_binary, write_json
 from corvane.tables import stored
 
 
@@ -36,34 +35,52 @@ def listed(spark: SparkSession, url: str, cfg: Download) -> DataFrame:
             return papers.orderBy(F.desc("submitted"), "arxiv_id").limit(cfg.target_count)
 
 
-def fetched(papers: DataFrame, folder: str, cfg: Download, get: Callable[..., bytes] = fetch) -> DataFrame:
-    """(arxiv_id, pdf_path, error): files that are not in the shared ``folder`` yet are fetched into it, with a pause after each."""
+def fetched(papers: DataFrame, cfg: Download, get: Callable[..., bytes] = fetch) -> DataFrame:
+    """(arxiv_id, content, error): the files that ``papers`` point to, with a pause after each."""
     timeout, retries, wait, pause = cfg.file_timeout, cfg.retries, cfg.retry_wait, cfg.pause
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
         for b in batches:
-            rows = []
             for key, url in zip(b["arxiv_id"], b["pdf_url"]):
-                path, error = os.path.join(folder, f"{key}.pdf"), None
-                if not os.path.exists(path):
-                    try:
-                        content = get(url, timeout, retries, wait)
-                        with open(f"{path}.part", "wb") as f:
-                            f.write(content)
-                        os.replace(f"{path}.part", path)
-                        time.sleep(pause)
-                    except OSError as failed:
-                        error = f"{type(failed).__name__}: {failed}"
-                rows.append((key, path, error))
-            yield pd.DataFrame(rows, columns=["arxiv_id", "pdf_path", "error"])
-
-    return papers.select("arxiv_id", "pdf_url").mapInPandas(run, "arxiv_id string, pdf_path string, error string")
+                content, error = None, None
+                try:
+                    content = get(url, timeout, retries, wait)
+                    time.sleep(pause)
+                except OSError as failed:
+                    error = f"{type(failed).__name__}: {failed}"
+                yield pd.DataFrame([(key, content, error)], columns=["arxiv_id", "content", "error"])
+
+    return papers.select("arxiv_id", "pdf_url").mapInPandas(run, "arxiv_id string, content binary, error string")
+
+
+def saved(files: DataFrame, folder: str) -> None:
+    """Writes (arxiv_id, content) as a PDF each through Spark's file systems, wherever the folder is; one file is in memory at a time.
+
+    A file appears under its name when it is whole.
+    """
+    jvm, conf = files.sparkSession._jvm, files.sparkSession._jsc.hadoopConfiguration()
+    for r in files.toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.arxiv_id}.pdf")
+        part = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{r.arxiv_id}.part")
+        fs = path.getFileSystem(conf)
+        out = fs.create(part, True)
+        out.write(r.content)
+        out.close()
+        fs.rename(part, path)
+
+
+def there(spark: SparkSession, folder: str) -> DataFrame:
+    """(arxiv_id, pdf_path) of the PDFs in a folder, without reading them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    files = read_binary(spark, folder).select(file_name().alias("pdf_path"))
+    return files.select(F.regexp_extract("pdf_path", r"([^/]*)\.pdf$", 1).alias("arxiv_id"), "pdf_path")
 
 
 def download(spark: SparkSession, url: str, cfg: Download = Download(), get: Callable[..., bytes] = fetch) -> int:
-    """Lists papers, fetches their files, overwrites the metadata and returns the number of papers that have a file."""
-    papers = listed(spark, url, cfg)
-    files = fetched(papers, cfg.raw_pdf_dir, cfg, get).filter("error is null").select("arxiv_id", "pdf_path")
-    rows = papers.join(files, "arxiv_id").select("arxiv_id", "title", "abstract", "authors", "pdf_path")
+    """Lists papers, fetches those files that aren't there yet, overwrites the metadata and returns the number of papers that have a file."""
+    papers = stored(listed(spark, url, cfg))
+    missing = not_done(papers, there(spark, cfg.raw_pdf_dir), "arxiv_id")
+    saved(stored(fetched(missing, cfg, get)).filter("error is null"), cfg.raw_pdf_dir)
+    rows = papers.join(there(spark, cfg.raw_pdf_dir), "arxiv_id").select("arxiv_id", "title", "abstract", "authors", "pdf_path")
     return write_json(rows, cfg.metadata_path)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.pdf import pdf_text
+
 METADATA = "arxiv_id string, title string, abstract string, authors array<string>, pdf_path string"
 PAPER = METADATA + ", full_text string"
 CHUNK = "id string, text string, metadata struct<arxiv_id: string, title: string, source: string, chunk_index: int>"
@@ -48,8 +50,8 @@ Extractor = Callable[[bytes], str]
 
 
 def plain_text(content: bytes) -> str:
-    """Takes files for UTF-8 text."""
-    return content.decode("utf-8", errors="replace")
+    """Takes files for UTF-8 text, but for PDFs, whose text it reads."""
+    return pdf_text(content) if content[:1024].lstrip().startswith(b"%PDF") else content.decode("utf-8", errors="replace")
 
 
 def read_binary(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:

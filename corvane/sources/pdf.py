@@ -1,0 +1,65 @@
+"""Text of simple PDFs: what the text operators of their content streams show.
+
+Streams may be plain or deflated. Fonts that map codes to characters of their own, encrypted files and scans are beyond
+it: a file of which nothing can be read is an error, never an empty text. For those, give another extractor.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+
+STREAM = re.compile(rb"<<((?:[^>]|>(?!>))*+)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
+SHOWN = re.compile(rb"BT\b(.*?)\bET\b", re.S)
+#: A string, a string in hex digits, a number, or an operator that moves or shows.
+PART = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|[-+]?\d*\.?\d+|T[dDm*]|['\"]|\[|\]", re.S)
+ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
+# Escapes in strings of PDF.
+ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
+#: Thousandths of the font size that a shift inside a line takes for it to be a space.
+GAP = 200
+
+
+def _streams(content: bytes) -> Iterator[bytes]:
+    for head, data in STREAM.findall(content):
+        if b"/FlateDecode" in head:
+            try:
+                data = zlib.decompressobj().decompress(data)
+            except zlib.error:
+                continue
+        elif b"/Filter" in head:
+            continue
+        yield data
+
+
+def _string(raw: bytes) -> str:
+    if raw.startswith(b"<"):
+        digits = b"".join(raw[1:-1].split())
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        data = ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() and m[1] < b"8" else ESCAPED.get(m[1], m[1]), raw[1:-1])
+    return data[2:].decode("utf-16-be", errors="replace") if data.startswith(b"\xfe\xff") else data.decode("cp1252", errors="replace")
+
+
+def _shown(block: bytes) -> str:
+    out, in_array = [], False
+    for part in PART.findall(block):
+        if part[:1] in b"(<":
+            out.append(_string(part))
+        elif part in b"[]":
+            in_array = part == b"["
+        elif part[:1] in b"T'\"":
+            out.append("\n")
+        elif in_array and float(part) < -GAP:
+            out.append(" ")
+    return "".join(out)
+
+
+def pdf_text(content: bytes) -> str:
+    """The text of a PDF, a line for each move of the text position; an error if there is none to be read."""
+    lines = [line.strip() for data in _streams(content) for block in SHOWN.findall(data) for line in _shown(block).split("\n")]
+    text = "\n".join(line for line in lines if line)
+    if not text:
+        raise ValueError("no text can be read from this PDF")
+    return text

@@ -59,9 +59,14 @@ def test_index(spark, tmp_path):
     embedded = embed_chunks(chunks, HashEmbedder(8))
     path = str(tmp_path / "index")
     assert index.setup(spark, embedded, path, 8) == 3
-    rows = spark.read.parquet(path).orderBy("id").collect()
+    rows = index.read(spark, path).orderBy("id").collect()
     assert [(r.id, r.arxiv_id, r.chunk_index, r.text) for r in rows] == [(0, "a", 0, "t2"), (1, "p", 0, "t0"), (2, "p", 1, "t1")]
     assert index.setup(spark, embedded, path, 8) == 3
+    (tmp_path / "index" / "v3").mkdir()  # a version that was never finished
+    assert index.read(spark, path).count() == 3 and index.setup(spark, embedded, path, 8) == 3
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["v2", "v3"]
+    with pytest.raises(FileNotFoundError):
+        index.read(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError):
         index.setup(spark, embedded, path, 9)
 

@@ -1,4 +1,5 @@
 import json
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.config import Chunking, Config, Download, Embedding, Index
 from corvane.operators import eda, ingest
 from corvane.plans.service import Service, run_pipeline
-from corvane.sources import atom, files
+from corvane.sources import atom, download, files
 from corvane.streaming.ingest import ingest_new
 
 FEED = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://x.org/abs/{n}v1</id><title> A title
@@ -61,6 +62,38 @@ def test_failures_are_rows(spark, tmp_path):
     assert rows["bad"].error == "ValueError: broken" and rows["none"].error == "no such file"
 
 
+def test_text_of_simple_pdfs():
+    shown = b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\) w\\366rld) Tj 0 -14 Td [(sec) 20 (ond) -300 (line)] TJ T* <414243> Tj ET"
+    plain = b"%PDF-1.4\n1 0 obj << /Length 99 >>\nstream\n" + shown + b"\nendstream endobj"
+    packed = b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode /Length 99 >>\nstream\n" + zlib.compress(shown) + b"\nendstream endobj"
+    assert files.plain_text(plain) == files.plain_text(packed) == "Hello (PDF) w\u00f6rld\nsecond line\nABC"
+    assert files.plain_text("pl\u00e4in".encode()) == "pl\u00e4in"
+    for none in (b"%PDF-1.4\n", b"%PDF-1.4\n1 0 obj << /Filter /FlateDecode >>\nstream\nbroken\nendstream", b"%PDF" + b"<<" * 50_000):
+        with pytest.raises(ValueError):
+            files.plain_text(none)
+
+
+def test_pages_until_enough_distinct_papers(spark, tmp_path):
+    for n, paper in enumerate((1, 1, 2, 2, 3, 4)):
+        (tmp_path / f"page{n}.xml").write_text(FEED.format(n=paper, url="u"))
+    url = f"file://{tmp_path}/page{{start}}.xml"
+    cfg = Download(target_count=3, results_per_request=1, retries=0, pause=0)
+    assert [r.arxiv_id for r in download.listed(spark, url, cfg).collect()] == ["3v1", "2v1", "1v1"]
+    assert download.listed(spark, url, Download(target_count=9, results_per_request=1, retries=0, pause=0)).count() == 4
+
+
+def test_files_are_fetched_once_and_failures_left_out(spark, tmp_path):
+    for n in (1, 2):
+        (tmp_path / f"page{n - 1}.xml").write_text(FEED.format(n=n, url=f"file://{tmp_path}/remote{n}.pdf"))
+    (tmp_path / "remote1.pdf").write_bytes(b"one")
+    cfg = Download(raw_pdf_dir=f"{tmp_path}/pdf", metadata_path=f"{tmp_path}/meta", target_count=2, results_per_request=1, retries=0, pause=0)
+    url = f"file://{tmp_path}/page{{start}}.xml"
+    assert download.download(spark, url, cfg) == 1 and (tmp_path / "pdf" / "1v1.pdf").read_bytes() == b"one"
+    (tmp_path / "remote1.pdf").write_bytes(b"changed")
+    (tmp_path / "remote2.pdf").write_bytes(b"two")
+    assert download.download(spark, url, cfg) == 2 and (tmp_path / "pdf" / "1v1.pdf").read_bytes() == b"one"
+
+
 def test_choices(spark):
     rows = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3), (None, 1)], "k string, n int")
     assert sorted((r.k or "", r.n) for r in ingest.first_of_each(rows, ["k"], "n").collect()) == [("", 1), ("a", 1), ("b", 3)]
