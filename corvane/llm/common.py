@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import inspect
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,13 +11,16 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.tables import stored as stored
+
 #: Maps the bytes A-Z to a-z and leaves all others.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Stands for a null doc_id: such rows come after every other.
 NO_ID = 2**63 - 1
+MOST_PARTITIONS = 20_000
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _COMPRESS, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
@@ -35,28 +36,6 @@ def words(text: str | bytes | None, lower: bool = False) -> list[bytes]:
     return (data.translate(LOWER) if lower else data).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: it cuts lineage and survives a lost executor.
-
-    The table goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,6 +54,11 @@ def sampled(df: DataFrame, want: int, of: int, *keys: str) -> list[Row]:
     return sorted(chosen.limit(2 * want + 100).collect(), key=lambda r: (r["_h"], *((r[k] is None, r[k] or 0) for k in keys)))
 
 
+def in_buckets(df: DataFrame, n: int) -> GroupedData:
+    """``df`` by its bucket, of which there are ``n``: a partition for each, but for MOST_PARTITIONS, so tasks keep their size."""
+    return df.repartition(min(n, MOST_PARTITIONS), "bucket").groupBy("bucket")
+
+
 def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:

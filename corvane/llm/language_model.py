@@ -1,25 +1,27 @@
 """Scores of texts by a log-bilinear language model that is trained with noise-contrastive estimation in numpy.
 
-Counting. Words of all training documents are counted in Spark; tasks add up their own words first. HEAVY words at most
-have over a HEAVY-th of all tokens; their counts go to every task. All others occur so rarely that no single one is a
-hot key: documents send their hashes, packed, to buckets, which count them over all training documents, and only sums by
-document come back.
-
-Model. The vocabulary is the end token, the VOCABULARY most frequent words and a class for all other words. A token's
-probability given the two before it is the softmax of (C1 r[w1] + C2 r[w2]) . q[w] + b[w] over the vocabulary; a rare
-word further takes its share of the class by its corpus count, smoothed as in the base score, so known words together
-with one unseen word have probability one. Training starts from the unigram distribution and a warm start on a bounded
-sample of WARM tokens (documents with the least hashes of their ids); then every task trains on all its training
-documents, and parameters are averaged by tokens. Tables of pairwise scores and of the softmax's normaliser for every
-pair of context words, all of a size that the vocabulary fixes, make scoring a lookup for each token.
+Words are hashed by arrays, block by block. Their counts over all training documents are added up in Spark. HEAVY words
+at most have over a HEAVY-th of all tokens; their counts go to every task. All others occur so rarely that no single one
+is a hot key: documents send their hashes, packed, to buckets, which count them over all training documents, and only
+sums by document come back.
+
+Model. Every word, known or not, belongs to one of CLASSES classes by its last two bytes, the end token to one of its
+own. A token's probability given the two before it is that of its class times that of the word within its class. Both
+are softmaxes of scores q . r + b, q the sum of two context vectors. A class's members are those of the VOCABULARY most
+frequent words that it has, and one for its rare words; a rare word further takes its share of these by its corpus
+count, smoothed as in the base score, so known words together with one unseen word have probability one.
+
+Training. Documents are dealt to shards of about SHARD tokens by their hashes. Starting from the unigram distribution,
+a model is trained on the first shard; from there one is trained on each shard, in the order of hashes, and all are
+averaged by tokens. Averages are sums of integers, and shards depend on the documents alone, so the model is the same
+however the table is partitioned. A task holds one shard's tokens in blocks; the driver holds one model.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,17 @@ from pyspark.sql import functions as F
 from corvane.llm import common
 from corvane.llm.substring import bucket_of, buckets_for, packed_by_bucket, unpacked
 
-HEAVY, VOCABULARY, DIMENSION, NOISE, BATCH, WARM, SEED = 400_000, 766, 24, 48, 2048, 400_000, 7
-END = b""  # no word is empty
-RATE, WARM_DOCUMENTS = 0.08, 1500
+HEAVY, VOCABULARY, LEAST, CLASSES, DIMENSION, SEED = 400_000, 8192, 8, 128, 24, 7
+#: Tokens in a shard, in a block that a task trains on at once, in a batch of classes and of words; noise of both.
+SHARD, BLOCK, BATCH, WORD_BATCH, NOISE, WORD_NOISE = 1_000_000, 250_000, 2048, 1024, 24, 16
+RATE, WORD_RATE, WARM_ROUNDS = 0.08, 0.015, 2
+#: Bytes of text that a task takes at once, and tokens whose scores it holds.
+FLUSH, SCORED_AT_ONCE = 1_000_000, 4096
+HASH_BASE, END = 0xD6E8FEB86659FD93, 0
+LOWER = np.frombuffer(common.LOWER, np.uint8)
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: The class of a word by its last two bytes.
+SHAPES = (1 + common.mixed(np.arange(65_536, dtype=np.uint64) * common.MIX_1 + np.uint64(99)) % np.uint64(CLASSES)).astype(np.int32)
 
 
 def held_out() -> Column:
@@ -43,198 +53,365 @@ def in_training(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(word, c) of all training tokens, the end token as the empty word."""
+class Tokens:
+    """All tokens of a block of texts, with an end after each: hashes, classes, and where each text begins and ends."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+    rolling = common.Rolling(HASH_BASE)
 
-        def out() -> pa.RecordBatch:
-            block = pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
-            found.clear()
-            return block
+    def __init__(self, texts: pa.Array) -> None:
+        data, offsets = common.text_buffer(texts)
+        data = LOWER[data]
+        inside = ~WHITE[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        before, after = np.r_[False, inside[:-1]][: len(data)], np.r_[inside[1:], False][: len(data)]
+        start = np.flatnonzero(inside & (~before | edge[:-1]))
+        end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        words = np.searchsorted(start, offsets)
+        h = self.rolling.spans(self.rolling.prefix(common.BYTE_VALUES[data]), start, end)
+        last = data[end - 1].astype(np.int64)
+        other = np.where(end - start > 1, data[np.maximum(end - 2, 0)], 0).astype(np.int64)
+        self.cuts = words + np.arange(len(offsets))
+        self.hash, self.kind = np.zeros(self.cuts[-1], np.uint64), np.zeros(self.cuts[-1], np.int32)
+        at = np.arange(len(h)) + np.repeat(np.arange(len(offsets) - 1), np.diff(words))
+        self.hash[at], self.kind[at] = np.maximum(h, np.uint64(1)), SHAPES[other * 256 + last]
 
-        for b in batches:
-            for text in common.binary(b["text"]):
-                found.update(common.words(text, lower=True))
-            found[END] += len(b)
-            if len(found) > 500_000:
-                yield out()
-        if found:
-            yield out()
+    def texts(self) -> np.ndarray:
+        """The number of each token's text."""
+        return np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about FLUSH bytes of text each; rows stay whole."""
+    for b in batches:
+        places = common.text_buffer(b["text"])[1]
+        for a, z in common.batches_of(places, FLUSH):
+            yield b.slice(a, z - a)
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """(word, kind, c) of all training tokens: hash, class and count; the end token is END."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def added() -> pa.RecordBatch:
+            h, kind, c = (np.concatenate(x) for x in zip(*held))
+            _, first, of = np.unique(h, return_index=True, return_inverse=True)
+            total = np.bincount(of, c).astype(np.int64)
+            return pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(kind[first]), pa.array(total)], ["word", "kind", "c"])
+
+        for b in blocks(batches):
+            t = Tokens(b["text"])
+            h, first, c = np.unique(t.hash, return_index=True, return_counts=True)
+            held.append((h, t.kind[first], c))
+            size += len(h)
+            if size > 500_000:
+                yield added()
+                held, size = [], 0
+        if held:
+            yield added()
+
+    return docs.filter(~held_out()).select("text").mapInArrow(common.released(run), "word long, kind int, c long").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("c").alias("c"))
+
+
+@dataclass
+class Vocabulary:
+    """Members by number, class after class; the first of each class is its rare words, the end is number 0.
+
+    words and counts: hashes of the words that are members of their own, and how often each occurs in training. rare: how
+    often the others of each class do, and distinct how many there are.
+    """
 
-    return docs.filter(~held_out()).select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    words: np.ndarray
+    kinds: np.ndarray
+    counts: np.ndarray
+    ends: int
+    rare: np.ndarray
+    distinct: np.ndarray
+
+    def __post_init__(self) -> None:
+        order = np.lexsort((self.words, -self.counts, self.kinds))
+        self.words, self.kinds, self.counts = self.words[order], self.kinds[order], self.counts[order]
+        self.size = np.r_[1, 1 + np.bincount(self.kinds, minlength=CLASSES + 1)[1:]]
+        self.first = np.cumsum(self.size) - self.size
+        number = np.arange(len(self.words)) + self.kinds + 1
+        self.kind_of = np.repeat(np.arange(CLASSES + 1), self.size)
+        self.weight = np.zeros(len(self.kind_of))
+        self.weight[self.first] = self.rare + 0.5
+        self.weight[0] = self.ends + 0.5
+        self.weight[number] = self.counts
+        self.known = common.HashTable((4 * len(self.words) + 8).bit_length())
+        self.known.put(self.words, number.astype(np.int32))
+
+    def numbers(self, t: Tokens) -> np.ndarray:
+        found = self.known.find(t.hash, -1)
+        return np.where(found < 0, self.first[t.kind], found).astype(np.int32)
+
+
+def added(into: np.ndarray, past: np.ndarray, who: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+    """A step of each row of ``into`` along its summed gradient, shorter the more that row has moved before."""
+    order = np.argsort(who.astype(np.uint16), kind="stable")  # a radix sort; numbers of members are that small
+    cut = np.flatnonzero(common.in_order(who[order]))
+    rows, sums = who[order[cut]], np.add.reduceat(gradient[order], cut, axis=0)
+    past[rows] += (sums * sums).mean(-1) if sums.ndim > 1 else sums * sums
+    step = rate / np.sqrt(past[rows] + 1e-3)
+    into[rows] += step[:, None] * sums if sums.ndim > 1 else step * sums
+
+
+def contrast(q: np.ndarray, r: np.ndarray, b: np.ndarray, log_noise: np.ndarray, hit: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gradients of noise-contrastive estimation: of the contexts, of the hits and the noise, and of their biases.
+
+    ``log_noise``: log of the expected number of noise draws of each target.
+    """
+    good = 1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", q, r[hit]) + b[hit] - log_noise[hit], -30, 30)))
+    bad = 1 / (1 + np.exp(-np.clip(q @ r[noise].T + b[noise] - log_noise[noise], -30, 30)))
+    return good[:, None] * r[hit] - bad @ r[noise], good[:, None] * q, -(bad.T @ q), good, -bad.sum(0)
 
 
 class LogBilinear:
-    """Parameters and tables over token numbers: 0 end, 1 any rare word, then frequent words by count."""
+    """Context vectors of members, target vectors and biases of classes and of members within their classes."""
+
+    NAMES = ("before", "last", "kinds", "kind_bias", "words", "word_bias")
 
-    def __init__(self, unigram: np.ndarray) -> None:
-        self.p = unigram / unigram.sum()
-        v, d, draw = len(unigram), DIMENSION, np.random.default_rng(SEED)
-        self.first, self.second, self.target = (draw.normal(0, 0.1, (v, d)).astype(np.float32) for _ in range(3))
-        self.bias = np.log(self.p).astype(np.float32)
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        v, draw = vocabulary, np.random.default_rng(SEED)
+        self.v, n = v, len(v.weight)
+        total = np.add.reduceat(v.weight, v.first)
+        self.p_kind, self.p_word = total / total.sum(), v.weight / total[v.kind_of]
+        vectors = lambda rows, scale: draw.normal(0, scale, (rows, DIMENSION)).astype(np.float32)
+        self.before, self.last = vectors(n, 0.3), vectors(n, 0.3)
+        self.kinds, self.words = vectors(CLASSES + 1, 0.05), vectors(n, 0.05)
+        self.kind_bias, self.word_bias = np.log(self.p_kind).astype(np.float32), np.log(self.p_word).astype(np.float32)
+        self.past = {x: np.zeros(len(getattr(self, x)), np.float32) for x in self.NAMES}
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.first, self.second, self.target, self.bias)])
+        return np.concatenate([getattr(self, x).ravel() for x in self.NAMES])
 
     def set(self, flat: np.ndarray) -> LogBilinear:
         at = 0
-        for name in ("first", "second", "target", "bias"):
+        for name in self.NAMES:
             x = getattr(self, name)
             setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return self
 
-    def train(self, tokens: np.ndarray, draw: np.random.Generator, rate: float = RATE) -> None:
-        """One pass of noise-contrastive estimation over (w1, w2, w) rows; noise words are shared by a batch."""
-        log_noise = (np.log(self.p) + np.log(NOISE)).astype(np.float32)
-        cumulative = np.cumsum(self.p)
-        v = len(self.p)
-        for at in range(0, len(tokens) - BATCH // 4, BATCH):
-            w1, w2, w = tokens[at : at + BATCH].T
-            n = len(w)
-            q = self.first[w1] + self.second[w2]
-            r = self.target[w]
-            noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), v - 1)
-            rn = self.target[noise]
-            good = 1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", q, r) + self.bias[w] - log_noise[w], -30, 30)))
-            bad = 1 / (1 + np.exp(-np.clip(q @ rn.T + self.bias[noise] - log_noise[noise], -30, 30)))
-            dq = good[:, None] * r - bad @ rn
-            dr = good[:, None] * q
-            dn = -(bad.T @ q)
-            step = rate / np.sqrt(n)
-            for into, who, grad in ((self.first, w1, dq), (self.second, w2, dq), (self.target, w, dr)):
-                order = np.argsort(who, kind="stable")
-                cut = np.flatnonzero(common.in_order(who[order]))
-                sums = np.add.reduceat(grad[order], cut, axis=0)
-                times = np.diff(np.r_[cut, n])
-                into[who[order[cut]]] += np.clip(step * sums / np.sqrt(times)[:, None], -0.5, 0.5).astype(np.float32)
-            np.add.at(self.target, noise, (step / 8 * dn / np.sqrt(n)).astype(np.float32) * 8)
-            db = np.bincount(w, good, v) - np.bincount(noise, bad.sum(0), v)
-            times = np.bincount(w, minlength=v) + n * NOISE * self.p
-            self.bias += (step * db / np.sqrt(np.maximum(times, 1))).astype(np.float32)
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of w by each context word, bias in the second, and log of the softmax's normaliser by context."""
-        one = self.first @ self.target.T
-        two = self.second @ self.target.T + self.bias
-        e1, e2 = np.exp(one - one.max(1, keepdims=True)), np.exp(two - two.max(1, keepdims=True))
-        return one, two, (np.log(e1 @ e2.T) + one.max(1)[:, None] + two.max(1)).astype(np.float32)
-
-
-def rows_of_tokens(tokens: np.ndarray) -> np.ndarray:
-    """(w1, w2, w) for each token of a document; the end token stands before its begin."""
-    padded = np.r_[0, 0, tokens]
-    return np.column_stack([padded[:-2], padded[1:-1], padded[2:]])
-
-
-def _numbers(vocabulary: list[bytes]) -> dict[bytes, int]:
-    return {END: 0} | {w: k + 2 for k, w in enumerate(vocabulary)}
-
-
-def _document(text: bytes | None, number: dict[bytes, int]) -> np.ndarray:
-    found = common.words(text, lower=True)
-    return np.fromiter(chain((number.get(w, 1) for w in found), (0,)), np.int32, len(found) + 1)
-
-
-def train(docs: DataFrame, vocabulary: list[bytes], unigram: np.ndarray, documents: int) -> LogBilinear:
-    """``documents``: how many there are in training."""
-    model, number = LogBilinear(unigram), _numbers(vocabulary)
-    train_docs = docs.filter(~held_out())
-    short = train_docs.filter(F.octet_length("text") < 100_000)
-    warm = common.sampled(short, WARM_DOCUMENTS, documents, "doc_id", "text")
-    tokens = [rows_of_tokens(_document(r.text.encode(), number)) for r in warm]
-    if tokens:
-        rows = np.concatenate(tokens)[:WARM]
-        for k in range(2):
-            draw = np.random.default_rng([SEED, k])
-            model.train(rows[draw.permutation(len(rows))], draw)
-    start = model.parameters()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, k = LogBilinear(unigram).set(start), 0, 0
-        for b in batches:
-            texts = common.binary(b["text"])
-            for at in range(0, len(texts), 500):
-                rows = np.concatenate([rows_of_tokens(_document(x, number)) for x in texts[at : at + 500]])
-                draw = np.random.default_rng([SEED, k])
-                own.train(rows[draw.permutation(len(rows))], draw, RATE / 2)
-                seen, k = seen + len(rows), k + 1
-        if seen:
-            yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([(own.parameters().astype(np.float64) * seen).tobytes()], pa.binary())], ["n", "sums"])
+    def contexts(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        return self.before[w1] + self.last[w2]
+
+    def train(self, rows: np.ndarray, draw: np.random.Generator) -> None:
+        """One pass over (w1, w2, w) rows: of the classes, then of the words within each class."""
+        rows = rows[draw.permutation(len(rows))]
+        log_noise = np.log(self.p_kind * NOISE).astype(np.float32)
+        cumulative = np.cumsum(self.p_kind)
+        for at in range(0, len(rows), BATCH):
+            w1, w2, w = rows[at : at + BATCH].T
+            noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), CLASSES)
+            kind = self.v.kind_of[w]
+            dq, dr, dn, db, dm = contrast(self.contexts(w1, w2), self.kinds, self.kind_bias, log_noise, kind, noise)
+            both = np.r_[kind, noise]
+            added(self.before, self.past["before"], w1, dq, RATE)
+            added(self.last, self.past["last"], w2, dq, RATE)
+            added(self.kinds, self.past["kinds"], both, np.concatenate([dr, dn]), RATE)
+            added(self.kind_bias, self.past["kind_bias"], both, np.r_[db, dm], RATE / 4)
+        w1, w2, w = rows.T
+        kind = self.v.kind_of[w]
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 2))
+        for c in range(1, CLASSES + 1):
+            a, n = int(self.v.first[c]), int(self.v.size[c])
+            if n == 1 or cuts[c] == cuts[c + 1]:
+                continue
+            p = self.p_word[a : a + n]
+            log_noise, cumulative = np.log(p * WORD_NOISE).astype(np.float32), np.cumsum(p)
+            r, b, past, past_b = self.words[a : a + n], self.word_bias[a : a + n], self.past["words"][a : a + n], self.past["word_bias"][a : a + n]
+            for at in range(cuts[c], cuts[c + 1], WORD_BATCH):
+                i = order[at : min(at + WORD_BATCH, cuts[c + 1])]
+                noise = np.minimum(np.searchsorted(cumulative, draw.random(WORD_NOISE)), n - 1)
+                _, dr, dn, db, dm = contrast(self.contexts(w1[i], w2[i]), r, b, log_noise, w[i] - a, noise)
+                both = np.r_[w[i] - a, noise]
+                added(r, past, both, np.concatenate([dr, dn]), WORD_RATE)
+                added(b, past_b, both, np.r_[db, dm], WORD_RATE / 4)
+
+    def log_probabilities(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Natural logs of the normalised probability of each w: of its class, and of the member within it."""
+        out, kind = np.empty(len(w)), self.v.kind_of[w]
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 2))
+        for c in range(CLASSES + 1):
+            a, n = int(self.v.first[c]), int(self.v.size[c])
+            for at in range(cuts[c], cuts[c + 1], SCORED_AT_ONCE):
+                i = order[at : min(at + SCORED_AT_ONCE, cuts[c + 1])]
+                q = self.contexts(w1[i], w2[i])
+                out[i] = log_softmax(q @ self.kinds.T + self.kind_bias, np.full(len(i), c))
+                if n > 1:
+                    out[i] += log_softmax(q @ self.words[a : a + n].T + self.word_bias[a : a + n], w[i] - a)
+        return out
+
+
+def log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at one place."""
+    if not -60 < z.min() <= z.max() < 60:  # beyond these the sums could leave what floats can hold
+        z -= z.max(1, keepdims=True)
+    hit = z[np.arange(len(z)), at].astype(np.float64)
+    return hit - np.log((np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype)).astype(np.float64))
+
+
+def rows_of_tokens(numbers: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """(w1, w2, w) for each token; the end token stands before each text's begin."""
+    w2 = np.r_[0, numbers[:-1]][: len(numbers)]
+    w1 = np.r_[0, 0, numbers[:-2]][: len(numbers)]
+    first = cuts[:-1]
+    w2[first] = w1[first] = 0
+    second = first[np.diff(cuts) > 1] + 1
+    w1[second] = 0
+    return np.column_stack([w1, w2, numbers])
+
+
+class Averaged:
+    """The mean of models by tokens, as integers, so that it doesn't depend on their order."""
+
+    SCALE = 2.0**40
+
+    @staticmethod
+    def part(model: LogBilinear, tokens: int, of: int) -> np.ndarray:
+        return np.rint(model.parameters().astype(np.float64) * (tokens / of) * Averaged.SCALE).astype(np.int64)
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> LogBilinear:
+    """The model of the training documents, which have ``tokens`` in all."""
+    model = LogBilinear(vocabulary)
+    n = max(1, -(-tokens // SHARD))
+    if not tokens:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    order = F.xxhash64(F.lit(SEED), "doc_id", "text")
+    dealt = docs.filter(~held_out()).select(F.pmod(order, F.lit(n)).alias("shard"), order.alias("order"), "text")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            t = Tokens(b["text"])
+            raw = shared.value.numbers(t).astype(np.uint16)
+            ids = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer((t.cuts * 2).astype(np.int32)), pa.py_buffer(raw)])
+            yield pa.record_batch([b["shard"], b["order"], ids], ["shard", "order", "ids"])
+
+    def learn(start: np.ndarray | None, rounds: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, own, shard, held, size, seen, k = None, None, None, [], 0, 0, 0
+
+            def block() -> None:
+                nonlocal held, size, seen, k
+                cuts = np.r_[0, np.cumsum([len(x) for x in held])]
+                rows = rows_of_tokens(np.concatenate(held), cuts)
+                for _ in range(rounds):
+                    own.train(rows, np.random.default_rng([SEED, shard, k]))
+                    k += 1
+                held, size, seen = [], 0, seen + len(rows)
+
+            def finish() -> None:
+                nonlocal total
+                if held:
+                    block()
+                if own is not None:
+                    part = Averaged.part(own, seen, seen if start is None else tokens)
+                    total = part if total is None else total + part
+
+            for b in batches:
+                for s, ids in zip(b["shard"].to_pylist(), b["ids"].to_pylist()):
+                    if s != shard:
+                        finish()
+                        own, shard, seen, k = LogBilinear(shared.value), s, 0, 0
+                        if start is not None:
+                            own.set(start)
+                    held.append(np.frombuffer(ids, np.uint16).astype(np.int32))
+                    size += len(held[-1])
+                    if size >= BLOCK:
+                        block()
+            finish()
+            if total is not None:
+                yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        return run
+
+    def models(some: DataFrame, start: np.ndarray | None, rounds: int) -> DataFrame:
+        numbered = some.mapInArrow(common.released(number), "shard long, order long, ids binary")
+        by_shard = numbered.repartition("shard").sortWithinPartitions("shard", "order", "ids")
+        return by_shard.mapInArrow(common.released(learn(start, rounds)), "sums binary")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, None
-        for b in batches:
-            for k, flat in zip(b["n"].to_pylist(), b["sums"].to_pylist()):
-                x = np.frombuffer(flat)
-                n, total = n + k, x if total is None else total + x
-        if total is not None:
-            yield pa.record_batch([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
+        total = sum(np.frombuffer(x, np.int64) for b in batches for x in b["sums"].to_pylist())
+        if not np.isscalar(total):
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    sums = train_docs.select("text").mapInArrow(run, "n long, sums binary")
-    total = list(sums.repartition(8).mapInArrow(add, "n long, sums binary").toLocalIterator())
-    if total:
-        model.set(np.sum([np.frombuffer(r.sums) for r in total], axis=0) / sum(r.n for r in total))
-    return model
+    first = [np.frombuffer(r.sums, np.int64) for r in models(dealt.filter("shard = 0"), None, WARM_ROUNDS).collect()]  # one shard, one model
+    start = first[0] / Averaged.SCALE if first else model.parameters()
+    sums = models(dealt, start, 1).repartition(8).mapInArrow(common.released(add), "sums binary").toLocalIterator()
+    return model.set(sum(np.frombuffer(r.sums, np.int64) for r in sums) / Averaged.SCALE)
+
+
+def learned(docs: DataFrame, counted: DataFrame) -> tuple[LogBilinear, np.ndarray, np.ndarray, int, int]:
+    """The model, hashes and counts of heavy words, and how many training tokens there are, and different ones."""
+    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("word")).first()
+    heavy = counted.filter((F.col("c") * HEAVY > total) | (F.col("word") == END)).collect()  # at most HEAVY words
+    word, kind, c = (np.array([r[k] for r in heavy], np.int64) for k in ("word", "kind", "c"))
+    own = np.flatnonzero((c >= LEAST) & (word != END))
+    own = own[np.lexsort((word[own], -c[own]))][:VOCABULARY]
+    rare, others = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    for r in counted.filter(F.col("word") != END).groupBy("kind").agg(F.sum("c").alias("c"), F.count("word").alias("n")).collect():  # one row a class
+        rare[r.kind], others[r.kind] = r.c, r.n
+    rare -= np.bincount(kind[own], c[own], CLASSES + 1)
+    others -= np.bincount(kind[own], minlength=CLASSES + 1)
+    vocabulary = Vocabulary(word[own].view(np.uint64), kind[own].astype(np.int32), c[own], int(c[word == END].sum()), rare, others)
+    return train(docs, vocabulary, int(total)), word.view(np.uint64), c, int(total), int(distinct)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     Scores are log10 probabilities of the whole text and its end. A null or empty text is its end token. With no training
-    documents the base counts are zero and the model knows only the class of rare words. Repeated rows score alike.
+    documents the base counts are zero and the model knows classes only. Repeated rows score alike. An empty table gives
+    an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
     counted = common.stored(counts(docs))
-    total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("word")).first()
-    heavy = {bytes(r.word): r.c for r in counted.filter((F.col("c") * HEAVY > total) | (F.length("word") == 0)).collect()}  # at most HEAVY words
-    vocabulary = sorted((w for w in heavy if w != END), key=lambda w: (-heavy[w], w))[:VOCABULARY]
-    known = [heavy.get(END, 0), *(heavy[w] for w in vocabulary)]
-    rest = total - sum(known)
-    unigram = np.array([known[0] + 1.0, rest + 1.0, *known[1:]])
-    model = train(docs, vocabulary, unigram, heavy.get(END, 0))
-    number = _numbers(vocabulary)
-    one, two, normal = model.tables()
-    log_heavy = {w: float(np.log10(c + 0.5)) for w, c in heavy.items()}
-    # within the class of rare words: each known one, and one unseen word, by smoothed counts
-    rare_total = float(np.log10(rest + 0.5 * (distinct - len(known) + 1))) if total else float(np.log10(0.5))
-    tables = spark.sparkContext.broadcast((number, log_heavy, one, two, normal))
+    model, word, c, total, distinct = learned(docs, counted)
+    v = model.v
+    heavy = common.HashTable((4 * len(word) + 8).bit_length())
+    heavy.put(word, np.arange(len(word), dtype=np.int32))
+    # within a class's rare words: each known one, and one unseen word, by smoothed counts
+    of_class = np.log10(v.rare + 0.5 * (v.distinct + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((v, model.parameters(), heavy, np.log10(c + 0.5), of_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, log_heavy, one, two, normal = tables.value
-        hashed = common.WordHash()
-        for b in batches:
-            out: list[list] = [[] for _ in SCORED]
-            for doc_id, text in zip(b["doc_id"].to_pylist(), common.binary(b["text"])):
-                found = common.words(text, lower=True)
-                t = np.fromiter(chain((number.get(w, 1) for w in found), (0,)), np.int32, len(found) + 1)
-                w1, w2, w = rows_of_tokens(t).T
-                logp = (one[w1, w].astype(np.float64) + two[w2, w] - normal[w1, w2]).sum() * LOG_E
-                times = Counter(found)
-                times[END] += 1
-                logs, n_known, rare, in_class = 0.0, 0, {}, 0.0
-                for word, k in times.items():
-                    x = log_heavy.get(word)
-                    if x is None:
-                        rare[word] = k
-                    else:
-                        logs, n_known = logs + k * x, n_known + k
-                        if word not in number:
-                            in_class += k * (x - rare_total)
-                row = (doc_id, hashed.array(list(rare)).view(np.int64), np.fromiter(rare.values(), np.int32, len(rare)), len(found) + 1, n_known, logs, logp + in_class - rare_total * sum(rare.values()))
-                for column, x in zip(out, row):
-                    column.append(x)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, SCORED)], schema=SCORED)
-
-    scored = docs.mapInArrow(run, "doc_id long, words array<long>, times array<int>, n_tokens long, n_known long, logs double, model double")
+        v, parameters, heavy, log_heavy, of_class = shared.value
+        own = LogBilinear(v).set(parameters)
+        for b in blocks(batches):
+            t = Tokens(b["text"])
+            if not len(b):
+                continue
+            numbers, at, first = v.numbers(t), heavy.find(t.hash, -1), t.cuts[:-1]
+            logs = np.where(at >= 0, log_heavy[at] if len(log_heavy) else 0.0, 0.0)
+            p = own.log_probabilities(*rows_of_tokens(numbers, t.cuts).T) * LOG_E
+            is_rare = (numbers == v.first[t.kind]) & (t.kind > 0)
+            p += np.where(is_rare, logs - of_class[t.kind], 0.0)
+            light = np.flatnonzero(at < 0)
+            text = t.texts()[light]
+            order = np.lexsort((t.hash[light], text))
+            h, text = t.hash[light][order], text[order]
+            new = np.flatnonzero(common.in_order(h) | common.in_order(text))
+            offsets = pa.array(np.searchsorted(text[new], np.arange(len(b) + 1)).astype(np.int32))
+            words = pa.ListArray.from_arrays(offsets, pa.array(h[new].view(np.int64)))
+            times = pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.r_[new, len(h)]).astype(np.int32)))
+            sums = [np.add.reduceat(x, first) for x in ((at >= 0).astype(np.int64), logs, p)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], words, times, pa.array(np.diff(t.cuts)), *map(pa.array, sums)], schema=SCORED)
+
+    scored = docs.mapInArrow(common.released(run), "doc_id long, words array<long>, times array<int>, n_tokens long, n_known long, logs double, model double")
     scored = common.stored(scored.withColumns({"row": F.monotonically_increasing_id(), "held_out": held_out()}))
     n = buckets_for(scored.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0])
-    sent = scored.select("row", "held_out", "words", "times").mapInArrow(_send(n), "bucket int, payload binary")
-    sums = sent.groupBy("bucket").applyInArrow(_count(n), "bucket int, payload binary")
-    more = sums.groupBy("bucket").applyInArrow(_add, "row long, more_logs double, more_known long")
+    sent = scored.select("row", "held_out", "words", "times").mapInArrow(common.released(_send(n)), "bucket int, payload binary")
+    sums = common.in_buckets(sent, n).applyInArrow(common.released(_count(n)), "bucket int, payload binary")
+    more = common.in_buckets(sums, n).applyInArrow(common.released(_add), "row long, more_logs double, more_known long")
     result = scored.drop("words", "times").join(more, "row", "left")
     base = float(np.log10(total + 0.5 * (distinct + 1)))
     extra = F.coalesce("more_logs", F.lit(0.0))
@@ -243,7 +420,7 @@ def score(docs: DataFrame) -> DataFrame:
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
+        F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + extra - F.col("n_tokens") * base).alias("base_score"),
         (F.col("model") + extra).alias("score"),
     )

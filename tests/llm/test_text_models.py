@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_dedup import words
@@ -40,6 +41,34 @@ def test_votes_find_bad_texts_and_leave_good_ones(spark):
     assert quality.keep_good(clean).count() == 300 and quality.keep_good(clean).columns == ["doc_id", "text", "quality"]
 
 
+def test_kept_follows_from_the_votes(docs):
+    """EM written out document by document: a rule that abstains is left out, votes are smoothed by the prior."""
+    rows = quality.score(docs).collect()
+    votes = [[r[f"v_{x}"] for x in quality.RULES] for r in rows]
+    fit = [v for v, r in zip(votes, rows) if not r.base_failed]
+    strength = max(20.0, quality.WEIGHT * len(fit))
+    share, right = quality.GOOD, [{1: quality.ACCURACY, 0: quality.ACCURACY} for _ in quality.RULES]  # of good and of bad documents
+
+    def odds(v):
+        x = share / (1 - share)
+        for vote, a in zip(v, right):
+            x *= a[1] / (1 - a[0]) if vote > 0 else (1 - a[1]) / a[0] if vote < 0 else 1
+        return x
+
+    for _ in range(200):
+        p = [odds(v) / (1 + odds(v)) for v in fit]
+        new = []
+        for k in range(len(quality.RULES)):
+            good = sum(x for v, x in zip(fit, p) if v[k] > 0), sum(x for v, x in zip(fit, p) if v[k])
+            bad = sum(1 - x for v, x in zip(fit, p) if v[k] < 0), sum(1 - x for v, x in zip(fit, p) if v[k])
+            new.append({1: (good[0] + strength * quality.ACCURACY) / (good[1] + strength), 0: (bad[0] + strength * quality.ACCURACY) / (bad[1] + strength)})
+        share, right = (sum(p) + quality.GOOD * strength) / (len(fit) + strength), new
+    for v, r in zip(votes, rows):
+        assert r.quality == pytest.approx(odds(v) / (1 + odds(v)), abs=1e-5)
+        assert r.kept == (not r.base_failed and r.quality >= 0.5)
+    assert {x for v in votes for x in v} == {-1, 0, 1}
+
+
 def test_quality_of_nothing(nothing, crowded):
     assert quality.score(nothing).collect() == [] and quality.keep_good(nothing).collect() == []
     assert quality.keep_good(crowded).columns == crowded.columns
@@ -76,25 +105,81 @@ def test_base_scores(docs, corpus, monkeypatch, heavy):
     assert all(r.score < 0 for r in rows)
 
 
+def small_vocabulary():
+    kinds = np.array([1, 1, 1, 2, 5, 5], np.int32)
+    rare, distinct = np.zeros(language_model.CLASSES + 1), np.zeros(language_model.CLASSES + 1)
+    rare[[1, 2, 9]], distinct[[1, 2, 9]] = (4, 1, 2), (3, 1, 2)
+    return language_model.Vocabulary(np.arange(11, 17, dtype=np.uint64), kinds, np.array([5, 9, 3, 2, 4, 7]), 6, rare, distinct)
+
+
 def test_normaliser_and_training():
     draw = np.random.default_rng(0)
-    model = language_model.LogBilinear(np.array([5.0, 3, 2, 2, 1, 1]))
-    follows = draw.permutation(6)
-    tokens = [0, 0]
+    v = small_vocabulary()
+    members, n = np.flatnonzero(v.weight > 1), len(v.weight)
+    model, follows = language_model.LogBilinear(v), draw.permutation(members)
+    tokens = [0]
     for _ in range(60_000):
-        tokens.append(int(follows[tokens[-1]]) if draw.random() < 0.9 else int(draw.integers(6)))
-    rows = language_model.rows_of_tokens(np.array(tokens))
+        at = int(np.searchsorted(members, tokens[-1]))
+        tokens.append(int(follows[at]) if draw.random() < 0.9 else int(draw.choice(members)))
+    rows = language_model.rows_of_tokens(np.array(tokens), np.array([0, len(tokens)]))
+
+    def mean():
+        w1, w2 = (np.repeat(x, n) for x in rows[100:140, :2].T)
+        every = np.exp(model.log_probabilities(w1, w2, np.tile(np.arange(n), 40))).reshape(40, n)
+        assert np.allclose(every.sum(1), 1, atol=1e-4)
+        return float(model.log_probabilities(*rows.T).mean())
+
+    before = mean()
+    for k in range(3):
+        model.train(rows, np.random.default_rng(k))
+    assert mean() > before + 0.5
 
-    def mean(m):
-        one, two, normal = m.tables()
-        w1, w2, w = rows.T
-        assert np.allclose(np.exp(one[:, None] + two[None] - normal[..., None]).sum(-1), 1, atol=1e-4)
-        return float((one[w1, w] + two[w2, w] - normal[w1, w2]).mean())
 
-    before = mean(model)
-    for _ in range(3):
-        model.train(rows, draw)
-    assert mean(model) > before + 0.5
+def plain_probability(model, w1, w2, w):
+    """log10 of P(class) P(member within it), each a softmax written out."""
+    v = model.v
+    q = model.before[w1].astype(float) + model.last[w2].astype(float)
+    kind = next(c for c in range(len(v.first)) if v.first[c] <= w < v.first[c] + v.size[c])
+    kinds = [math.exp(q @ r + b) for r, b in zip(model.kinds.astype(float), model.kind_bias.astype(float))]
+    own = range(v.first[kind], v.first[kind] + v.size[kind])
+    members = {k: math.exp(q @ model.words[k].astype(float) + model.word_bias[k]) for k in own}
+    return math.log10(kinds[kind] / sum(kinds)) + math.log10(members[w] / sum(members.values()))
+
+
+@pytest.mark.parametrize("heavy", [400_000, 40])
+def test_scores_are_those_of_the_model(crowded, docs, corpus, monkeypatch, heavy):
+    """Scores recomputed word by word from the model's parameters and plain counts; the same for any partitions."""
+    monkeypatch.setattr(language_model, "HEAVY", heavy)
+    monkeypatch.setattr(language_model, "SHARD", 2000)
+    slim = docs.select("doc_id", "text")
+    model, *_ = language_model.learned(slim, language_model.counts(slim).cache())
+    training = [t for d, t, _ in corpus if zlib.crc32(b"" if d is None else str(d).encode()) % 5 != 1]
+    c = Counter(w for t in training for w in words(t, lower=True))
+    kind = lambda w: int(language_model.SHAPES[(w[-2] if len(w) > 1 else 0) * 256 + w[-1]])
+    v = model.v
+    known = {}
+    for w in c:
+        t = language_model.Tokens(pa.array([w.decode()]))
+        k = int(v.numbers(t)[0])
+        if k != v.first[kind(w)]:
+            known[w] = k
+    rest = {k: [n for w, n in c.items() if kind(w) == k and w not in known] for k in range(1, language_model.CLASSES + 1)}
+    want = []
+    for d, t, _ in corpus:
+        if len(words(t)) > 300:
+            continue
+        at, total = [0, 0], 0.0
+        for w in [*words(t, lower=True), b""]:
+            number = 0 if not w else known.get(w, v.first[kind(w)] if w else 0)
+            total += plain_probability(model, at[-2], at[-1], number)
+            if w and w not in known:
+                total += math.log10((c[w] + 0.5) / (sum(rest[kind(w)]) + 0.5 * (len(rest[kind(w)]) + 1)))
+            at.append(number)
+        want.append((d is None, d or 0, len(words(t)), total))
+    for df in (crowded.repartition(1), docs.repartition(8)):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens - 1, r.score) for r in language_model.score(df).collect() if r.n_tokens <= 301)
+        assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in sorted(want)], rel=1e-4)
 
 
 def test_model_beats_counts_on_held_out_text(spark):
@@ -153,17 +238,19 @@ def test_mix(docs, corpus, monkeypatch):
         taken[s] += r.taken
     assert len(rows) == len(corpus)
     for s in names:
-        assert abs(taken[s] - target[s]) <= max((len(words(t)) for _, t, x in corpus if x == s), default=0) * (len([1 for d, t, x in corpus if x == s]) > 0)
+        assert taken[s] == math.floor(target[s] + 1e-6)
 
 
-def test_target_ends_among_equal_rows(spark):
-    rows = [(None, " ".join(f"w{j}" for j in range(10)), "a")] * 3 + [(None, "x y z", "b")] * 101
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_target_ends_among_equal_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_SENT", most)
+    rows = [(None, " ".join(f"w{j}" for j in range(10)), "a")] * 3 + [(None, "x y z", "b")] * 1001
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
     taken = {"a": [], "b": []}
     for r in mixing.mix(df).collect():
         assert r["size"] <= r.taken <= 2 * r["size"] and len(r.shards) == -(-r.taken // r["size"])
         taken["a" if r["size"] == 10 else "b"].append(r.taken)
-    target = water([30, 303], [5, 2])
+    target = water([30, 3003], [5, 2])
     assert {s: sum(x) for s, x in taken.items()} == {"a": math.floor(target[0]), "b": math.floor(target[1])}
     words_out = Counter(r.source for r in mixing.mixed_documents(df).collect() for _ in words(r.text))
     assert words_out == {s: sum(x) for s, x in taken.items()}
@@ -183,10 +270,10 @@ def test_mixed_documents(crowded, docs):
 
 def test_splitting_tree_uses_quotas_up():
     quota = np.array([100, 7, 0, 33])
-    capacity = mixing.capacities(int(quota.sum()), 16)
-    leaves = sorted(mixing.split_quota(quota, capacity, (1, 0, len(capacity))), key=lambda x: x[0])
-    assert [x[0] for x in leaves] == list(range(len(capacity)))
-    assert (sum(x[1] for x in leaves) == quota).all() and all(x[1].sum() == c for x, c in zip(leaves, capacity))
+    shards = mixing.Shards.of(int(quota.sum()), 16)
+    leaves = sorted(mixing.split_quota(quota, shards, (1, 0, shards.number)), key=lambda x: x[0])
+    assert [x[0] for x in leaves] == list(range(shards.number)) and shards.number == 9
+    assert (sum(x[1] for x in leaves) == quota).all() and all(x[1].sum() == shards.capacity(x[0], x[0] + 1) <= 16 for x in leaves)
     for s in range(4):
         units = [u for _, got, first in leaves for u in range(first[s], first[s] + got[s])]
         assert units == list(range(quota[s]))
