@@ -117,11 +117,11 @@ def batch_search(index: DataFrame, queries: DataFrame, top_k: int = 0, where: Co
     return found
 
 
-def lsh_search(index: DataFrame, queries: DataFrame, top_k: int = 0, tables: int = 8, bucket: float = 0.5, within: float = 1.2) -> DataFrame:
+def lsh_search(index: DataFrame, queries: DataFrame, top_k: int = 0, tables: int = 8, bucket: float = 0.5, within: float = 2.0) -> DataFrame:
     """(query_id, rank, id, score) from candidates that share a random-projection bucket, ranked exactly.
 
-    Vectors are scaled to length one, where Euclidean distance orders like cosine; only points nearer than ``within``
-    are candidates.
+    Vectors are scaled to length one, where Euclidean distance orders like cosine and is 2 at most; points farther than
+    ``within`` are no candidates.
     """
     k = top_k or TOP_K
     points = index.filter(F.exists("vector", lambda x: x != 0)).select("id", array_to_vector(normalized("vector")).alias("v"))

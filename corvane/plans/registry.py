@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import STOP_WORDS, clean_alpha, clean_text, is_blank, last_segment, percent_encoded, preview, strip, token_count
 from corvane.functions.vectors import norm, normalized
-from corvane.operators import eda, ingest
+from corvane.operators import ann, eda, ingest
 from corvane.operators.chunking import SEPARATORS, chunk_documents, split_text
 from corvane.operators.embedding import HashEmbedder, embed_chunks
 from corvane.operators.index import flatten_payload, upserted, with_ordinals
 from corvane.operators.rag import ExtractiveGenerator, joined_contexts, messages, prompt, rag
 from corvane.operators.search import Retriever, batch_search, lsh_search, search
-from corvane.tables import stored
+from corvane.tables import stored, stored_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,6 +170,22 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_search(_points(spark, sf_dir), _queries(spark, sf_dir))
 
 
+@query(f"SELECT * FROM ({_BATCH}) WHERE rank <= 5")
+def ann_every_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index, with all of its lists visited."""
+    path = stored_path(spark)
+    lists = ann.build(_points(spark, sf_dir), path)
+    found = ann.search(spark, path, _queries(spark, sf_dir), probes=lists, digits=6)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "payload.label")
+
+
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stored_path(spark)
+    ann.build(_points(spark, sf_dir), path)
+    return ann.search(spark, path, _queries(spark, sf_dir))
+
+
 @query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / n, 6)) AS vector, round(n, 6) AS norm FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
 def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = F.transform(normalized("embedding"), lambda x: F.round(x, 6))

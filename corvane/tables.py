@@ -23,17 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored_path(spark: SparkSession) -> str:
+    """A new path in the shared folder for what goes with the stored tables."""
+    at = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _written.append(at)
+    return at
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: later steps see the same rows, whatever executors are lost.
 
     The table goes with ``clear``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
+    at = stored_path(spark)
     df.write.parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import index, search
+from corvane.operators import ann, index, search
 from corvane.operators.embedding import HashEmbedder, ModelEmbedder, embed_chunks
 from corvane.operators.rag import ExtractiveGenerator, ModelGenerator, rag
 
@@ -104,3 +104,25 @@ def test_stored_tables_go(spark):
     tables.clear(spark)
     with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_stored_lists(spark, tmp_path, monkeypatch):
+    """Recall on clustered vectors, exactness with all lists, a vector that many rows share, a second search without a fit."""
+    monkeypatch.setattr(ann, "PART", 50)
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(20, 16))
+    x = np.concatenate([centres[draw.integers(0, 20, 600)] + 0.2 * draw.normal(size=(600, 16)), np.repeat(centres[:1], 200, axis=0), np.zeros((1, 16))])
+    points = spark.createDataFrame([(k, v.tolist(), f"t{k}") for k, v in enumerate(x)], "id long, vector array<float>, text string")
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x[:30])] + [(99, [0.0] * 16)], "query_id long, vector array<float>")
+    path = str(tmp_path / "ann")
+    lists = ann.build(points, path)
+    assert lists == round(800**0.5)
+    monkeypatch.setattr(ann, "KMeans", None)
+    want = {(r.query_id, r["rank"], r.id, r.score) for r in search.batch_search(points, queries, digits=6).collect()}
+    rows = ann.search(spark, path, queries, probes=lists, digits=6).collect()
+    assert {(r.query_id, r["rank"], r.id, r.score) for r in rows} == want and all(r.payload.text == f"t{r.id}" for r in rows)
+    near = {(r.query_id, r.id) for r in ann.search(spark, path, queries, digits=6).collect()}
+    assert len(near & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
+    monkeypatch.undo()
+    assert ann.build(points.filter("id < 0"), str(tmp_path / "none")) == 0
+    assert ann.search(spark, str(tmp_path / "none"), queries).collect() == []
