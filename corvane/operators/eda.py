@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,22 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def density(df: DataFrame, value: str, points: int = 200) -> DataFrame:
+    """(x, density) of a Gaussian kernel estimate at ``points`` places from the least to the greatest value, by Scott's rule.
+
+    Equal values are counted first. Values that are all equal, or none, give no rows.
+    """
+    n, spread, low, high = df.agg(F.count(value), F.stddev_samp(value), F.min(value), F.max(value)).first()
+    width = (spread or 0.0) * max(n, 1) ** -0.2
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    step = (float(high) - float(low)) / (points - 1) if width else 0.0
+    x = F.lit(float(low or 0)) + F.col("at") * F.lit(step)
+    at = F.sequence(F.lit(0), F.lit(points - 1)) if width else F.array().cast("array<int>")
+    near = F.exp(-((x - F.col("v")) / F.lit(width or 1.0)) ** 2 / 2)
+    summed = counted.select("v", "n", F.explode(at).alias("at")).groupBy("at").agg(F.sum(F.col("n") * near).alias("s"))
+    return summed.select(x.alias("x"), (F.col("s") / F.lit((n or 1) * (width or 1.0) * math.sqrt(2 * math.pi))).alias("density"))
+
+
 def frequencies(df: DataFrame, values: Column) -> DataFrame:
     """(value, n) of the elements of an array column."""
     return df.select(F.explode(values).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))

@@ -35,6 +35,12 @@ def messages(prompted: Column | str) -> Column:
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM).alias("content")), F.struct(F.lit("user").alias("role"), content.alias("content")))
 
 
+def chat_template(chat: Column | str) -> Column:
+    """A chat as the one text that models of the ChatML format continue, up to where the assistant's turn begins."""
+    turns = F.transform(F.col(chat) if isinstance(chat, str) else chat, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n")))
+    return F.concat(F.array_join(turns, ""), F.lit("<|im_start|>assistant\n"))
+
+
 class Generator(Protocol):
     def column(self, query: Column, context: Column) -> Column:
         """The answer to each query."""

@@ -17,7 +17,7 @@ from corvane.operators import ann, eda, ingest
 from corvane.operators.chunking import SEPARATORS, chunk_documents, split_text
 from corvane.operators.embedding import HashEmbedder, embed_chunks
 from corvane.operators.index import flatten_payload, upserted, with_ordinals
-from corvane.operators.rag import ExtractiveGenerator, joined_contexts, messages, prompt, rag
+from corvane.operators.rag import ExtractiveGenerator, chat_template, joined_contexts, messages, prompt, rag
 from corvane.operators.search import Retriever, batch_search, lsh_search, search
 from corvane.tables import stored, stored_path
 
@@ -223,6 +223,11 @@ def sql_embedded(source: str, name: str, dimension: int = 384) -> str:
 _CHUNK_ROWS = "SELECT doc_id || '_chunk_' || chunk_index AS id, text FROM chunk WHERE trim(text) <> ''"
 
 
+@query("SELECT item_id, '<|im_start|>system' || chr(10) || 'You are a helpful scientific assistant. Answer based ONLY on the provided context.' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'Context:' || chr(10) || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM benchmark")
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", chat_template(messages(prompt("text", F.lit("")))).alias("prompt"))
+
+
 @query(f"{_CHUNKS}, {sql_embedded(_CHUNK_ROWS, 'embedded')} SELECT id, embedding FROM embedded")
 def embed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_chunks(_chunked(spark, sf_dir), HashEmbedder()).select("id", "embedding")
@@ -271,6 +276,13 @@ def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.histogram(eda.token_counts(table(spark, sf_dir, "documents"), "text"), "tokens")
 
 
+@query(f"""WITH t AS (SELECT tokens::DOUBLE AS v FROM ({_TOKENS})), s AS (SELECT count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS w, min(v) AS lo, max(v) AS hi FROM t)
+SELECT round(x, 6) AS x, round(sum(exp(-pow((x - v) / w, 2) / 2)) / any_value(n * w * sqrt(2 * pi())), 9) AS density FROM (SELECT v, lo + i * (hi - lo) / 199 AS x, w, n, i FROM t, s, range(200) AS g(i)) GROUP BY i, x""")
+def token_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = eda.density(eda.token_counts(table(spark, sf_dir, "documents"), "text"), "tokens")
+    return found.select(F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
 def _sql_words(source: str) -> str:
     stop = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
     return f"SELECT value, count(*) AS n FROM (SELECT unnest(string_split(c, ' ')) AS value FROM ({source})) WHERE lower(value) NOT IN ({stop}) GROUP BY value"

@@ -106,6 +106,9 @@ def test_statistics(spark):
     assert {r["bin"]: r.n for r in eda.histogram(df, "x", 10).collect()} == {0: 3, 9: 1}
     assert {r["bin"]: r.n for r in eda.histogram(df.filter("x = 2"), "x").collect()} == {0: 1}
     assert eda.histogram(df.filter("x > 500"), "x").collect() == []
+    curve = eda.density(df, "x", 50).orderBy("x").collect()
+    assert len(curve) == 50 and [curve[0].x, curve[-1].x] == pytest.approx([1, 100]) and max(curve, key=lambda r: r.density).x < 40
+    assert eda.density(df.filter("x = 2"), "x").collect() == eda.density(df.filter("x > 500"), "x").collect() == []
     words = spark.createDataFrame([("The cat the Cat 5",), ("",)], "t string")
     assert {r.value: r.n for r in eda.word_frequencies(words, "t").collect()} == {"cat": 1, "Cat": 1, "": 1}
     assert [r.value for r in eda.top(eda.word_frequencies(words, "t"), 2).collect()] == ["", "Cat"]
