@@ -2,9 +2,9 @@
 
 Text nodes are grouped into blocks, and blocks by their root-to-leaf tag path. Each path has two ratios: its text length
 and its punctuation marks per block. Both are laid along the page, smoothed with a Gaussian, and fused into one value.
-A path is further smoothed with what holds it: headings, paragraphs, list items and the like count as parts of the next
-element around them that is none of these, and take half of their value from all text in there, so short lines beside
-long ones stay. What is link text counts nothing. Elements, roles and class names that speak of menus, adverts, comments
+A path is further smoothed with what holds it: headings, paragraphs, list items and the like count as parts of the article
+or main element around them, or else of the next element that is none of these, and take half of their value from all
+text in there, so short lines beside long ones stay. What is link text counts nothing. Elements, roles and class names that speak of menus, adverts, comments
 and the like are a weak feature: they lower a path's value by a factor. Paths whose value reaches a share of the page's
 mean, weighed by text, are content; all their blocks are taken, and no others.
 
@@ -53,11 +53,12 @@ SHARE, BESIDE, FLOOR, SIGMA = 0.25, 0.1, 200.0, 1.0
 
 @dataclass
 class Path:
-    """A tag path: its parent, the path that its text is a part of, and whether names on it speak of something beside the text."""
+    """A tag path: its parent, the path that its text is a part of, the article's, if any, and whether names on it speak of something beside the text."""
 
     parent: int
     tag: str
     holder: int
+    article: int
     beside: bool
 
 
@@ -95,7 +96,7 @@ def _attributes(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool
 def blocks(page: str) -> tuple[list[Block], list[Path]]:
     """The blocks of a page that a reader sees, and their paths; a path comes after its parent."""
     found: list[Block] = []
-    paths, number = [Path(-1, "", 0, False)], {}
+    paths, number = [Path(-1, "", 0, -1, False)], {}
     #: tag, path, unseen, in an article, is inline
     stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
     opened: Counter[str] = Counter()
@@ -169,7 +170,9 @@ def blocks(page: str) -> tuple[list[Block], list[Path]]:
         to = number.get(key)
         if to is None:
             to = number[key] = len(paths)
-            paths.append(Path(path, tag, paths[path].holder if tag in PARTS else to, beside))
+            article = to if tag in MAIN else paths[path].article
+            holder = to if tag not in PARTS else article if article >= 0 else paths[path].holder
+            paths.append(Path(path, tag, holder, article, beside))
         stack.append((tag, to, out or hidden or tag in UNSEEN, in_article or tag in MAIN, False))
         opened[tag] += 1
     kept = []

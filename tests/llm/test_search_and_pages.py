@@ -151,6 +151,7 @@ def test_long_page():
         (f"<div class='widget'>{f'<p>{LONG} {LONG} {LONG} {LONG}</p>' * 9}</div>", [f"{LONG} {LONG} {LONG} {LONG}"] * 9),
         # what no name tells apart goes by its ratios
         (f"<article>{f'<p>{LONG}</p>' * 5}<div>Copyright.</div><ul><li><a href=1>Related one.</a></li><li><a href=2>Related two.</a></li></ul></article>", [LONG] * 5),
+        (f"<article><header><h1>Head</h1><p class=meta>By us.</p></header><section><h2>One</h2><p>{LONG}</p></section><div><p>Short.</p></div><p>{LONG}</p></article>", ["Head", "By us.", "One", LONG, "Short.", LONG]),
         (f"<div id=wrap><article>{f'<p>{LONG}</p>' * 5}</article><div>All rights reserved</div></div>", [LONG] * 5),
     ],
 )
@@ -228,7 +229,10 @@ def plain_extract(page):
     seen_length, seen_marks = (html.smoothed([f(own[p]) for p, _, _ in found]) for f in (length, marks))
 
     def held(p):
-        """Texts of the element that the path is a part of."""
+        """Texts of the article that the path is a part of, or else the next element that is no part itself."""
+        if p[-1][0] in html.PARTS:
+            mains = [k for k, x in enumerate(p) if x[0] in ("article", "main")]
+            p = p[: mains[-1] + 1] if mains else p
         while p and p[-1][0] in html.PARTS:
             p = p[:-1]
         out = []
