@@ -55,8 +55,9 @@ def sampled(df: DataFrame, want: int, of: int, *keys: str) -> list[Row]:
 
 
 def in_buckets(df: DataFrame, n: int) -> GroupedData:
-    """``df`` by its bucket, of which there are ``n``: a partition for each, but for MOST_PARTITIONS, so tasks keep their size."""
-    return df.repartition(min(n, MOST_PARTITIONS), "bucket").groupBy("bucket")
+    """``df`` by its bucket from 0 to ``n``: a partition for each up to MOST_PARTITIONS, so tasks keep their size; beyond, by hash."""
+    dealt = df.repartitionById(n, F.col("bucket")) if n <= MOST_PARTITIONS else df.repartition(MOST_PARTITIONS, "bucket")
+    return dealt.groupBy("bucket")
 
 
 def _give_back() -> None:

@@ -198,7 +198,7 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets_for(size // 6)
     hashed = keyed(docs, "text").mapInArrow(common.released(mapper(window, n)), SENT_DDL)
-    return attach(docs, hashed.groupBy("bucket").applyInArrow(common.released(reducer(window, n)), PACKED_DDL))
+    return attach(docs, common.in_buckets(hashed, n).applyInArrow(common.released(reducer(window, n)), PACKED_DDL))
 
 
 def intervals(removed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:

@@ -191,12 +191,13 @@ def repeated_byte_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANC
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets_for(size // 50, BUCKET)
     records = keyed(docs, "text").mapInArrow(common.released(first_digits(length, anchor, n)), SENT_DDL)
-    runs = common.stored(records.groupBy("bucket").applyInArrow(common.released(refine(length, n)), RUNS_DDL))
+    runs = common.stored(common.in_buckets(records, n).applyInArrow(common.released(refine(length, n)), RUNS_DDL))
     going = common.stored(by_document(runs.filter("not final").drop("final")))
     texts = keyed(docs, "text").join(going, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "tag", "text", "spans")
     windows = going.agg(F.sum("covered")).first()[0] or 0
-    sent_on = texts.mapInArrow(common.released(last_digit(length, buckets_for(windows), n)), SENT_DDL)
-    marks = sent_on.groupBy("bucket").applyInArrow(common.released(equal_windows(length, n)), PACKED_DDL)
+    window_n = buckets_for(windows)
+    sent_on = texts.mapInArrow(common.released(last_digit(length, window_n, n)), SENT_DDL)
+    marks = common.in_buckets(sent_on, window_n).applyInArrow(common.released(equal_windows(length, n)), PACKED_DDL)
     return attach(docs, runs.filter("final").drop("final").unionByName(marks))
 
 
