@@ -40,7 +40,7 @@ from corvane.llm import common
 
 MARK, UNIT, SHORT = "▁", 1_000_000, 64
 #: Characters in a chunk, stretches that a worker remembers, bytes of text and characters of new stretches solved at once.
-CHUNK, REMEMBERED, FLUSH, UNITS = 32_000, 400_000, 1_000_000, 100_000
+CHUNK, REMEMBERED, FLUSH, UNITS = 32_000, 400_000, 400_000, 50_000
 #: Stands for a mark that the text itself holds: a lone surrogate, which no text and no piece can hold.
 OWN_MARK = "\ud800"
 WORST, LONGER = -(2**60), 2**30

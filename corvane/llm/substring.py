@@ -23,7 +23,7 @@ from corvane.llm import common
 
 WINDOW = 50
 #: Windows in a bucket, about; and bytes of text that a task takes at once.
-BUCKET, FLUSH = 2_000_000, 5_000_000
+BUCKET, FLUSH = 2_000_000, 3_000_000
 HASH_BASE, BUCKET_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
