@@ -37,6 +37,8 @@ SHARD, BLOCK, BATCH, WORD_BATCH, NOISE, WORD_NOISE = 1_000_000, 250_000, 2048, 1
 RATE, WORD_RATE, WARM_ROUNDS = 0.08, 0.015, 2
 #: Bytes of text that a task takes at once, and tokens whose scores it holds.
 FLUSH, SCORED_AT_ONCE = 1_000_000, 4096
+#: Models that one task adds up, about.
+ADDED_AT_ONCE = 16
 HASH_BASE, END = 0xD6E8FEB86659FD93, 0
 LOWER = np.frombuffer(common.LOWER, np.uint8)
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -340,14 +342,21 @@ def train(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> LogBilinear:
         return by_shard.mapInArrow(common.released(learn(start, rounds)), "sums binary")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(np.frombuffer(x, np.int64) for b in batches for x in b["sums"].to_pylist())
-        if not np.isscalar(total):
+        total = None
+        for b in batches:
+            for x in b["sums"]:
+                total = np.frombuffer(x.as_buffer(), np.int64) + (0 if total is None else total)
+        if total is not None:
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     first = [np.frombuffer(r.sums, np.int64) for r in models(dealt.filter("shard = 0"), None, WARM_ROUNDS).collect()]  # one shard, one model
     start = first[0] / Averaged.SCALE if first else model.parameters()
-    sums = models(dealt, start, 1).repartition(8).mapInArrow(common.released(add), "sums binary").toLocalIterator()
-    return model.set(sum(np.frombuffer(r.sums, np.int64) for r in sums) / Averaged.SCALE)
+    sums = common.stored(models(dealt, start, 1))
+    left = sums.count()
+    while left > ADDED_AT_ONCE:
+        left = -(-left // ADDED_AT_ONCE)
+        sums = common.stored(sums.repartition(left).mapInArrow(common.released(add), "sums binary"))
+    return model.set(sum(np.frombuffer(r.sums, np.int64) for r in sums.toLocalIterator()) / Averaged.SCALE)
 
 
 def learned(docs: DataFrame, counted: DataFrame) -> tuple[LogBilinear, np.ndarray, np.ndarray, int, int]:

@@ -151,6 +151,7 @@ def test_scores_are_those_of_the_model(crowded, docs, corpus, monkeypatch, heavy
     """Scores recomputed word by word from the model's parameters and plain counts; the same for any partitions."""
     monkeypatch.setattr(language_model, "HEAVY", heavy)
     monkeypatch.setattr(language_model, "SHARD", 2000)
+    monkeypatch.setattr(language_model, "ADDED_AT_ONCE", 2)
     slim = docs.select("doc_id", "text")
     model, *_ = language_model.learned(slim, language_model.counts(slim).cache())
     training = [t for d, t, _ in corpus if zlib.crc32(b"" if d is None else str(d).encode()) % 5 != 1]
