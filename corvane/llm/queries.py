@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import common, html, language_model, licenses, mixing, neighbours, pieces, quality, simhash, sql, substring, suffixes
+from corvane.llm import common, html, language_model, licenses, mixing, neighbours, phrases, pieces, quality, runs, simhash, spelling, sql, substring, suffixes
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(common.table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.with_repeats(common.table(spark, sf_dir, "documents"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.table(spark, sf_dir, "documents"), spelling.DAMAGED)
+
+
+def op13_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.beside_next(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_html_extraction": op2_html_extraction,
@@ -64,10 +76,15 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_phrase_fingerprints": op13_phrase_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": sql.SUBSTRING_DEDUP,
     "op9_suffix_dedup": sql.SUFFIX_DEDUP,
     "op10_license_scan": sql.LICENSE_SCAN,
+    "op11_periodic_runs": sql.PERIODIC_RUNS,
+    "op12_spelling_variants": sql.SPELLING_VARIANTS,
 }
