@@ -19,6 +19,8 @@ class Download:
     retries: int = 5
     retry_wait: float = 5.0
     pause: float = 1.0
+    #: Tasks that fetch files at a time. They share the rate that the pause sets.
+    parallel: int = 1
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,12 @@ class Index:
     path: str = "data/index"
     collection: str = "papers"
     vector_size: int = 384
+    #: How batches of questions are searched: exact, lists (pruned, with codes) or graph (of small worlds).
+    method: str = "exact"
+
+    def __post_init__(self) -> None:
+        if self.method not in ("exact", "lists", "graph"):
+            raise ValueError(f"unknown method {self.method!r}")
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.vectors import norm
+from corvane.operators import ann, graph
 from corvane.tables import stored
 
 
@@ -52,12 +53,38 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[1:]) for n in done)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The index at ``path``: its newest complete version."""
+def newest(spark: SparkSession, path: str) -> int:
+    """The newest complete version of the index at ``path``."""
     versions = _versions(spark, path)
     if not versions:
         raise FileNotFoundError(f"no index at {path}")
-    return spark.read.parquet(f"{path}/v{versions[-1]}")
+    return versions[-1]
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The index at ``path``: its newest complete version."""
+    return spark.read.parquet(f"{path}/v{newest(spark, path)}")
+
+
+def near_path(spark: SparkSession, path: str, method: str) -> str:
+    """Where the approximate index over the newest version lies."""
+    return f"{path}/{method}/v{newest(spark, path)}"
+
+
+def build_near(spark: SparkSession, path: str, method: str) -> None:
+    """Builds the approximate index over the newest version; those of versions that are gone go as well."""
+    {"lists": ann.build, "graph": graph.build}[method](read(spark, path).drop("norm"), near_path(spark, path, method))
+    kept = {f"v{v}" for v in _versions(spark, path)}
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{method}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        if status.getPath().getName() not in kept:
+            fs.delete(status.getPath(), True)
+
+
+def search_near(spark: SparkSession, path: str, method: str, queries: DataFrame, top_k: int = 0) -> DataFrame:
+    """(query_id, rank, id, score, payload) by the approximate index over the newest version."""
+    return {"lists": ann.search, "graph": graph.search}[method](spark, near_path(spark, path, method), queries, top_k)
 
 
 def create_or_check(spark: SparkSession, path: str, dimension: int) -> bool:

@@ -7,7 +7,7 @@ the scan. Equal scores go to the smaller id; vectors of length zero have no scor
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -117,15 +117,26 @@ def batch_search(index: DataFrame, queries: DataFrame, top_k: int = 0, where: Co
     return found
 
 
-def lsh_search(index: DataFrame, queries: DataFrame, top_k: int = 0, tables: int = 8, bucket: float = 0.5, within: float = 2.0) -> DataFrame:
+def lsh_search(index: DataFrame, queries: DataFrame, top_k: int = 0, tables: int = 8, bucket: float = 0.0, within: float = 0.0) -> DataFrame:
     """(query_id, rank, id, score) from candidates that share a random-projection bucket, ranked exactly.
 
     Vectors are scaled to length one, where Euclidean distance orders like cosine and is 2 at most; points farther than
-    ``within`` are no candidates.
+    ``within`` are no candidates. 0 stands for numbers drawn from the data: ``within`` is the distance that nearly all of
+    64 points have to their last neighbour, and projections of points that far apart differ by a bucket on average, so
+    each table keeps more than a third of such pairs together.
     """
     k = top_k or TOP_K
-    points = index.filter(F.exists("vector", lambda x: x != 0)).select("id", array_to_vector(normalized("vector")).alias("v"))
+    index = index.filter(F.exists("vector", lambda x: x != 0))
+    points = index.select("id", array_to_vector(normalized("vector")).alias("v"))
     asked = queries.filter(F.exists("vector", lambda x: x != 0)).select("query_id", array_to_vector(normalized("vector")).alias("v"))
+    if not within:
+        some = index.orderBy(F.xxhash64("id")).limit(64).select(F.col("id").alias("query_id"), "vector")
+        last = batch_search(index.select("id", "vector"), some, k + 1, with_payload=False).groupBy("query_id").agg(F.min("score").alias("s"))
+        far = last.agg(F.percentile("s", 0.05)).first()[0]
+        within = min(2.0, math.sqrt(max(0.0, 2 - 2 * (1.0 if far is None else far))) + 1e-6)
+    if not bucket:
+        size = index.select(F.size("vector").alias("d")).first()
+        bucket = within / math.sqrt(size.d if size else 1)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=1).fit(points)
     pairs = model.approxSimilarityJoin(asked, points, within, "distance")
     score = 1 - F.col("distance") ** 2 / 2
@@ -134,13 +145,20 @@ def lsh_search(index: DataFrame, queries: DataFrame, top_k: int = 0, tables: int
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+#: (queries, top_k) -> (query_id, rank, id, score, payload).
+Searcher = Callable[[DataFrame, int], DataFrame]
+
+
 class Retriever:
-    """Searches an index by texts; ``digits`` rounds scores before ranking."""
+    """Searches an index by texts; ``digits`` rounds scores before ranking.
+
+    ``near`` is an approximate search over the same points, which takes batches of queries without a filter.
+    """
 
-    def __init__(self, index: DataFrame, embedder: Embedder | None, top_k: int = TOP_K, digits: int | None = None) -> None:
+    def __init__(self, index: DataFrame, embedder: Embedder | None, top_k: int = TOP_K, digits: int | None = None, near: Searcher | None = None) -> None:
         if embedder is None:
             raise ValueError("a retriever needs an embedder")
-        self.index, self.embedder, self.top_k, self.digits = index, embedder, top_k, digits
+        self.index, self.embedder, self.top_k, self.digits, self.near = index, embedder, top_k, digits, near
 
     def embed(self, query: str) -> list[float]:
         spark = self.index.sparkSession
@@ -151,4 +169,7 @@ class Retriever:
 
     def batch_retrieve(self, queries: DataFrame, top_k: int = 0, where: Column | None = None) -> DataFrame:
         """``queries`` has query_id and query."""
-        return batch_search(self.index, embed_queries(queries, self.embedder), top_k or self.top_k, where, digits=self.digits)
+        asked = embed_queries(queries, self.embedder)
+        if self.near is not None and where is None:
+            return self.near(asked, top_k or self.top_k)
+        return batch_search(self.index, asked, top_k or self.top_k, where, digits=self.digits)

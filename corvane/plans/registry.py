@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import STOP_WORDS, clean_alpha, clean_text, is_blank, last_segment, percent_encoded, preview, strip, token_count
 from corvane.functions.vectors import norm, normalized
-from corvane.operators import ann, eda, ingest
+from corvane.operators import ann, eda, graph, ingest
 from corvane.operators.chunking import SEPARATORS, chunk_documents, split_text
 from corvane.operators.embedding import HashEmbedder, embed_chunks
 from corvane.operators.index import flatten_payload, upserted, with_ordinals
@@ -186,6 +186,22 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark, path, _queries(spark, sf_dir))
 
 
+@query()
+def ann_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored lists, searched among points of one label."""
+    path = stored_path(spark)
+    ann.build(_points(spark, sf_dir), path, counted=("label",))
+    return ann.search(spark, path, _queries(spark, sf_dir), 3, where=F.col("label") == 2)
+
+
+@query()
+def graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored graph of small worlds."""
+    path = stored_path(spark)
+    graph.build(_points(spark, sf_dir), path)
+    return graph.search(spark, path, _queries(spark, sf_dir))
+
+
 @query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / n, 6)) AS vector, round(n, 6) AS norm FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
 def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = F.transform(normalized("embedding"), lambda x: F.round(x, 6))

@@ -85,12 +85,16 @@ class Service:
     def index(self) -> Result:
         path = f"{self.cfg.index.path}/{self.cfg.index.collection}"
         embedded = read_json_lines(self.spark, self.cfg.embedding.output_path, EMBEDDED)
-        return Result("index", index.setup(self.spark, embedded, path, self.cfg.index.vector_size), path)
+        count = index.setup(self.spark, embedded, path, self.cfg.index.vector_size)
+        if self.cfg.index.method != "exact":
+            index.build_near(self.spark, path, self.cfg.index.method)
+        return Result("index", count, path)
 
     def ask(self, *questions: str, top_k: int = 0) -> DataFrame:
         """(query_id, query, answer, retrieved_contexts, scores) for each question."""
-        points = index.read(self.spark, f"{self.cfg.index.path}/{self.cfg.index.collection}")
-        retriever = Retriever(points, self.embedder, self.cfg.retrieval.top_k)
+        path, method = f"{self.cfg.index.path}/{self.cfg.index.collection}", self.cfg.index.method
+        near = None if method == "exact" else lambda asked, k: index.search_near(self.spark, path, method, asked, k)
+        retriever = Retriever(index.read(self.spark, path), self.embedder, self.cfg.retrieval.top_k, near=near)
         queries = self.spark.createDataFrame(list(enumerate(questions)), "query_id long, query string")
         return rag(retriever, self.generator, queries, top_k)
 
