@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -91,3 +92,37 @@ def test_documents(spark):
     rows = chunk_documents(docs).orderBy("id").collect()
     assert [r.id for r in rows] == ["p1_chunk_0", "p1_chunk_1", "p4_chunk_0"]
     assert rows[0].metadata.source == "f.pdf" and rows[2].metadata.source == "" and rows[2].text == "short"
+
+
+def test_patterns_pack_like_one_part_after_another(spark, monkeypatch):
+    """Patterns, and parts packed one by one in blocks, give the same chunks; marks of line ends may stand in a text."""
+    from corvane.operators import chunking
+
+    draw = random.Random(8)
+    parts = ["\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "  ", "a", "bb", "é", "😀", "word", "x" * 9, "y" * 30, "\t", "\n\n\n"]
+    texts = ["".join(draw.choices(parts, [draw.choice([1, 5, 30]) for _ in parts], k=draw.randint(0, 120))) for _ in range(400)] + ["﷐ a\n\nb\n\n\nc" * 9, None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    chunks = lambda: [[r.c for r in df.select(split_text("t", size, size // 5, mode).alias("c")).collect()] for size in (1, 7, 25, 60) for mode in ("compat", "clean")]
+    by_patterns = chunks()
+    monkeypatch.setattr(chunking, "MOST_COUNTED", 0)
+    monkeypatch.setattr(chunking, "BLOCK", 3)
+    monkeypatch.setattr(chunking, "_joined", lambda size, separator: chunking._folded(size, separator, separator))
+    assert chunks() == by_patterns
+
+
+def test_time_grows_with_the_text(spark):
+    """Sixteen times the text takes far less than the square of that, chunks of any size and words without end included."""
+    draw = random.Random(9)
+    text = "".join(draw.choice(["word ", "longerword ", "a ", "b, ", "end. ", "x"]) for _ in range(400_000))
+
+    def seconds(n):
+        df = spark.createDataFrame([(text[:n],)], "t string").select(split_text("t", 60, 10).alias("c"))
+        began = time.perf_counter()
+        assert sum(map(len, df.first().c)) > n // 2
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(1_600_000) < 6 * seconds(100_000) + 5
+    long = spark.createDataFrame([("x" * 50_000 + " " + "y" * 3000,)], "t string")
+    assert long.select(split_text("t", 1000, 0).alias("c")).first().c == ["x" * 1000] * 50 + ["y" * 1000] * 3
+    assert len(long.select(split_text("t", 2000, 0).alias("c")).first().c) == 27
