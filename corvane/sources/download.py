@@ -13,6 +13,7 @@ from corvane.config import Download
 from corvane.operators.ingest import first_of_each, not_done
 from corvane.sources.atom import fetch, register
 from corvane.sources.files import file_name, read_binary, write_json
+from corvane.sources.sinks import write_files
 from corvane.tables import stored
 
 
@@ -36,37 +37,28 @@ def listed(spark: SparkSession, url: str, cfg: Download) -> DataFrame:
 
 
 def fetched(papers: DataFrame, cfg: Download, get: Callable[..., bytes] = fetch) -> DataFrame:
-    """(arxiv_id, content, error): the files that ``papers`` point to, with a pause after each."""
-    timeout, retries, wait, pause = cfg.file_timeout, cfg.retries, cfg.retry_wait, cfg.pause
+    """(arxiv_id, content, error): the files that ``papers`` point to.
+
+    ``cfg.parallel`` tasks share one rate: each begins a request no sooner than parallel times the pause after its last,
+    so all of them together begin one a pause.
+    """
+    timeout, retries, wait, parallel = cfg.file_timeout, cfg.retries, cfg.retry_wait, max(1, cfg.parallel)
+    every = cfg.pause * parallel
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        after = 0.0
         for b in batches:
             for key, url in zip(b["arxiv_id"], b["pdf_url"]):
+                time.sleep(max(0.0, after - time.monotonic()))
+                after = time.monotonic() + every
                 content, error = None, None
                 try:
-                    content = get(url, timeout, retries, wait)
-                    time.sleep(pause)
+                    content = get(url, timeout, retries, max(wait, every))
                 except OSError as failed:
                     error = f"{type(failed).__name__}: {failed}"
                 yield pd.DataFrame([(key, content, error)], columns=["arxiv_id", "content", "error"])
 
-    return papers.select("arxiv_id", "pdf_url").mapInPandas(run, "arxiv_id string, content binary, error string")
-
-
-def saved(files: DataFrame, folder: str) -> None:
-    """Writes (arxiv_id, content) as a PDF each through Spark's file systems, wherever the folder is; one file is in memory at a time.
-
-    A file appears under its name when it is whole.
-    """
-    jvm, conf = files.sparkSession._jvm, files.sparkSession._jsc.hadoopConfiguration()
-    for r in files.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.arxiv_id}.pdf")
-        part = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{r.arxiv_id}.part")
-        fs = path.getFileSystem(conf)
-        out = fs.create(part, True)
-        out.write(r.content)
-        out.close()
-        fs.rename(part, path)
+    return papers.select("arxiv_id", "pdf_url").repartition(parallel).mapInPandas(run, "arxiv_id string, content binary, error string")
 
 
 def there(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,13 +66,14 @@ def there(spark: SparkSession, folder: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     files = read_binary(spark, folder).select(file_name().alias("pdf_path"))
-    return files.select(F.regexp_extract("pdf_path", r"([^/]*)\.pdf$", 1).alias("arxiv_id"), "pdf_path")
+    return files.select(F.url_decode(F.regexp_extract("pdf_path", r"([^/]*)\.pdf$", 1)).alias("arxiv_id"), "pdf_path")
 
 
 def download(spark: SparkSession, url: str, cfg: Download = Download(), get: Callable[..., bytes] = fetch) -> int:
     """Lists papers, fetches those files that aren't there yet, overwrites the metadata and returns the number of papers that have a file."""
     papers = stored(listed(spark, url, cfg))
     missing = not_done(papers, there(spark, cfg.raw_pdf_dir), "arxiv_id")
-    saved(stored(fetched(missing, cfg, get)).filter("error is null"), cfg.raw_pdf_dir)
+    files = stored(fetched(missing, cfg, get)).filter("error is null")
+    write_files(files, cfg.raw_pdf_dir, "arxiv_id", "content", ".pdf")
     rows = papers.join(there(spark, cfg.raw_pdf_dir), "arxiv_id").select("arxiv_id", "title", "abstract", "authors", "pdf_path")
     return write_json(rows, cfg.metadata_path)

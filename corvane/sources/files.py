@@ -41,11 +41,6 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     return seen.get["n"]
 
 
-def write_json_documents(df: DataFrame, path: str, key: str = "arxiv_id", mode: str = "append") -> None:
-    """A folder for each key, found again by ``read_json_documents`` with the key as partition column."""
-    df.write.mode(mode).partitionBy(key).json(path)
-
-
 Extractor = Callable[[bytes], str]
 
 

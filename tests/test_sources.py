@@ -1,4 +1,5 @@
 import json
+import time
 import zlib
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.config import Chunking, Config, Download, Embedding, Index
 from corvane.operators import eda, ingest
 from corvane.plans.service import Service, run_pipeline
-from corvane.sources import atom, download, files
+from corvane.sources import atom, download, files, sinks
 from corvane.streaming.ingest import ingest_new
 
 FEED = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://x.org/abs/{n}v1</id><title> A title
@@ -43,6 +44,56 @@ def test_json(spark, tmp_path):
     assert files.read_json_lines(spark, str(tmp_path / "new" / "out")).count() == 2
 
 
+def test_files_of_documents_and_arrays(spark, tmp_path):
+    """A file a document by executors, found again by the reader; names that need escapes; one array in order."""
+    rows = [(f"p{n}", f"T{n}", None, ["a"], "", "é text") for n in range(20)] + [("cs/01 x", "slash", "", [], "", "old id")]
+    df = spark.createDataFrame(rows, files.PAPER).repartition(5)
+    folder = tmp_path / "docs"
+    sinks.write_json_documents(df, str(folder))
+    assert len(list(folder.iterdir())) == 21 and json.loads((folder / "p3.json").read_text())["abstract"] is None
+    assert sorted(map(tuple, files.read_json_documents(spark, str(folder)).collect()), key=str) == sorted(rows, key=str)
+    assert (folder / "cs%2F01%20x.json").exists()
+    sinks.write_json_documents(df.limit(1).withColumn("arxiv_id", F.lit("p3")).withColumn("title", F.lit("new")), f"file://{folder}")
+    assert json.loads((folder / "p3.json").read_text())["title"] == "new" and len(list(folder.iterdir())) == 21
+    sinks.write_json_documents(df.filter("arxiv_id = 'p7'"), str(folder), mode="overwrite")
+    assert [p.name for p in folder.iterdir()] == ["p7.json"]
+    sinks.write_json_array(df.orderBy("arxiv_id"), str(tmp_path / "all.json"))
+    assert [r["arxiv_id"] for r in json.loads((tmp_path / "all.json").read_text())] == sorted(r[0] for r in rows)
+    assert files.read_metadata(spark, str(tmp_path / "all.json")).count() == 21
+    sinks.write_json_array(df.filter("false"), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+
+
+def test_failed_tasks_leave_no_file(spark, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "kept.json").write_text("{}")
+    bad = spark.range(40).select(F.when(F.col("id") < 39, F.col("id").cast("string")).alias("arxiv_id")).repartition(4)
+    with pytest.raises(Exception, match="no file can have the name"):
+        sinks.write_json_documents(bad, str(folder))
+    assert [p.name for p in folder.iterdir()] == ["kept.json"]
+    with pytest.raises(Exception, match="columns must be"):
+        sinks._save(bad, str(folder), "append")
+
+
+def test_tasks_share_one_rate(spark, tmp_path):
+    """Three tasks begin no more requests than one would."""
+    log = tmp_path / "log"
+
+    def get(url, timeout, retries, wait):
+        with open(log, "a") as out:
+            out.write(f"{time.time()}\n")
+        if url == "u5":
+            raise OSError("gone")
+        return url.encode()
+
+    papers = spark.createDataFrame([(f"p{n}", f"u{n}") for n in range(9)], "arxiv_id string, pdf_url string")
+    rows = download.fetched(papers, Download(pause=0.2, parallel=3), get).collect()
+    assert {r.arxiv_id: bytes(r.content) if r.content else r.error for r in rows} == {f"p{n}": f"u{n}".encode() if n != 5 else "OSError: gone" for n in range(9)}
+    times = sorted(map(float, log.read_text().split()))
+    assert times[-1] - times[0] >= 0.2 * (9 - 3) * 0.9
+
+
 def test_failures_are_rows(spark, tmp_path):
     (tmp_path / "good.pdf").write_bytes(b"text")
     (tmp_path / "bad.pdf").write_bytes(b"\x00bad")
