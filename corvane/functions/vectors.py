@@ -24,6 +24,5 @@ def cosine(a: Column | str, b: Column | str, norm_a: Column | None = None, norm_
 
 
 def normalized(v: Column | str) -> Column:
-    """Length one; components of a zero vector become null."""
-    length = norm(v)
-    return F.transform(_doubles(v), lambda x: F.try_divide(x, length))
+    """Length one; components of a zero vector become null. The length is a variable, as it would be computed for each component otherwise."""
+    return F.transform(F.array(norm(v)), lambda length: F.transform(_doubles(v), lambda x: F.try_divide(x, length)))[0]
