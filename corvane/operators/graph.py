@@ -114,9 +114,10 @@ def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, width: int, entries: i
         value = np.where(new, np.einsum("qd,qkd->qk", q[live], x[np.maximum(to, 0)]), -np.inf)
         ids, values = np.concatenate([beam[live], np.where(new, to, -1)], 1), np.concatenate([score[live], value], 1)
         done = np.concatenate([followed[live], ~new], 1)
-        best = np.argsort(-values, axis=1, kind="stable")[:, :width]
+        best = np.argpartition(-values, width - 1, axis=1)[:, :width]
         beam[live], score[live], followed[live] = (np.take_along_axis(z, best, 1) for z in (ids, values, done))
-    return beam, score
+    best = np.lexsort((beam, -score), axis=1)
+    return np.take_along_axis(beam, best, 1), np.take_along_axis(score, best, 1)
 
 
 def _width(x: np.ndarray, links: np.ndarray) -> int:
