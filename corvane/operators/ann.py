@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.functions.vectors import normalized
+from corvane.functions.vectors import cosine, normalized
 from corvane.operators import search as exact
 from corvane.operators.search import TOP_K, _asked, _best, _payload
 from corvane.tables import stored
@@ -37,6 +37,8 @@ SAMPLE, MOST_LISTS, PART = 40, 65_536, 20_000
 SUB, VALUES, CODE_SAMPLE = 4, 256, 10_000
 #: Share of true neighbours that lists and, of those, codes have to find among CALIBRATED points.
 RECALL, CALIBRATED = 0.95, 100
+#: Codes that a task scans at least, where there are more tasks than cores.
+TASK = 1_000_000
 #: Numbers in the largest product that a task makes: 32 MB in double precision. Found rows that go to all tasks at most.
 PRODUCT, BROADCAST_ROWS = 4_000_000, 100_000
 
@@ -267,7 +269,9 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int = 0, p
         if all_lists or deep >= meta.sizes.sum():
             found = seen.select("list", "id", "vector").mapInArrow(_scored(spark, ids, q, visits, k, digits), f"query_id {kind}, id {id_kind}, score double")
         else:
-            coarse = seen.select("list", "id", "code").mapInArrow(_coarse(spark, ids, q, visits, meta, deep), f"query_id {kind}, list int, id {id_kind}, score double")
+            scanned = int(meta.sizes[lists].sum())
+            tasks = max(spark.sparkContext.defaultParallelism, scanned // TASK)  # small lists share a task, so a query is sent on by few
+            coarse = seen.select("list", "id", "code").coalesce(tasks).mapInArrow(_coarse(spark, ids, q, visits, meta, deep), f"query_id {kind}, list int, id {id_kind}, score double")
             coarse = coarse.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= deep).select("query_id", "list", "id")
             found = _reranked(seen, coarse, spark.createDataFrame(block, queries.schema), size.n * deep, digits)
     found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
@@ -301,20 +305,41 @@ def _scored(spark: SparkSession, ids: pa.Array, q: np.ndarray, visits: list[np.n
 
 
 def _coarse(spark: SparkSession, ids: pa.Array, q: np.ndarray, visits: list[np.ndarray], meta: Meta, deep: int):
-    """Scores by codes; of each batch a query keeps the best ``deep``."""
+    """Scores by codes; a query keeps the best ``deep`` of all that a task scans."""
     shared = spark.sparkContext.broadcast((ids, q, visits, meta.centres, meta.codes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, visits, centres, codes = shared.value
+        held: list[tuple[np.ndarray, ...]] = []  # query, list, id, score
+        n = 0
+
+        def best() -> list[tuple[np.ndarray, ...]]:
+            who, lists, points, s = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((-s, who))
+            first = np.flatnonzero(np.r_[True, who[order][1:] != who[order][:-1]])
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+            order = order[place < deep]
+            return [(who[order], lists[order], points[order], s[order])]
+
         for b in batches:
             for who, rows, j in _groups(b, visits):
                 code = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(rows), -1)
+                point = rows["id"].to_numpy(zero_copy_only=False)
                 for a in range(0, len(who), 256):
                     some = who[a : a + 256]
                     s = (q[some] @ centres[j])[:, None] + codes.scores(codes.products(q[some]), code)
                     few = np.argpartition(-s, deep - 1, axis=1)[:, :deep] if s.shape[1] > deep else np.broadcast_to(np.arange(s.shape[1]), s.shape)
                     row = np.repeat(np.arange(len(some)), few.shape[1])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(some[row])), pa.array(np.full(len(row), j), pa.int32()), rows["id"].take(pa.array(few.ravel())), pa.array(s[row, few.ravel()])], names=["query_id", "list", "id", "score"])
+                    held.append((some[row], np.full(len(row), j, np.int32), point[few.ravel()], s[row, few.ravel()]))
+                    n += len(row)
+                    if n > max(PRODUCT, 4 * deep * len(q)):
+                        held = best()
+                        n = len(held[0][0])
+        if held:
+            who, lists, points, s = best()[0]
+            for a in range(0, len(who), 100_000):
+                cut = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[cut])), pa.array(lists[cut]), pa.array(points[cut], b["id"].type), pa.array(s[cut])], names=["query_id", "list", "id", "score"])
 
     return run
 
@@ -324,7 +349,7 @@ def _reranked(index: DataFrame, coarse: DataFrame, queries: DataFrame, rows: int
     few = F.broadcast(coarse) if rows <= BROADCAST_ROWS else coarse
     there = index.select("list", "id", "vector").join(few, ["list", "id"])
     both = there.join(F.broadcast(queries.withColumnRenamed("vector", "asked")), "query_id")
-    score = F.aggregate(F.zip_with(normalized("vector"), normalized("asked"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    score = cosine("vector", "asked")
     return both.select("query_id", "id", (score if digits is None else F.round(score, digits)).alias("score"))
 
 
