@@ -83,39 +83,49 @@ def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, width: int, entries: i
 
     ``without`` names a point for each query that it doesn't come to, as if it weren't there.
     """
-    n, rows = len(x), np.arange(len(q))
+    n = len(x)
     doors = np.unique(np.linspace(0, n - 1, min(entries, n)).astype(np.int64))
     width = min(width, n)
     s = q @ x[doors].T
     if without is not None:
         s[doors == without[:, None]] = -np.inf
     few = np.argsort(-s, axis=1, kind="stable")[:, :width]
-    beam = np.full((len(q), width), -1, np.int64)
-    score = np.full((len(q), width), -np.inf)
+    beam, score = np.full((len(q), width), -1, np.int32), np.full((len(q), width), -np.inf, x.dtype)
     beam[:, : few.shape[1]], score[:, : few.shape[1]] = doors[few], np.take_along_axis(s, few, 1)
     beam[score == -np.inf] = -1
-    followed = beam < 0
+    ahead = score.copy()  # of points whose links are still to be followed
+    worst = score.min(1)
     seen = np.zeros((len(q), n), bool)
     seen[:, doors] = True
     if without is not None:
-        seen[rows, without] = True
-    live = rows
+        seen[np.arange(len(q)), without] = True
+    seen = seen.ravel()
+    live = np.arange(len(q))
     while len(live):
-        open_ = np.where(followed[live], -np.inf, score[live])
-        at = open_.argmax(1)
-        going = open_[np.arange(len(live)), at] > -np.inf
+        at = ahead[live].argmax(1)
+        going = ahead[live, at] > -np.inf
         live, at = live[going], at[going]
-        if not len(live):
-            break
-        followed[live, at] = True
-        to = links[beam[live, at]].astype(np.int64)
-        new = (to >= 0) & ~seen[live[:, None], to]
-        seen[np.broadcast_to(live[:, None], to.shape)[new], to[new]] = True
-        value = np.where(new, np.einsum("qd,qkd->qk", q[live], x[np.maximum(to, 0)]), -np.inf)
-        ids, values = np.concatenate([beam[live], np.where(new, to, -1)], 1), np.concatenate([score[live], value], 1)
-        done = np.concatenate([followed[live], ~new], 1)
-        best = np.argpartition(-values, width - 1, axis=1)[:, :width]
-        beam[live], score[live], followed[live] = (np.take_along_axis(z, best, 1) for z in (ids, values, done))
+        ahead[live, at] = -np.inf
+        to = links[beam[live, at]]
+        row, spot = np.nonzero(to >= 0)
+        who, point = live[row], to[row, spot].astype(np.int64)
+        new = ~seen[who * n + point]
+        who, point = who[new], point[new]
+        seen[who * n + point] = True
+        value = np.einsum("nd,nd->n", q[who], x[point])
+        better = value > worst[who]
+        who, point, value = who[better], point[better], value[better]
+        if not len(who):
+            continue
+        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        own, count = who[first], np.diff(np.r_[first, len(who)])
+        line, place = np.repeat(np.arange(len(own)), count), np.arange(len(who)) - np.repeat(first, count)
+        points, values = np.full((len(own), count.max()), -1, np.int32), np.full((len(own), count.max()), -np.inf, x.dtype)
+        points[line, place], values[line, place] = point, value
+        both = [np.concatenate(z, 1) for z in ((beam[own], points), (score[own], values), (ahead[own], values))]
+        best = np.argpartition(-both[1], width - 1, axis=1)[:, :width]
+        beam[own], score[own], ahead[own] = (np.take_along_axis(z, best, 1) for z in both)
+        worst[own] = score[own].min(1)
     best = np.lexsort((beam, -score), axis=1)
     return np.take_along_axis(beam, best, 1), np.take_along_axis(score, best, 1)
 
@@ -151,7 +161,7 @@ def build(points: DataFrame, path: str, m: int = M, ef_construct: int = EF_CONST
         return pa.table([group["shard"].slice(0, 1).combine_chunks(), ids, pa.array([x.shape[1]], pa.int32()), pa.array([_width(x, links)], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([links.tobytes()], pa.binary())], names=["shard", "ids", "dimension", "width", "vectors", "links"])
 
     dealt = points.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vector")
-    made = dealt.groupBy("shard").applyInArrow(make, f"shard int, ids array<{kind}>, dimension int, width int, vectors binary, links binary")
+    made = dealt.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(make, f"shard int, ids array<{kind}>, dimension int, width int, vectors binary, links binary")
     made.write.mode("overwrite").parquet(f"{path}/shards")
     points.drop("vector").write.mode("overwrite").parquet(f"{path}/payload")
     return shards
