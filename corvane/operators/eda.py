@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import STOP_WORDS, clean_alpha, token_count
+from corvane.tables import stored
 
 
 def summary(df: DataFrame, value: Column | str) -> DataFrame:
@@ -21,13 +22,19 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(token_count(clean_alpha(text)).alias("tokens"))
 
 
+def _counted(df: DataFrame, value: str) -> DataFrame:
+    """(v, n) of each value but null. It is written down, so range and bins come from one pass over ``df``."""
+    return stored(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+
+
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """(bin from 0, n) over ``bins`` equal widths from the least to the greatest value; empty bins are left out."""
-    low, high = df.agg(F.min(value), F.max(value)).first()
+    counted = _counted(df, value)
+    low, high = counted.agg(F.min("v"), F.max("v")).first()
     if low is None:
         low = high = 0
-    at = F.lit(0) if low == high else F.least(F.floor((F.col(value) - F.lit(low)) * bins / F.lit(high - low)), F.lit(bins - 1))
-    return df.filter(F.col(value).isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    at = F.lit(0) if low == high else F.least(F.floor((F.col("v") - F.lit(low)) * bins / F.lit(high - low)), F.lit(bins - 1))
+    return counted.groupBy(at.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
 
 
 def density(df: DataFrame, value: str, points: int = 200) -> DataFrame:
@@ -35,11 +42,13 @@ def density(df: DataFrame, value: str, points: int = 200) -> DataFrame:
 
     Equal values are counted first. Values that are all equal, or none, give no rows.
     """
-    n, spread, low, high = df.agg(F.count(value), F.stddev_samp(value), F.min(value), F.max(value)).first()
-    width = (spread or 0.0) * max(n, 1) ** -0.2
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    step = (float(high) - float(low)) / (points - 1) if width else 0.0
-    x = F.lit(float(low or 0)) + F.col("at") * F.lit(step)
+    counted = _counted(df, value).withColumn("v", F.col("v").cast("double"))
+    n, mean, low, high = counted.agg(F.sum("n"), F.sum(F.col("n") * F.col("v")) / F.sum("n"), F.min("v"), F.max("v")).first()
+    squares = counted.agg(F.sum(F.col("n") * (F.col("v") - F.lit(mean or 0.0)) ** 2)).first()[0] or 0.0
+    spread = math.sqrt(squares / (n - 1)) if n and n > 1 else 0.0
+    width = spread * max(n or 0, 1) ** -0.2
+    step = (high - low) / (points - 1) if width else 0.0
+    x = F.lit(low or 0.0) + F.col("at") * F.lit(step)
     at = F.sequence(F.lit(0), F.lit(points - 1)) if width else F.array().cast("array<int>")
     near = F.exp(-((x - F.col("v")) / F.lit(width or 1.0)) ** 2 / 2)
     summed = counted.select("v", "n", F.explode(at).alias("at")).groupBy("at").agg(F.sum(F.col("n") * near).alias("s"))
