@@ -77,12 +77,18 @@ class ModelGenerator:
         return answer(prompt(query, context))
 
 
-def rag(retriever: Retriever, generator: Generator, queries: DataFrame, top_k: int = 0, where: Column | None = None) -> DataFrame:
+def rag(retriever: Retriever, generator: Generator, queries: DataFrame, top_k: int = 0, where: Column | None = None, fit: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(query_id, query, answer, retrieved_contexts, scores) for ``queries`` (query_id, query).
 
-    A query without hits has an empty context and is answered all the same.
+    A query without hits has an empty context and is answered all the same. ``fit``, a function of contexts and of the
+    chat without them, leaves what a model's window has room for, as ``tokens.fitting`` does; scores of contexts that go
+    go with them.
     """
     found = joined_contexts(retriever.batch_retrieve(queries, top_k, where))
+    if fit is not None:
+        chat = chat_template(messages(prompt("query", F.lit(""))))
+        found = found.join(queries.select("query_id", "query"), "query_id").withColumn("contexts", fit(F.col("contexts"), chat))
+        found = found.withColumn("scores", F.slice("scores", F.lit(1), F.size("contexts"))).withColumn("context", F.array_join("contexts", "\n\n")).drop("query")
     context = F.coalesce("context", F.lit(""))
     return queries.select("query_id", "query").join(found, "query_id", "left").select(
         "query_id",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import STOP_WORDS, clean_alpha, clean_text, is_blank, last_segment, percent_encoded, preview, strip, token_count
 from corvane.functions.vectors import norm, normalized
-from corvane.operators import ann, eda, graph, ingest
+from corvane.operators import ann, eda, graph, ingest, tokens
 from corvane.operators.chunking import SEPARATORS, chunk_documents, split_text
 from corvane.operators.embedding import HashEmbedder, embed_chunks
 from corvane.operators.index import flatten_payload, upserted, with_ordinals
@@ -244,6 +244,22 @@ def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", chat_template(messages(prompt("text", F.lit("")))).alias("prompt"))
 
 
+#: A vocabulary for the queries that count tokens.
+VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def prompt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the context of a chat: its tokens, and what a window of 256 has room for. Decoding gives the text back."""
+    pairs = tokens.read_vocabulary(spark, VOCABULARY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    chat = chat_template(messages(prompt(F.lit("what is it about?"), F.lit(""))))
+    docs = docs.withColumn("ids", tokens.token_ids(spark, pairs)(F.col("text"))).withColumn("kept", tokens.fitting(spark, pairs, 256)(F.array("text"), chat))
+    kept = F.array_join("kept", "")
+    same = tokens.decoded(spark, pairs)(F.col("ids")) == F.col("text")
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.length(kept).cast("long").alias("kept_chars"), F.startswith("text", kept).alias("is_start"), same.alias("restored"))
+
+
 @query(f"{_CHUNKS}, {sql_embedded(_CHUNK_ROWS, 'embedded')} SELECT id, embedding FROM embedded")
 def embed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_chunks(_chunked(spark, sf_dir), HashEmbedder()).select("id", "embedding")
