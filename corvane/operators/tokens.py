@@ -12,6 +12,7 @@ import base64
 import heapq
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 # Fixed value: how byte-level vocabularies of the GPT-2 kind split a text.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT, LONGEST_KEPT = 100_000, 40
+#: Texts whose tokens a task holds at a time.
+ROWS = 256
 
 
 class BytePairs:
@@ -112,14 +115,16 @@ def _udf(spark: SparkSession, pairs: BytePairs, kind: str, one: Callable) -> Cal
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         pairs = shared.value
         for columns in batches:
-            yield pd.Series([None if any(x is None for x in row) else one(pairs, *row) for row in zip(*columns)], dtype=object)
+            for a in range(0, len(columns[0]), ROWS):  # tokens of few texts are held at a time
+                rows = zip(*(c.iloc[a : a + ROWS] for c in columns))
+                yield pd.Series([None if any(x is None for x in row) else one(pairs, *row) for row in rows], dtype=object)
 
     return run
 
 
 def token_ids(spark: SparkSession, pairs: BytePairs) -> Callable[[Column], Column]:
     """A function of a text column that gives array<int>; null gives null."""
-    run = _udf(spark, pairs, "array<int>", lambda pairs, text, _: pairs.encode(text))
+    run = _udf(spark, pairs, "array<int>", lambda pairs, text, _: np.array(pairs.encode(text), np.int32))
     return lambda text: run(text, F.lit(0))
 
 
