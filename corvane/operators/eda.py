@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from corvane.functions.text import STOP_WORDS, clean_alpha, token_count
 from corvane.tables import stored
 
+#: Items of a summary, buckets of values that aren't candidates (a broadcast of as many integers at most), and how many
+#: groups summaries are merged in.
+TRACKED, BUCKETS, GROUPS = 10_000, 65_536, 32
+
 
 def summary(df: DataFrame, value: Column | str) -> DataFrame:
     """One row: median and mean rounded half to even, least and greatest."""
@@ -69,6 +73,49 @@ def word_frequencies(df: DataFrame, text: str, stop_words: Sequence[str] = STOP_
     return counted.filter(~F.lower("value").isin(*sorted(set(stop_words))) | F.col("value").isNull())
 
 
+def words(df: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(value) a row for each word of cleaned texts but stop words; what ``word_frequencies`` counts."""
+    every = df.select(F.explode(F.split(clean_alpha(text), " ", -1)).alias("value"))
+    return every.filter(~F.lower("value").isin(*sorted(set(stop_words))) | F.col("value").isNull())
+
+
+def candidates(values: DataFrame, most: int, tracked: int = TRACKED) -> list[str]:
+    """Up to ``most`` values of the string column ``value`` that may be the most frequent, by summaries of ``tracked`` items.
+
+    Each task sums up its rows, and summaries are merged in three steps, so no task gets more than a few dozen of them
+    times a number that grows with the cube root of the tasks' number.
+    """
+    tasks = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(GROUPS**2)).alias("g")
+    some = values.filter("value is not null").select("value", tasks)
+    some = some.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(value, {tracked})").alias("s"))
+    some = some.groupBy((F.col("g") % GROUPS).alias("g")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+    some = some.groupBy(F.col("g") % 1).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))  # without a group, no rows would be an error
+    row = some.select(F.expr(f"approx_top_k_estimate(s, {min(most, tracked)})").alias("e")).first()
+    return [] if row is None else [e["item"] for e in row.e]
+
+
+def top_values(values: DataFrame, n: int = 20, tracked: int = TRACKED, buckets: int = BUCKETS) -> DataFrame:
+    """(value, n): what ``top`` of the counts of ``value`` gives, exactly, without a shuffle of all different values.
+
+    Summaries name candidates. A second pass counts these exactly and all other rows by the bucket that their value is
+    hashed to, at most ``buckets`` rows a task, so a bucket's count bounds that of each value in it. Buckets that reach the
+    last candidate's count, if any, are counted value by value in a third pass; the rest can't hold a frequent value.
+    The passes must see the same rows. Null is a value like any other; no rows give none.
+    """
+    named = candidates(values, 4 * n, tracked)
+    chosen = F.col("value").isin(*named) & F.col("value").isNotNull() if named else F.lit(False)
+    bucket = F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int")
+    keyed = values.select(F.when(chosen, F.col("value")).alias("value"), F.when(chosen, F.lit(-1)).otherwise(bucket).alias("bucket"))
+    counted = stored(keyed.groupBy("bucket", "value").agg(F.count(F.lit(1)).alias("n")))
+    exact = counted.filter("bucket = -1").select("value", "n")
+    least = top(exact, n).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).first()
+    heavy = counted.filter(F.col("bucket") >= 0).filter(F.col("n") >= (least.n if least.k == n else 0)).select("bucket")
+    if not heavy.isEmpty():
+        rest = values.filter(~F.coalesce(chosen, F.lit(False))).select("value", bucket.alias("bucket")).join(F.broadcast(heavy), "bucket")
+        exact = exact.unionByName(rest.groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+    return top(exact, n)
+
+
 def top(counted: DataFrame, n: int = 20) -> DataFrame:
     """The most frequent values, the smaller of equals first."""
     return counted.orderBy(F.desc("n"), "value").limit(n)

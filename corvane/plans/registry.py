@@ -330,6 +330,12 @@ def word_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.top(eda.word_frequencies(table(spark, sf_dir, "documents"), "text"))
 
 
+@query(ORACLE_SQL["word_top20"])
+def frequent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``word_top20`` by summaries, whose candidates are counted and proven."""
+    return eda.top_values(eda.words(table(spark, sf_dir, "documents"), "text"))
+
+
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
