@@ -1,4 +1,4 @@
-"""A paged Atom feed of papers: parsing saved feeds, and a data source that reads pages with filters pushed down."""
+"""A paged Atom feed of papers: parsing saved feeds, and a data source that reads pages, as a table with filters pushed down or as a stream."""
 
 from __future__ import annotations
 
@@ -12,13 +12,13 @@ from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition
 
 from corvane.functions.text import last_segment, strip
 
 ENTRY = "struct<id: string, title: string, summary: string, published: string, author: array<struct<name: string>>, link: array<struct<_href: string, _title: string, _type: string>>>"
 SCHEMA = "arxiv_id string, title string, abstract string, authors array<string>, pdf_url string, submitted timestamp, category string"
-NAMESPACE = {"a": "http://www.w3.org/2005/Atom"}
+NAMESPACE = {"a": "http://www.w3.org/2005/Atom", "search": "http://a9.com/-/spec/opensearch/1.1/"}
 
 
 def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
@@ -29,12 +29,12 @@ def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     return entry.select(last_segment("e.id").alias("arxiv_id"), strip("e.title").alias("title"), strip("e.summary").alias("abstract"), authors.alias("authors"))
 
 
-def query_url(base: str, category: str | None, since: str | None, start: int, count: int) -> str:
-    """The address of a page, the newest submissions first."""
+def query_url(base: str, category: str | None, since: str | None, start: int, count: int, order: str = "descending") -> str:
+    """The address of a page, the newest submissions first unless the order is ascending."""
     # The terms of the search interface.
     terms = [f"cat:{category}"] * (category is not None) + [f"submittedDate:[{since} TO 999912312359]"] * (since is not None)
     query = urllib.parse.quote(" AND ".join(terms))
-    return f"{base}?search_query={query}&start={start}&max_results={count}&sortBy=submittedDate&sortOrder=descending"
+    return f"{base}?search_query={query}&start={start}&max_results={count}&sortBy=submittedDate&sortOrder={order}"
 
 
 def fetch(url: str, timeout: float = 30.0, retries: int = 5, wait: float = 5.0) -> bytes:
@@ -110,8 +110,68 @@ class AtomReader(DataSourceReader):
         yield from entries(xml)
 
 
+@dataclass
+class Lane(InputPartition):
+    """Pages that one task fetches one after another, and how long it waits before the first and after each."""
+
+    pages: tuple[Page, ...]
+    first: float
+    every: float
+
+
+class AtomStreamReader(DataSourceStreamReader):
+    """The feed from the oldest submission on; an offset is the number of entries before it.
+
+    Ordered that way new papers come last, so places of those before stay, and a query that goes on from its checkpoint
+    asks for no page of finished batches. Pages of a batch are dealt over ``parallel`` lanes, each of which begins a request
+    no sooner than ``parallel`` times the pause after its last, so all tasks together begin one a pause.
+    A feed that puts a paper among older ones gives its neighbour twice; ``stream_feed`` drops such repetitions.
+    """
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.asked = AtomReader(options)
+        if "{start}" in self.asked.base:
+            raise ValueError("saved pages are read as a table; a stream needs an address that tells how many entries there are")
+        self.pause, self.parallel = float(options.get("pause", 1)), max(1, int(options.get("parallel", 1)))
+
+    def _page(self, page: Page) -> bytes:
+        a = self.asked
+        return fetch(query_url(a.base, a.category, a.since, page.start, page.count, "ascending"), a.timeout, a.retries, a.wait)
+
+    def initialOffset(self) -> dict:
+        return {"start": self.asked.first}
+
+    def latestOffset(self) -> dict:
+        total = ElementTree.fromstring(self._page(Page(0, 1))).findtext("search:totalResults", None, NAMESPACE)
+        if total is None:
+            raise ValueError("the feed doesn't tell how many entries there are")
+        return {"start": max(self.asked.first, int(total))}
+
+    def partitions(self, start: dict, end: dict) -> list[Lane]:
+        size = self.asked.size
+        pages = [Page(at, min(size, end["start"] - at)) for at in range(start["start"], end["start"], size)]
+        lanes = min(self.parallel, len(pages))
+        return [Lane(tuple(pages[k::lanes]), k * self.pause, lanes * self.pause) for k in range(lanes)]
+
+    def read(self, lane: Lane) -> Iterator[tuple]:
+        after = time.monotonic() + lane.first
+        for page in lane.pages:
+            time.sleep(max(0.0, after - time.monotonic()))
+            after = time.monotonic() + lane.every
+            found = list(entries(self._page(page)))
+            if len(found) < page.count:  # the batch would be taken for complete
+                raise OSError(f"{len(found)} entries instead of {page.count} from {page.start} on")
+            yield from found
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held back for batches that aren't finished."""
+
+
 class AtomSource(DataSource):
-    """``spark.read.format("atom").option("url", ...).load()``: an address to query, or one with {start} for saved pages."""
+    """``spark.read.format("atom").option("url", ...).load()``: an address to query, or one with {start} for saved pages.
+
+    ``readStream`` takes addresses to query, with the options pause and parallel.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -123,6 +183,9 @@ class AtomSource(DataSource):
     def reader(self, schema) -> AtomReader:
         return AtomReader(dict(self.options))
 
+    def streamReader(self, schema) -> AtomStreamReader:
+        return AtomStreamReader(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     """Makes the format known and lets filters reach it."""
