@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import STOP_WORDS, clean_alpha, clean_text, is_blank, last_segment, percent_encoded, preview, strip, token_count
 from corvane.functions.vectors import norm, normalized
-from corvane.operators import ann, eda, graph, ingest, tokens
+from corvane.operators import ann, bounds, eda, graph, ingest, tokens
 from corvane.operators.chunking import SEPARATORS, chunk_documents, split_text
 from corvane.operators.embedding import HashEmbedder, embed_chunks
 from corvane.operators.index import flatten_payload, upserted, with_ordinals
@@ -165,6 +165,15 @@ def batch_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "payload.label")
 
 
+@query(f"SELECT * FROM ({_BATCH}) WHERE rank <= 5")
+def bounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``batch_topk`` by pivots and bounds."""
+    path = stored_path(spark)
+    bounds.build(_points(spark, sf_dir), path)
+    found = bounds.search(spark, path, _queries(spark, sf_dir), digits=6)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "payload.label")
+
+
 @query()
 def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_search(_points(spark, sf_dir), _queries(spark, sf_dir))
