@@ -3,7 +3,8 @@
 A vocabulary is a file of ``base64(token) rank`` lines, whose path is a parameter. A text is split by the pattern of its
 vocabulary, and pairs of neighbours in a part are merged by rank, the lowest first and of equals the leftmost. Candidates
 wait in a priority queue and parts are linked lists, so a part of n bytes takes a time in proportion to n log n, however
-long it is. Each worker keeps the tokens of parts that it has seen, up to KEPT of them.
+long it is; short ones, as words are, have theirs searched by plain scans. Parts of a batch are numbered first, so each
+different one is merged once a batch, and each worker keeps the tokens of those that it has seen lately, up to KEPT.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: how byte-level vocabularies of the GPT-2 kind split a text.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT, LONGEST_KEPT = 100_000, 40
-#: Texts whose tokens a task holds at a time.
-ROWS = 256
+KEPT, LONGEST_KEPT = 200_000, 40
+#: Texts whose tokens a task holds at a time, and characters of them beyond which it takes no further one.
+ROWS, CHARACTERS = 256, 2_000_000
 
 
 class BytePairs:
@@ -30,16 +32,45 @@ class BytePairs:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
         self.ranks, self.pattern = ranks, pattern
-        self._split, self._tokens, self._kept = regex.compile(pattern), {r: t for t, r in ranks.items()}, {}
+        self._split, self._tokens = regex.compile(pattern), {r: t for t, r in ranks.items()}
+        self._kept, self._before, self._none = {}, {}, max(ranks.values(), default=0) + 1
+        self._shared: dict[str, Broadcast] = {}
 
     def __reduce__(self) -> tuple:
         return BytePairs, (self.ranks, self.pattern)
 
     def part(self, data: bytes) -> list[int]:
         """The ranks of a part's tokens after all merges."""
-        found = self._kept.get(data)
-        if found is not None:
-            return found
+        return self._scanned(data) if len(data) <= LONGEST_KEPT else self._queued(data)
+
+    def word(self, text: str) -> tuple[int, ...]:
+        """``part`` of a text. What was asked for lately is kept; once half of KEPT came, those before them go."""
+        found = self._kept.get(text)
+        if found is None:
+            found = self._before.get(text)
+            if found is None:
+                found = tuple(self.part(text.encode()))
+            if len(text) <= LONGEST_KEPT:
+                if len(self._kept) >= KEPT // 2:
+                    self._before, self._kept = self._kept, {}
+                self._kept[text] = found
+        return found
+
+    def _scanned(self, data: bytes) -> list[int]:
+        ranks, none = self.ranks, self._none
+        parts = [data[i : i + 1] for i in range(len(data))]
+        rank = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]  # of a part merged with the next
+        while rank and (low := min(rank)) < none:
+            at = rank.index(low)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del rank[at]
+            if at < len(rank):
+                rank[at] = ranks.get(parts[at] + parts[at + 1], none)
+            if at:
+                rank[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
+        return [ranks[p] for p in parts]
+
+    def _queued(self, data: bytes) -> list[int]:
         n, ranks = len(data), self.ranks
         end, back = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that begins at a place
         alive = [True] * n
@@ -68,20 +99,32 @@ class BytePairs:
         while at < n:
             out.append(ranks[data[at : end[at]]])
             at = end[at]
-        if n <= LONGEST_KEPT:
-            if len(self._kept) >= KEPT:
-                self._kept.clear()
-            self._kept[data] = out
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [r for m in self._split.finditer(text) for r in self.part(m[0].encode())]
-
-    def size(self, text: str, most: int) -> int | None:
+        return self.encoded([text])[0].tolist()
+
+    def encoded(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The token ids of each text, each different part of all of them looked up once."""
+        split = [self._split.findall(t) for t in texts]
+        sizes = [len(s) for s in split]
+        numbers, parts = pd.factorize(np.array([p for s in split for p in s], dtype=object))
+        del split
+        found = [self.word(p) for p in parts]
+        length = np.array([len(f) for f in found], np.int64)
+        begin = np.cumsum(length) - length
+        flat = np.fromiter((r for f in found for r in f), np.int32, int(length.sum()))
+        each = length[numbers]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat(begin[numbers] - upto + each, each) + np.arange(int(each.sum()))]
+        ends = np.concatenate([[0], upto])[np.cumsum(sizes, dtype=np.int64)]
+        return np.split(ids, ends[:-1]) if len(ends) else []
+
+    def size(self, text: str, most: float = float("inf")) -> int | None:
         """The number of a text's tokens; None if there are more than ``most``, for which no more than these are made."""
         n = 0
         for m in self._split.finditer(text):
-            n += len(self.part(m[0].encode()))
+            n += len(self.word(m[0]))
             if n > most:
                 return None
         return n
@@ -93,7 +136,7 @@ class BytePairs:
         """The longest start of a text that has ``most`` tokens at most and ends with a whole character and a whole token."""
         out, left = [], most
         for m in self._split.finditer(text):
-            ids = self.part(m[0].encode())
+            ids = self.word(m[0])
             if len(ids) > left:
                 out.append(b"".join(self._tokens[i] for i in ids[: max(left, 0)]).decode(errors="ignore"))
                 break
@@ -108,30 +151,49 @@ def read_vocabulary(spark: SparkSession, path: str, pattern: str = PATTERN) -> B
     return BytePairs({base64.b64decode(token): int(rank) for token, rank in lines}, pattern)
 
 
-def _udf(spark: SparkSession, pairs: BytePairs, kind: str, one: Callable) -> Callable[..., Column]:
-    shared = spark.sparkContext.broadcast(pairs)
+def _shared(spark: SparkSession, pairs: BytePairs) -> Broadcast:
+    """One copy of a vocabulary for all functions of an application, so a worker has one and keeps tokens once."""
+    return pairs._shared.setdefault(spark.sparkContext.applicationId, spark.sparkContext.broadcast(pairs))
 
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        pairs = shared.value
-        for columns in batches:
-            for a in range(0, len(columns[0]), ROWS):  # tokens of few texts are held at a time
-                rows = zip(*(c.iloc[a : a + ROWS] for c in columns))
-                yield pd.Series([None if any(x is None for x in row) else one(pairs, *row) for row in rows], dtype=object)
 
-    return run
+def _pieces(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ROWS texts, which end with the one that brings them to CHARACTERS."""
+    first = size = 0
+    for at, text in enumerate(texts, 1):
+        size += len(text or "")
+        if at - first == ROWS or size >= CHARACTERS:
+            yield first, at
+            first, size = at, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def token_ids(spark: SparkSession, pairs: BytePairs) -> Callable[[Column], Column]:
     """A function of a text column that gives array<int>; null gives null."""
-    run = _udf(spark, pairs, "array<int>", lambda pairs, text, _: np.array(pairs.encode(text), np.int32))
-    return lambda text: run(text, F.lit(0))
+    shared = _shared(spark, pairs)
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for a, b in _pieces(texts.tolist()):
+                some = texts.iloc[a:b].tolist()
+                ids = shared.value.encoded([t or "" for t in some])
+                yield pd.Series([None if t is None else i for t, i in zip(some, ids)], dtype=object)
+
+    return run
 
 
 def decoded(spark: SparkSession, pairs: BytePairs) -> Callable[[Column], Column]:
     """A function of a column of token ids that gives the text; null gives null."""
-    run = _udf(spark, pairs, "string", lambda pairs, ids, _: pairs.decode([int(i) for i in ids]))
-    return lambda ids: run(ids, F.lit(0))
+    shared = _shared(spark, pairs)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            for a in range(0, len(rows), ROWS):
+                yield pd.Series([None if ids is None else shared.value.decode(ids.tolist()) for ids in rows.iloc[a : a + ROWS]], dtype=object)
+
+    return run
 
 
 def fitting(spark: SparkSession, pairs: BytePairs, most: int, separator: str = "\n\n") -> Callable[[Column, Column], Column]:
@@ -142,7 +204,7 @@ def fitting(spark: SparkSession, pairs: BytePairs, most: int, separator: str = "
     """
 
     def fit(pairs: BytePairs, contexts: Sequence[str], rest: str) -> list[str]:
-        left, out, between = most - len(pairs.encode(rest)), [], len(pairs.encode(separator))
+        left, out, between = most - pairs.size(rest), [], pairs.size(separator)
         for text in contexts:
             left -= between if out else 0
             n = pairs.size(text, left)
@@ -153,4 +215,13 @@ def fitting(spark: SparkSession, pairs: BytePairs, most: int, separator: str = "
             left -= n
         return out
 
-    return _udf(spark, pairs, "array<string>", fit)
+    shared = _shared(spark, pairs)
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for contexts, rest in batches:
+            for a in range(0, len(rest), ROWS):
+                rows = zip(contexts.iloc[a : a + ROWS], rest.iloc[a : a + ROWS])
+                yield pd.Series([None if c is None or r is None else fit(shared.value, c, r) for c, r in rows], dtype=object)
+
+    return run
