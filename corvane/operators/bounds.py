@@ -208,7 +208,8 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
 def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int = 0, with_payload: bool = True, digits: int | None = None) -> DataFrame:
     """(query_id, rank, id, score, payload): for each of ``queries`` (query_id, vector) its ``top_k`` nearest points, exactly.
 
-    Equal scores go to the smaller id. Queries without a direction and an empty index give no rows. Blocks of queries of a
+    Equal scores go to the smaller id; unrounded scores of equal vectors may differ in their last bits, which ``digits`` ends.
+    Queries without a direction and an empty index give no rows. Blocks of queries of a
     bounded size go to the tasks one after another.
     """
     k, meta = top_k or TOP_K, _meta(spark, path)

@@ -82,8 +82,8 @@ def words(df: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS) -> D
 def candidates(values: DataFrame, most: int, tracked: int = TRACKED) -> list[str]:
     """Up to ``most`` values of the string column ``value`` that may be the most frequent, by summaries of ``tracked`` items.
 
-    Each task sums up its rows, and summaries are merged in three steps, so no task gets more than a few dozen of them
-    times a number that grows with the cube root of the tasks' number.
+    Each task sums up its rows. Summaries are merged in GROUPS squared groups, which get one of each of their tasks, then in
+    GROUPS, then in one, so the last two steps get GROUPS summaries each, however many tasks there are.
     """
     tasks = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(GROUPS**2)).alias("g")
     some = values.filter("value is not null").select("value", tasks)
