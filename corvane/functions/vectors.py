@@ -14,6 +14,17 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_doubles(a), _doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero, by scaling, as SQL engines and C round doubles: the sign of zero stays, where ``F.round`` goes by decimal digits and drops it."""
+    def scaled(v: Column) -> Column:
+        y = F.abs(v) * 10.0**digits
+        whole = F.rint(y)
+        away = F.signum(v) * (whole + F.when(y - whole == 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+        return F.when(y >= 2.0**53, v).otherwise(away)
+
+    return F.transform(F.array(x), scaled)[0]
+
+
 def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(_doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.functions.vectors import cosine, normalized
+from corvane.functions.vectors import cosine, normalized, rounded
 from corvane.operators import search as exact
 from corvane.operators.search import TOP_K, _asked, _best, _payload
 from corvane.tables import stored
@@ -350,7 +350,7 @@ def _reranked(index: DataFrame, coarse: DataFrame, queries: DataFrame, rows: int
     there = index.select("list", "id", "vector").join(few, ["list", "id"])
     both = there.join(F.broadcast(queries.withColumnRenamed("vector", "asked")), "query_id")
     score = cosine("vector", "asked")
-    return both.select("query_id", "id", (score if digits is None else F.round(score, digits)).alias("score"))
+    return both.select("query_id", "id", (score if digits is None else rounded(score, digits)).alias("score"))
 
 
 def _met(index: DataFrame, queries: DataFrame, meta: Meta, probes: int, passing: np.ndarray | None, k: int, digits: int | None, kind: str, id_kind: str) -> DataFrame:
