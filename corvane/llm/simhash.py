@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm import common
+from corvane.llm import common, similar
 from corvane.llm.graph import components
 from corvane.llm.substring import bucket_of, buckets_for
 
@@ -441,12 +441,13 @@ def groups(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     return rows.join(by_node, "node").select("doc_id", "text_hash", "fp", "component_id", "group")
 
 
-def one_of_each(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
+def one_of_each(docs: DataFrame, least: float = similar.LEAST) -> DataFrame:
     """The rows of ``docs`` less all but one of each group: that with the smallest doc_id (null last), then text hash.
 
+    Groups are joined by similarities of ``least`` or more of the sets of five-word shingles, found exactly (``similar``).
     Of repeated rows one stays. Rows keep all their columns.
     """
-    first = groups(docs, scheme).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    first = similar.groups(docs, least).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     # no key is null, so that rows stay where the join has put them
     keys = ["_id", "_none", "_hash"]
     first = first.select(F.coalesce("first.doc_id", F.lit(common.NO_ID)).alias("_id"), F.col("first.none").alias("_none"), F.col("first.text_hash").alias("_hash")).distinct()
