@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from corvane.functions.vectors import cosine, normalized, rounded
 from corvane.operators import search as exact
-from corvane.operators.search import TOP_K, _asked, _best, _payload
+from corvane.operators.search import TOP_K, Nearest, _asked, _payload
 from corvane.tables import stored
 
 #: Rows a list that centroids are fitted on, lists at most (centroids go to every task), vectors in a file of a list, about.
@@ -39,6 +39,8 @@ SUB, VALUES, CODE_SAMPLE = 4, 256, 10_000
 RECALL, CALIBRATED = 0.95, 100
 #: Codes that a task scans at least, where there are more tasks than cores.
 TASK = 1_000_000
+#: Codes that a task keeps at once for a block of queries, about.
+KEPT = 500_000
 #: Numbers in the largest product that a task makes: 32 MB in double precision. Found rows that go to all tasks at most.
 PRODUCT, BROADCAST_ROWS = 4_000_000, 100_000
 
@@ -232,6 +234,29 @@ def _visits(q: np.ndarray, meta: Meta, probes: int, passing: np.ndarray | None)
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
+class Visits:
+    """Which queries visit each list, a bit for each of both."""
+
+    def __init__(self, q: np.ndarray, meta: Meta, probes: int, passing: np.ndarray | None) -> None:
+        self.n, lists = len(q), len(meta.centres)
+        self.bits = np.zeros((lists, -(-len(q) // 8)), np.uint8)
+        step = 8 * max(1, PRODUCT // max(1, 8 * lists))
+        for a in range(0, len(q), step):
+            size = min(step, len(q) - a)
+            seen = np.zeros((lists, size), bool)
+            for j, who in enumerate(_visits(q[a : a + size], meta, probes, passing)):
+                seen[j, who] = True
+            self.bits[:, a // 8 : a // 8 + -(-size // 8)] = np.packbits(seen, axis=1)
+
+    def lists(self) -> np.ndarray:
+        return np.flatnonzero(self.bits.any(1))
+
+    def of(self, j: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+        """The queries from ``begin``, which 8 divides, to ``end`` that visit list ``j``."""
+        end = self.n if end is None else min(end, self.n)
+        return begin + np.flatnonzero(np.unpackbits(self.bits[j, begin // 8 : -(-end // 8)], count=end - begin))
+
+
 def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int = 0, probes: int = 0, digits: int | None = None, where: Column | None = None, rerank: int = 0) -> DataFrame:
     """(query_id, rank, id, score, payload): the nearest points that each of ``queries`` (query_id, vector) finds in ``probes`` lists.
 
@@ -263,9 +288,9 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int = 0, p
     else:
         block = queries.toArrow()
         ids, q = _asked(block)
-        visits = _visits(q, meta, probes, passing)
-        lists = [j for j, v in enumerate(visits) if len(v)]
-        seen = index.filter(F.col("list").isin(lists)) if len(lists) < len(visits) else index
+        visits = Visits(q, meta, probes, passing)
+        lists = visits.lists().tolist()
+        seen = index.filter(F.col("list").isin(lists)) if len(lists) < len(meta.centres) else index
         if all_lists or deep >= meta.sizes.sum():
             found = seen.select("list", "id", "vector").mapInArrow(_scored(spark, ids, q, visits, k, digits), f"query_id {kind}, id {id_kind}, score double")
         else:
@@ -281,65 +306,77 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int = 0, p
     return found
 
 
-def _groups(b: pa.RecordBatch, visits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, pa.RecordBatch, int]]:
-    """Queries and rows that meet in a batch, in pieces whose product is bounded."""
-    at = b["list"].to_numpy(zero_copy_only=False)
-    cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
-    for first, past in zip(cuts, [*cuts[1:], len(at)]):
-        who = visits[at[first]]
-        step = max(1, PRODUCT // max(1, int(past - first)))
-        for a in range(0, len(who), step):
-            yield who[a : a + step], b.slice(first, past - first), int(at[first])
+def _by_list(lists: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each stretch of rows of one list: the list, where it begins and ends."""
+    cuts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else []
+    for first, past in zip(cuts, [*cuts[1:], len(lists)]):
+        yield int(lists[first]), int(first), int(past)
 
 
-def _scored(spark: SparkSession, ids: pa.Array, q: np.ndarray, visits: list[np.ndarray], k: int, digits: int | None):
+def _scored(spark: SparkSession, ids: pa.Array, q: np.ndarray, visits: Visits, k: int, digits: int | None):
     shared = spark.sparkContext.broadcast((ids, q, visits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, visits = shared.value
+        near = Nearest(ids, q, k, digits)
         for b in batches:
-            for who, rows, _ in _groups(b, visits):
-                yield pa.RecordBatch.from_arrays(_best(ids.take(pa.array(who)), q[who], rows, k, digits), names=["query_id", "id", "score"])
+            for j, first, past in _by_list(b["list"].to_numpy(zero_copy_only=False)):
+                near.add(b.slice(first, past - first), visits.of(j))
+        yield from near.found()
 
     return run
 
 
-def _coarse(spark: SparkSession, ids: pa.Array, q: np.ndarray, visits: list[np.ndarray], meta: Meta, deep: int):
-    """Scores by codes; a query keeps the best ``deep`` of all that a task scans."""
+def _coarse(spark: SparkSession, ids: pa.Array, q: np.ndarray, visits: Visits, meta: Meta, deep: int):
+    """Scores by codes; a query keeps the best ``deep`` of all that a task scans.
+
+    A task holds its codes, about TASK of them, and goes through the queries in blocks that keep about KEPT in all.
+    """
     shared = spark.sparkContext.broadcast((ids, q, visits, meta.centres, meta.codes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, visits, centres, codes = shared.value
-        held: list[tuple[np.ndarray, ...]] = []  # query, list, id, score
-        n = 0
-
-        def best() -> list[tuple[np.ndarray, ...]]:
-            who, lists, points, s = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((-s, who))
-            first = np.flatnonzero(np.r_[True, who[order][1:] != who[order][:-1]])
-            place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-            order = order[place < deep]
-            return [(who[order], lists[order], points[order], s[order])]
-
-        for b in batches:
-            for who, rows, j in _groups(b, visits):
-                code = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(rows), -1)
-                point = rows["id"].to_numpy(zero_copy_only=False)
-                for a in range(0, len(who), 256):
-                    some = who[a : a + 256]
-                    s = (q[some] @ centres[j])[:, None] + codes.scores(codes.products(q[some]), code)
-                    few = np.argpartition(-s, deep - 1, axis=1)[:, :deep] if s.shape[1] > deep else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-                    row = np.repeat(np.arange(len(some)), few.shape[1])
-                    held.append((some[row], np.full(len(row), j, np.int32), point[few.ravel()], s[row, few.ravel()]))
-                    n += len(row)
-                    if n > max(PRODUCT, 4 * deep * len(q)):
-                        held = best()
-                        n = len(held[0][0])
-        if held:
-            who, lists, points, s = best()[0]
-            for a in range(0, len(who), 100_000):
-                cut = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[cut])), pa.array(lists[cut]), pa.array(points[cut], b["id"].type), pa.array(s[cut])], names=["query_id", "list", "id", "score"])
+        read = [(b["list"].to_numpy(zero_copy_only=False), b["id"], np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(len(b), -1)) for b in batches if len(b)]
+        if not read:
+            return
+        kind = read[0][1].type
+        lists, point, code = np.concatenate([r[0] for r in read]), pa.concat_arrays([r[1] for r in read]).to_numpy(zero_copy_only=False), np.concatenate([r[2] for r in read])
+        del read
+        order = np.argsort(lists, kind="stable")
+        lists, point, code = lists[order], point[order], code[order]
+        stretches = list(_by_list(lists))
+        step = 8 * max(1, min(KEPT // deep, PRODUCT // max(1, code.shape[1] * VALUES)) // 8)
+        for begin in range(0, len(q), step):
+            held: list[tuple[np.ndarray, ...]] = []  # query, row, score
+            n = 0
+
+            def best() -> list[tuple[np.ndarray, ...]]:
+                who, row, s = (np.concatenate(x) for x in zip(*held))
+                order = np.lexsort((-s, who))
+                first = np.flatnonzero(np.r_[True, who[order][1:] != who[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+                place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+                order = order[place < deep]
+                return [(who[order], row[order], s[order])]
+
+            products = codes.products(q[begin : begin + step])
+            for j, first, past in stretches:
+                who = visits.of(j, begin, begin + step)
+                for at in range(first, past, exact.ROWS):
+                    rows = code[at : min(past, at + exact.ROWS)]
+                    for a in range(0, len(who), 256):
+                        some = who[a : a + 256]
+                        s = (q[some] @ centres[j])[:, None] + codes.scores(products[some - begin], rows)
+                        few = np.argpartition(-s, deep - 1, axis=1)[:, :deep] if s.shape[1] > deep else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+                        held.append((np.repeat(some, few.shape[1]), at + few.ravel(), np.take_along_axis(s, few, 1).ravel()))
+                        n += few.size
+                        if n > 4 * KEPT:
+                            held = best()
+                            n = len(held[0][0])
+            if held:
+                who, row, s = best()[0]
+                for a in range(0, len(who), exact.SENT):
+                    cut = slice(a, a + exact.SENT)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[cut])), pa.array(lists[row[cut]], pa.int32()), pa.array(point[row[cut]], kind), pa.array(s[cut])], names=["query_id", "list", "id", "score"])
 
     return run
 
@@ -372,8 +409,9 @@ def _met(index: DataFrame, queries: DataFrame, meta: Meta, probes: int, passing:
         names = ["query_id", "id", "score"]
         if not len(asked) or not len(b):
             return pa.table([asked["query_id"].slice(0, 0), b["id"].slice(0, 0), pa.array([], pa.float64())], names=names)
-        step = max(1, PRODUCT // len(b))
-        return pa.concat_tables([pa.table(_best(*_asked(asked.slice(a, step)), b, k, digits), names=names) for a in range(0, len(asked), step)])
+        near = Nearest(*_asked(asked), k, digits)
+        near.add(b)
+        return pa.Table.from_batches(near.found(), pa.schema([(n, t) for n, t in zip(names, (asked["query_id"].type, b["id"].type, pa.float64()))]))
 
     visits = stored(queries.mapInArrow(visit, f"query_id {kind}, vector array<double>, list int"))
     cells = visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("blocks"))
