@@ -48,15 +48,30 @@ def packed_by_bucket(bucket: np.ndarray, h: np.ndarray, row: np.ndarray, pos: np
         yield int(bucket[at[0]]), common.pack(*block, *([] if extra is None else [np.ascontiguousarray(extra[at])]))
 
 
-def unpacked(payloads: list[bytes]) -> list[np.ndarray]:
-    """hash, id, tag, position and any extra column of all blocks of a bucket."""
-    out: list[list[np.ndarray]] = []
+def gathered(payloads: list[bytes]) -> list[np.ndarray]:
+    """hash, row, position and any extra column of all blocks of a bucket, after the id and tag of each row."""
+    heads: list[list[np.ndarray]] = []
+    columns: list[list[np.ndarray]] = []
+    rows = 0
     for payload in payloads:
         low, ids, tags, counts, pos, *extra = common.unpack(payload)
         h = np.zeros((len(low) // 7, 8), np.uint8)
         h[:, :7] = low.reshape(-1, 7)
-        out.append([h.view("<u8").ravel(), np.repeat(np.cumsum(ids), counts), np.repeat(tags, counts), np.cumsum(pos, dtype=np.int32), *extra])
-    return [np.concatenate(x) for x in zip(*out)]
+        row = np.repeat(np.arange(rows, rows + len(ids), dtype=np.int32), counts)
+        heads.append([np.cumsum(ids), tags.copy()])
+        # copies, as views would keep all of an unpacked block
+        columns.append([h.view("<u8").ravel(), row, np.cumsum(pos, dtype=np.int32), *(x.copy() for x in extra)])
+        rows += len(ids)
+    out = [np.concatenate(x) for x in zip(*heads)]
+    for _ in range(len(columns[0])):  # each column goes from the blocks as it is joined
+        out.append(np.concatenate([x.pop(0) for x in columns]))
+    return out
+
+
+def unpacked(payloads: list[bytes]) -> list[np.ndarray]:
+    """hash, id, tag, position and any extra column of all blocks of a bucket."""
+    ids, tags, h, row, *more = gathered(payloads)
+    return [h, ids[row], tags[row], *more]
 
 
 def mark_blocks(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, bytes]]:
@@ -159,20 +174,27 @@ def mapper(window: int, n: int):
     return run
 
 
+def repeats(h: np.ndarray) -> np.ndarray:
+    """The places of hashes that occur more than once, by hash."""
+    order = np.argsort(h, kind="stable")
+    new = common.in_order(h[order])
+    return order[~(new & np.r_[new[1:], True])]
+
+
 def reducer(window: int, n: int):
     def run(group: pa.Table) -> pa.Table:
         blocks, done = split(group)
         if not blocks:
             return done
-        h, ids, tags, pos = unpacked(blocks)
-        order = np.argsort(h, kind="stable")
+        ids, tags, h, row, pos = gathered(blocks)
+        some = repeats(h)
+        h, row, pos = h[some], row[some], pos[some]
+        order = np.lexsort((ids[row], h))
         new = common.in_order(h[order])
-        some = order[~(new & np.r_[new[1:], True])]
-        some = some[np.lexsort((ids[some], h[some]))]
-        new = common.in_order(h[some])
-        if len(some):
-            some = some[ids[some] > ids[some[np.flatnonzero(new)]][np.cumsum(new) - 1]]
-        return pa.concat_tables([done, packed(mark_blocks(ids[some], tags[some], pos[some], pos[some] + window, n))])
+        if len(order):
+            order = order[ids[row[order]] > ids[row[order[np.flatnonzero(new)]]][np.cumsum(new) - 1]]
+        row, pos = row[order], pos[order]
+        return pa.concat_tables([done, packed(mark_blocks(ids[row], tags[row], pos, pos + window, n))])
 
     return run
 

@@ -334,3 +334,29 @@ def test_a_large_group_of_near_copies(spark):
                 group = [group[j] if g == group[k] else g for g in group]
     assert max(Counter(group[k] for k in left).values()) == 1 < max(Counter(group).values())
     assert all(any(a >= 0.8 for j, a in enumerate(alike[k]) if j != k) for k in set(range(len(texts))) - left)
+
+
+def test_bucket_of_windows_holds_ids_by_row():
+    """A bucket's ids and tags are held once a row: 1,000,000 windows took 74 MB when each had its own, and take 50."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corvane.llm import substring
+
+    rows, each = 500, 2_000
+    n = rows * each
+    h = np.random.default_rng(5).integers(0, 2**62, n).astype(np.uint64)
+    h[-1] = h[0]
+    row, pos = np.repeat(np.arange(rows), each), np.tile(np.arange(each, dtype=np.int32), rows)
+    blocks = list(substring.packed_by_bucket(np.zeros(n, np.int32), h, row, pos, np.arange(rows), np.zeros(rows, np.int64)))
+    group = substring.sent(blocks, [])
+    del h, row, pos
+    tracemalloc.start()
+    found = substring.reducer(50, 1)(pa.Table.from_batches([group]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    marks = substring.merge_marks(found)
+    assert marks.to_pylist() == [{"id": rows - 1, "tag": 0, "spans": [each - 1, each + 49], "covered": 50}]
+    assert peak < 60e6, peak
