@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.vectors import normalized
-from corvane.operators.search import BLOCK_COMPONENTS, BROADCAST_ROWS, TOP_K, _asked
+from corvane.operators.search import BLOCK_COMPONENTS, BROADCAST_ROWS, ROWS, TOP_K, Nearest, _asked
 from corvane.tables import stored
 
 #: Rows a pivot that pivots are fitted on, pivots at most (they go to every task), vectors in a file of a folder, about.
 SAMPLE, MOST, PART = 40, 16_384, 20_000
-#: Numbers in the largest product that a task makes, pairs that it holds beside the best, and what rounding may take from an angle.
-PRODUCT, HELD, SLACK = 4_000_000, 1_000_000, 1e-6
+#: Numbers in the largest product that a task or the driver makes, and what rounding may take from an angle.
+PRODUCT, SLACK = 1_000_000, 1e-6
 
 
 def _unit(vectors: pa.Array) -> np.ndarray:
@@ -129,61 +129,45 @@ def _possible(angles: np.ndarray, meta: Meta, reach: np.ndarray) -> np.ndarray:
     return (gap <= reach[:, None]) & (meta.sizes > 0)
 
 
+def _of_few(q: np.ndarray, meta: Meta, choose: Callable[[np.ndarray, slice], np.ndarray]) -> np.ndarray:
+    """(query, pivot): what ``choose`` makes of the angles, of few queries at a time."""
+    out = np.zeros((len(q), len(meta.pivots)), bool)
+    step = max(1, PRODUCT // max(1, len(meta.pivots)))
+    for a in range(0, len(q), step):
+        at = slice(a, a + step)
+        out[at] = choose(_angles(q[at], meta.pivots), at)
+    return out
+
+
 def _scan(spark: SparkSession, path: str, meta: Meta, q: np.ndarray, visits: np.ndarray, scores: np.ndarray, k: int, digits: int | None) -> DataFrame:
     """(row, id, score): the best ``k`` that each task reads for each query, among points of the visited folders that reach ``scores``."""
     folders = np.flatnonzero(visits.any(0))
     points = spark.read.schema(meta.schema).parquet(f"{path}/points").filter(F.col("pivot").isin(folders.tolist()))
-    angles = _angles(q, meta.pivots)
-    shared = spark.sparkContext.broadcast((q, visits, angles, scores))
+    shared = spark.sparkContext.broadcast((q, np.packbits(visits.T, axis=1), meta.pivots, scores))
     ids = meta.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, visits, angles, least = shared.value
-        least = least.copy()
-        rows, at, scored = [], [], []
-        best: pa.RecordBatch | None = None
-
-        def merged() -> pa.RecordBatch:
-            own = [pa.array(np.concatenate(rows or [np.zeros(0, np.int64)])), pa.concat_arrays(at) if at else pa.array([], best_type), pa.array(np.concatenate(scored or [np.zeros(0)]))]
-            if best is not None:
-                own = [pa.concat_arrays([a, b]) for a, b in zip(best.columns, own)]
-            t = pa.table(own, names=["row", "id", "score"]).sort_by([("row", "ascending"), ("score", "descending"), ("id", "ascending")]).combine_chunks()
-            r = t["row"].to_numpy()
-            begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
-            rank = np.arange(len(r)) - np.repeat(begin, np.diff(np.r_[begin, len(r)]))
-            kept = t.filter(pa.array(rank < k))
-            last = rank == k - 1
-            np.maximum.at(least, r[last], t["score"].to_numpy()[last])
-            rows.clear(), at.clear(), scored.clear()
-            return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in kept.columns], names=kept.column_names)
-
-        best_type, held = None, 0
+        q, visits, centres, least = shared.value
+        near = Nearest(pa.array(np.arange(len(q))), q, k, digits)
+        near.least = np.maximum(near.least, least)
         for batch in batches:
-            best_type = batch["id"].type
             pivots = batch["pivot"].to_numpy(zero_copy_only=False)
             for p in np.unique(pivots):
                 mine = np.flatnonzero(pivots == p)
-                b = batch.take(pa.array(mine))
-                x, angle = _unit(b["vector"]), b["angle"].to_numpy(zero_copy_only=False)
-                who = np.flatnonzero(visits[:, p])
-                step = max(1, PRODUCT // len(b))
-                for a in range(0, len(who), step):
-                    some = who[a : a + step]
-                    near = np.abs(angles[some, p][:, None] - angle[None]) <= _reach(least[some], digits)[:, None]
-                    columns = np.flatnonzero(near.any(0))
-                    if not len(columns):
-                        continue
-                    s = q[some] @ x[columns].T
-                    s = s if digits is None else np.round(s, digits)
-                    i, j = np.nonzero(s >= least[some][:, None])
-                    rows.append(some[i]), at.append(b["id"].take(pa.array(columns[j]))), scored.append(s[i, j])
-                    held += len(i)
-                    if held > HELD:
-                        best, held = merged(), 0
-            if held:
-                best, held = merged(), 0
-        if best is not None:
-            yield best
+                who = np.flatnonzero(np.unpackbits(visits[p], count=len(q)))
+                own = _angles(q[who], centres[p : p + 1])[:, 0]  # made anew, as those of all folders grow with queries and pivots
+                for at in range(0, len(mine), ROWS):
+                    b = batch.take(pa.array(mine[at : at + ROWS]))
+                    angle = b["angle"].to_numpy(zero_copy_only=False)
+                    step = max(1, PRODUCT // len(b))
+                    for a in range(0, len(who), step):
+                        some = who[a : a + step]
+                        gap = np.abs(own[a : a + step, None] - angle)
+                        columns = np.flatnonzero((gap <= _reach(near.least[some], digits)[:, None]).any(0))
+                        if len(columns):
+                            near.add(b.take(pa.array(columns)).select(["id", "vector"]), some)
+        for found in near.found():
+            yield pa.RecordBatch.from_arrays(found.columns, names=["row", "id", "score"])
 
     return points.select("id", "vector", "angle", "pivot").mapInArrow(run, T.StructType([T.StructField("row", T.LongType()), T.StructField("id", ids), T.StructField("score", T.DoubleType())]))
 
@@ -192,7 +176,7 @@ def _last_scores(found: DataFrame, n: int, k: int) -> np.ndarray:
     """The k-th score of each of ``n`` queries; less than any score where there are fewer."""
     order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     rows = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("row", "score").collect()  # one a query of a block
-    out = np.full(n, -2.0)
+    out = np.full(n, -np.inf)
     out[[r["row"] for r in rows]] = [r.score for r in rows]
     return out
 
@@ -218,11 +202,10 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int = 0, w
     n = 0
     for block in _blocks(queries) if len(meta.pivots) else []:
         ids, q = _asked(block.toArrow())
-        angles = _angles(q, meta.pivots)
-        visits = _first(angles, meta, k)
-        near = stored(_scan(spark, path, meta, q, visits, np.full(len(q), -2.0), k, digits))
+        visits = _of_few(q, meta, lambda angles, at: _first(angles, meta, k))
+        near = stored(_scan(spark, path, meta, q, visits, np.full(len(q), -np.inf), k, digits))
         scores = _last_scores(near, len(q), k)
-        rest = _possible(angles, meta, _reach(scores, digits)) & ~visits
+        rest = _of_few(q, meta, lambda angles, at: _possible(angles, meta, _reach(scores[at], digits))) & ~visits
         found = near.unionByName(_scan(spark, path, meta, q, rest, scores, k, digits)) if rest.any() else near
         names = spark.createDataFrame(pa.table({"row": pa.array(np.arange(len(q))), "query_id": ids})).select("row", F.col("query_id").cast(kind).alias("query_id"))
         out, n = out.unionByName(found.join(F.broadcast(names), "row").drop("row")), n + len(q)

@@ -58,3 +58,15 @@ def test_odd_vectors_and_few_points(spark, tmp_path):
     assert bounds.search(spark, f"{tmp_path}/a", queries.limit(0)).count() == 0
     assert bounds.build(points.limit(0), f"{tmp_path}/b") == 0
     assert bounds.search(spark, f"{tmp_path}/b", queries).count() == 0
+
+
+def test_what_tasks_get_grows_with_queries_and_pivots_alone(spark, tmp_path, monkeypatch):
+    """Not with their product, but for a bit a pair."""
+    draw = np.random.default_rng(6)
+    points = table(spark, draw.normal(size=(300, 4)))
+    bounds.build(points, f"{tmp_path}/i", 100)
+    meta, sent = bounds._meta(spark, f"{tmp_path}/i"), []
+    context = type(spark.sparkContext)
+    monkeypatch.setattr(context, "broadcast", lambda self, value, f=context.broadcast: (sent.append(value), f(self, value))[1])
+    bounds._scan(spark, f"{tmp_path}/i", meta, draw.normal(size=(2000, 4)), np.ones((2000, 100), bool), np.full(2000, -2.0), 3, None)
+    assert sum(x.nbytes for x in sent[0]) < 200_000
