@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +33,28 @@ class ModelEmbedder:
     def column(self, text: Column) -> Column:
         load = self.load
 
-        @F.pandas_udf("array<float>")
-        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<float>")
+        def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encode = load()
             for batch in batches:
-                yield pd.Series(list(np.asarray(encode(batch.fillna("").tolist()), np.float32)))
+                texts = batch.fill_null("").to_pylist()
+                vectors = np.asarray(encode(texts), np.float32).ravel()
+                size = len(vectors) // max(1, len(texts))
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * size, pa.int32()), pa.array(vectors))
 
         return embed(text)
 
 
-@lru_cache(100_000)
-def _hashed(word: str) -> int:
-    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+#: Texts whose words are counted at once, words whose hashes a worker keeps at hand.
+TEXTS, WORDS = 1_000, 100_000
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = found = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+        return found
 
 
 class HashEmbedder(ModelEmbedder):
@@ -59,11 +69,19 @@ class HashEmbedder(ModelEmbedder):
         word = self.WORD
 
         def load() -> Callable[[list[str]], np.ndarray]:
+            hashed = _Hashes()
+
+            def counts(texts: list[str]) -> np.ndarray:
+                words = [word.findall(text.lower()) for text in texts]
+                size = np.fromiter(map(len, words), np.int64, len(words))
+                h = np.fromiter(map(hashed.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
+                spot = np.repeat(np.arange(len(texts)) * dimension, size) + h % dimension
+                return np.bincount(spot, np.where(h >> 31 & 1, 1.0, -1.0), len(texts) * dimension).reshape(-1, dimension)
+
             def encode(texts: list[str]) -> np.ndarray:
                 out = np.zeros((len(texts), dimension), np.float32)
-                for row, text in zip(out, texts):
-                    h = np.array([_hashed(w) for w in word.findall(text.lower())], np.int64)
-                    row += np.bincount(h % dimension, np.where(h >> 31 & 1, 1.0, -1.0), dimension)
+                for a in range(0, len(texts), TEXTS):
+                    out[a : a + TEXTS] = counts(texts[a : a + TEXTS])
                 length = np.linalg.norm(out, axis=1, keepdims=True)
                 return np.divide(out, length, out=out, where=length > 0)
 

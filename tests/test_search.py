@@ -274,3 +274,13 @@ def test_service_asks_the_approximate_index(spark, tmp_path, method):
     assert [p.name for p in sorted((tmp_path / "index" / "papers" / method).iterdir())] == ["v1", "v2"]
     with pytest.raises(ValueError):
         Index(method="other")
+
+
+def test_vectors_reach_spark_without_pandas(spark):
+    """Nulls, empty texts and more texts than are counted at once; a list of Python objects a text took most of the time."""
+    df = spark.createDataFrame([(k, None if k == 3 else " ".join("Ab b é".split()[: k % 4])) for k in range(1100)], "id long, text string").repartition(1)
+    found = embed_chunks(df, HashEmbedder(16))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and ", 204" not in plan  # Spark's number for functions of pandas series
+    got = {r.id: r.embedding for r in found.collect()}
+    assert got[3] == [0.0] * 16 == got[0] and got[1099] == got[7] != got[5] and sum(x * x for x in got[5]) == pytest.approx(1)
