@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.tables import alone as alone
 from corvane.tables import stored as stored
 
 #: Maps the bytes A-Z to a-z and leaves all others.

@@ -447,9 +447,13 @@ def one_of_each(docs: DataFrame, least: float = similar.LEAST) -> DataFrame:
     Groups are joined by similarities of ``least`` or more of the sets of five-word shingles, found exactly (``similar``).
     Of repeated rows one stays. Rows keep all their columns.
     """
-    first = similar.groups(docs, least).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     # no key is null, so that rows stay where the join has put them
     keys = ["_id", "_none", "_hash"]
-    first = first.select(F.coalesce("first.doc_id", F.lit(common.NO_ID)).alias("_id"), F.col("first.none").alias("_none"), F.col("first.text_hash").alias("_hash")).distinct()
+
+    def firsts() -> DataFrame:
+        first = similar.groups(docs, least).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+        return first.select(F.coalesce("first.doc_id", F.lit(common.NO_ID)).alias("_id"), F.col("first.none").alias("_none"), F.col("first.text_hash").alias("_hash")).distinct()
+
+    first = common.alone(firsts)
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), common.id_key().alias("_id"), F.col("doc_id").isNull().alias("_none"), text_hash().alias("_hash"))
     return keyed.join(first, keys).dropDuplicates(keys).select("doc.*")

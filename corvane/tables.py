@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _written: list[str] = []
+#: What the innermost ``alone`` has written so far.
+_on_the_way: ContextVar[list[str] | None] = ContextVar("_on_the_way", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +33,8 @@ def stored_path(spark: SparkSession) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     _written.append(at)
+    if (within := _on_the_way.get()) is not None:
+        within.append(at)
     return at
 
 
@@ -43,8 +49,27 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` returns, stored; those that it has stored on its way are deleted, as nothing else may read them."""
+    written: list[str] = []
+    token = _on_the_way.set(written)
+    try:
+        found = make()
+    finally:
+        _on_the_way.reset(token)
+    out = stored(found)
+    _delete(out.sparkSession, written)
+    return out
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that ``stored`` has written. Call it where nothing that was computed from them is read any more."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    _delete(spark, list(_written))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for at in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if at in _written:
+            _written.remove(at)
