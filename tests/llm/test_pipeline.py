@@ -35,6 +35,18 @@ def tables(spark, tmp_path_factory):
     return at, rows
 
 
+def test_stages_exchange_few_rows_at_once(spark, tables):
+    """Also in a session that says more or nothing; what says less stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        for said, want in (("10000", "1000"), ("0", "1000"), ("70", "70")):
+            spark.conf.set(key, said)
+            stage(spark, docs.limit(0), tables[0])
+            assert spark.conf.get(key) == want
+    spark.conf.unset(key)
+
+
 def rows_of(df):
     return Counter(str(r) for r in df.collect())
 
