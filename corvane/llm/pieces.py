@@ -41,6 +41,8 @@ from corvane.llm import common
 MARK, UNIT, SHORT = "▁", 1_000_000, 64
 #: Characters in a chunk, stretches that a worker remembers, bytes of text and characters of new stretches solved at once.
 CHUNK, REMEMBERED, FLUSH, UNITS = 32_000, 400_000, 400_000, 50_000
+#: Chunks of giant texts whose matrices or pieces, as Python objects, a task holds.
+CHUNKS_AT_ONCE = 32
 #: Stands for a mark that the text itself holds: a lone surrogate, which no text and no piece can hold.
 OWN_MARK = "\ud800"
 WORST, LONGER = -(2**60), 2**30
@@ -471,6 +473,11 @@ def lattice_of(vocabulary: Vocabulary) -> Lattice:
     return _lattices[0]
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(at, CHUNKS_AT_ONCE) for at in range(0, len(b), CHUNKS_AT_ONCE))
+
+
 def _chunks(docs: DataFrame, reach: int, chunk: int) -> DataFrame:
     """(row, k, n, part) of giant texts after a space: chunks with what pieces may reach beyond them."""
 
@@ -520,7 +527,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = C
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(shared.value)
-        for b in batches:
+        for b in _few(batches):
             m = [np.stack(lattice.transfer(as_marks(t), n)).tobytes() for t, n in zip(b["part"].to_pylist(), b["n"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["row"], b["k"], pa.array(m, pa.binary())], names=["row", "k", "matrix"])
 
@@ -534,7 +541,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk: int = C
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(shared.value)
-        for b in batches:
+        for b in _few(batches):
             rows = [lattice.backtrace(as_marks(t), *x) for t, *x in zip(*(b[c].to_pylist() for c in ("part", "n", "begin", "end")))]
             ids = np.fromiter(chain.from_iterable(rows), np.int32)
             yield pa.RecordBatch.from_arrays([b["row"], b["k"], _list(ids, np.r_[0, np.cumsum(list(map(len, rows)))]), b["part_score"]], names=["row", "k", "ids", "part_score"])

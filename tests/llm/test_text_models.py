@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_dedup import words
 
-from corvane.llm import language_model, licenses, mixing, pieces, quality
+from corvane.llm import common, language_model, licenses, mixing, pieces, quality
 
 
 def counts(text):
@@ -455,3 +455,15 @@ def test_positional_filter_rejects_only_what_cannot_match(spark):
     rejected = met.filter(~licenses.possible())
     assert 0 < rejected.count() < met.count()
     assert rejected.filter(F.size("shared") >= F.col("need")).count() == 0
+
+
+def test_a_task_holds_few_chunks_of_giants(spark, monkeypatch):
+    """Of 300 chunks in one batch: the piece numbers of each are Python objects until they are sent."""
+    steps = {}
+    monkeypatch.setattr(common, "released", lambda run: steps.setdefault(run.__name__, run))
+    pieces.encode(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    size, text = 300, " some words and more of them here"
+    columns = {"row": pa.array([1] * size), "k": pa.array(range(size), pa.int32()), "part": pa.array([text] * size), "n": pa.array([len(text)] * size, pa.int32()), "begin": pa.array([0] * size, pa.int32()), "end": pa.array([0] * size, pa.int32()), "part_score": pa.array([0] * size)}
+    for step in ("transfers", "pieces"):
+        found = list(steps[step](iter([pa.RecordBatch.from_pydict(columns)])))
+        assert [k for b in found for k in b["k"].to_pylist()] == list(range(size)) and max(map(len, found)) <= 32
